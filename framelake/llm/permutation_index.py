@@ -68,7 +68,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, pivots: int = 12
                 near = np.argpartition(far, take - 1)[:take] if take < len(distinct) else np.arange(len(distinct))
                 value = np.einsum("ij,j->i", distinct[near], vector)
                 top = value >= (np.partition(value, -min(k + 1, take))[-min(k + 1, take)])
-                rows = [(by_group[bounds[g] : bounds[g] + k + 1], v) for g, v in zip(near[top], value[top])]
+                rows = [(by_group[bounds[g] : min(bounds[g + 1], bounds[g] + k + 1)], v) for g, v in zip(near[top], value[top])]
                 found = np.concatenate([ids[r] for r, _ in rows])
                 scores = np.concatenate([np.full(len(r), v) for r, v in rows])
                 other = found != query
