@@ -7,6 +7,8 @@ from framelake.llm.language import op9_language_id
 from framelake.llm.packing import op1_best_fit_packing
 from framelake.llm.permutation_index import op5_approximate_nearest_neighbours
 from framelake.llm.quality_model import op4_quality_classifier
+from framelake.llm.quality_rules import op8_quality_rules
+from framelake.llm.secrets import op10_secret_scans
 from framelake.llm.sharding import op2_sharding
 
 QUERIES = {
@@ -15,6 +17,8 @@ QUERIES = {
     "op3_bpe_encoding_and_decoding": op3_bpe_encoding_and_decoding,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_approximate_nearest_neighbours": op5_approximate_nearest_neighbours,
+    "op8_quality_rules": op8_quality_rules,
     "op9_language_id": op9_language_id,
+    "op10_secret_scans": op10_secret_scans,
 }
 ORACLE_SQL: dict[str, str] = {}
