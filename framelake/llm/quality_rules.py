@@ -24,7 +24,7 @@ CLASSES = ("lower and other letters", "upper-case letters", "digits", "white spa
 MIN_WORDS = 10
 MAX_REPEATED_PERCENT = 20
 #: A comparison needs so many words; a distance above the limit rejects.
-CHARACTER_GUARD, CHARACTER_LIMIT = 20, 0.25
+CHARACTER_GUARD, CHARACTER_LIMIT = 40, 0.28
 WORD_GUARD, WORD_LIMIT = 100, 0.30
 
 

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from framelake.llm.automaton import op3_bpe_encoding_and_decoding
 from framelake.llm.language import op9_language_id
+from framelake.llm.near_duplicates import op6_minhash_near_dedup
 from framelake.llm.packing import op1_best_fit_packing
 from framelake.llm.permutation_index import op5_approximate_nearest_neighbours
 from framelake.llm.quality_model import op4_quality_classifier
 from framelake.llm.quality_rules import op8_quality_rules
+from framelake.llm.repeated_text import op7_suffix_array_dedup
 from framelake.llm.secrets import op10_secret_scans
 from framelake.llm.sharding import op2_sharding
 
@@ -17,6 +19,8 @@ QUERIES = {
     "op3_bpe_encoding_and_decoding": op3_bpe_encoding_and_decoding,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_approximate_nearest_neighbours": op5_approximate_nearest_neighbours,
+    "op6_minhash_near_dedup": op6_minhash_near_dedup,
+    "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op9_language_id": op9_language_id,
     "op10_secret_scans": op10_secret_scans,
