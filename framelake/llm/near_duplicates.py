@@ -168,7 +168,7 @@ def classes(docs: DataFrame, threshold: float = 0.8, words: int = 5, bands: int
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     members = groups.join(sizes, "root").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     members = members.select("node", "root", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
-    texts = docs.join(members, docs["doc_id"] == members["node"]).select("node", "root", "low", "high", "text")
+    texts = docs.join(members.hint("merge"), docs["doc_id"] == members["node"]).select("node", "root", "low", "high", "text")
 
     def link(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("node")
