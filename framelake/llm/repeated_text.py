@@ -1,7 +1,7 @@
 """Suffix-array dedup: bytes covered by strings of a given length that occur more than once in the corpus.
 
 Any such string holds an anchor: the position of the least of its hashed grams, chosen by content alone, so all copies of
-the string hold the same anchor at the same place. Anchors - one in some 75 bytes - are shuffled by their gram; those whose
+the string hold the same anchor at the same place. Anchors - one in some 80 bytes - are shuffled by their gram; those whose
 gram is unique are done. Where all contexts of a gram (the bytes that a string around it can reach) are equal, the
 context is covered wholly. Where they differ, the suffixes that begin at the anchors, and the reversed prefixes that end there,
 are sorted: prefix polynomial hashes and binary search give the common extension of two, so a comparison takes logarithmic
@@ -15,13 +15,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framelake.llm._common import cut, read
 from framelake.llm._text import U, as_bytes, mix, parts, powers, prefix, row_of, slices
 
-GRAM = 48
+GRAM = 40
 
 
 def sliding(x: np.ndarray, width: int, least: bool) -> np.ndarray:
@@ -154,6 +155,29 @@ def repeated_around(contexts: list[bytes], left: np.ndarray, group: np.ndarray,
 SPAN = "array<struct<a: int, b: int>>"
 
 
+def _content():
+    """With doc_id it tells documents apart, even where an id is repeated."""
+    return F.hash(F.coalesce(F.col("text"), F.lit("")))
+
+
+def shrunk(docs: DataFrame) -> DataFrame:
+    """(doc_id, content, text as zstd-compressed bytes): what is shuffled by document weighs a third of the texts."""
+
+    def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts(batches, "text"):
+            small = [None if t is None else zstandard.compress(t.encode(), 3) for t in part.column("text").to_pylist()]
+            at = part.schema.get_field_index("text")
+            yield part.set_column(at, "text", pa.array(small, pa.binary()))
+
+    fields = ", ".join(f"`{f.name}` {'binary' if f.name == 'text' else f.dataType.simpleString()}" for f in docs.schema.fields)
+    return docs.mapInArrow(shrink, fields)
+
+
+def grown(column: pa.Array) -> list[bytes | None]:
+    """The texts of a column of shrunk()."""
+    return [None if x is None else zstandard.decompress(x) for x in column.to_pylist()]
+
+
 def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
     """documents(doc_id, text) to doc_id, content (hash of the text) and spans, the byte runs [a, b) that strings of `length` bytes
     cover which start at another place too; only rows that have any. Rows with the same doc_id and text share a row here."""
@@ -170,8 +194,8 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
             yield pa.record_batch([*ids, pa.array(at, pa.int32()), pa.array(key.view(np.int64)), pa.array(around.view(np.int64))], names=["doc_id", "content", "at", "gram", "around"])
 
     text = F.coalesce(F.col("text"), F.lit(""))
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), F.xxhash64(text).alias("content"), text.alias("text"))
-    found = cut(docs.mapInArrow(find, "doc_id long, content long, at int, gram long, around long"))
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), _content().alias("content"), text.alias("text"))
+    found = docs.mapInArrow(find, "doc_id long, content int, at int, gram long, around long")  # made twice: that costs less than to keep it
     grams = found.groupBy("gram").agg(F.count("*").alias("n"), F.min("around").alias("least"), F.max("around").alias("most")).filter("n > 1")
     twice = cut(found.join(grams.select("gram", (F.col("least") != F.col("most")).alias("mixed")), "gram"))
     own = F.struct("doc_id", "content", "at")
@@ -182,8 +206,7 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
     def quote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts(batches, "text", 1 << 20):
             out: dict[str, list] = {"gram": [], "around": [], "n": [], "left": [], "bytes": []}
-            for w, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                raw = t.encode()
+            for w, raw in zip(part.column(0).to_pylist(), grown(part.column(1))):
                 for x in w:
                     low = max(0, x["at"] - reach)
                     for name, v in zip(out, (x["gram"], x["around"], x["n"], x["at"] - low, raw[low : x["at"] + length])):
@@ -191,7 +214,7 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
             kinds_ = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
             yield pa.record_batch([pa.array(v, t) for v, t in zip(out.values(), kinds_)], names=list(out))
 
-    contexts = wanted.join(docs, ["doc_id", "content"]).select("w", "text").mapInArrow(quote, "gram long, around long, n long, left int, bytes binary")
+    contexts = shrunk(docs).join(wanted.hint("merge"), ["doc_id", "content"]).select("w", "text").mapInArrow(quote, "gram long, around long, n long, left int, bytes binary")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Whole groups of grams stand together in a partition, in order; some thousand contexts at a time are compared."""
@@ -203,22 +226,21 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
             if n >= 8192:
                 frame = pd.concat(held, ignore_index=True)
                 last = frame["gram"].iloc[-1]
-                yield decide(frame[frame["gram"] != last])
+                if (frame["gram"] != last).any():
+                    yield decide(frame[frame["gram"] != last])
                 held = [frame[frame["gram"] == last]]
                 n = len(held[0])
         if held:
             yield decide(pd.concat(held, ignore_index=True))
 
     def decide(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.drop_duplicates(["gram", "around"])
-        if not len(frame):
-            return pd.DataFrame({"gram": [], "around": [], "spans": []})
+        frame = frame.drop_duplicates(["gram", "around"])  # repeated rows of a document quote their contexts repeatedly
         runs = repeated_around(frame["bytes"].tolist(), frame["left"].to_numpy(np.int64), pd.factorize(frame["gram"])[0].astype(np.int64), length)
         for i, (n, left, raw) in enumerate(zip(frame["n"], frame["left"], frame["bytes"])):
             if n > 1:  # another place has this very context
                 runs[i] = [(-left, len(raw) - left)] if len(raw) >= length else []
-        frame = frame.assign(spans=[[{"a": a, "b": b} for a, b in r] for r in runs])
-        return frame.loc[[len(r) > 0 for r in runs], ["gram", "around", "spans"]]
+        spans = pd.Series([[{"a": a, "b": b} for a, b in r] for r in runs], index=frame.index, dtype=object)
+        return frame.assign(spans=spans)[["gram", "around", "spans"]]
 
     decided = contexts.repartition("gram").sortWithinPartitions("gram", "around").mapInPandas(compare, f"gram long, around long, spans {SPAN}")
     mixed = twice.filter("mixed").join(decided, ["gram", "around"]).select("doc_id", "content", F.explode(F.transform("spans", lambda s: F.struct((F.col("at") + s["a"]).alias("a"), (F.col("at") + s["b"]).alias("b")))).alias("s"))
@@ -229,20 +251,18 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
 def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     """documents(doc_id, text, ...) with kept (the bytes that remain), n_bytes, n_removed, n_spans and text, from which only
     characters that lose all their bytes are gone. A null text is empty here, and stays null in text."""
-    text = F.coalesce(F.col("text"), F.lit(""))
     spans = cut(repeated_spans(docs, length))
-    docs = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "_content": F.xxhash64(text)})
+    docs = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "_content": _content()})
     spans = spans.select(F.col("doc_id").alias("_id"), F.col("content").alias("_content"), "spans")
-    joined = docs.join(spans, ["_id", "_content"], "left").drop("_id", "_content")
-    names = [c for c in joined.columns if c not in ("spans",)]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields if f.name in names)
-
+    names = [c for c in docs.columns if c not in ("_id", "_content")]
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in names)
+    joined = shrunk(docs).join(spans.hint("merge"), ["_id", "_content"], "left").drop("_id", "_content")
     def clear(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts(batches, "text", 1 << 20):
             texts, kept, figures = [], [], []
             spans_ = part.column("spans").to_pylist() if part.column("spans").null_count < part.num_rows else [None] * part.num_rows
-            for t, s in zip(part.column("text").to_pylist(), spans_):
-                raw = (t or "").encode()
+            for raw, s in zip(grown(part.column("text")), spans_):
+                t, raw = raw, raw or b""
                 merged: list[list[int]] = []
                 for x in s or []:
                     a, b = x["a"], min(x["b"], len(raw))
@@ -259,8 +279,8 @@ def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
                     while m[1] > m[0] and m[1] < len(raw) and raw[m[1]] & 0xC0 == 0x80:
                         m[1] -= 1
                 edges = [0, *(e for m in merged for e in m), len(raw)]
-                texts.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2])).decode() if merged else t)
-            columns = [pa.array(texts, pa.string()) if c == "text" else part.column(c) for c in names]
+                texts.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2])) if merged else t)
+            columns = [pa.array(texts, pa.binary()).cast(pa.string()) if c == "text" else part.column(c) for c in names]
             columns += [pa.array(kept, pa.binary()), *(pa.array([f[i] for f in figures], pa.int64()) for i in range(3))]
             yield pa.record_batch(columns, names=[*names, "kept", "n_bytes", "n_removed", "n_spans"])
 
