@@ -119,9 +119,9 @@ def suffix_sort(data: np.ndarray, start: np.ndarray, length: np.ndarray, group:
     return order, shared
 
 
-def repeated_around(contexts: list[bytes], left: np.ndarray, group: np.ndarray, length: int) -> list[list[tuple[int, int]]]:
-    """For distinct contexts, each with an anchor `left` bytes in: runs (relative to the anchor, end exclusive) covered by strings of
-    `length` that hold the anchor's gram and that another context of the group has around its anchor."""
+def repeated_around(contexts: list[bytes], left: np.ndarray, group: np.ndarray, length: int) -> list[tuple[int, int] | None]:
+    """For distinct contexts, each with an anchor `left` bytes in: the run (relative to the anchor, end exclusive) covered by strings of
+    `length` that hold the anchor's gram and that another context of the group has around its anchor, if there is any."""
     n = len(contexts)
     size = np.array([len(c) for c in contexts])
     right = size - left
@@ -130,34 +130,30 @@ def repeated_around(contexts: list[bytes], left: np.ndarray, group: np.ndarray,
     forward, with_next = suffix_sort(data, first + left, right, group)
     mirrored = np.frombuffer(b"".join(c[:k][::-1] for c, k in zip(contexts, left.tolist())), np.uint8)
     backward, with_last = suffix_sort(mirrored, np.cumsum(left) - left, left, group)
-    runs: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+    first_o, last_o = np.full(n, -1), np.full(n, -1)  # of the bytes before the anchor, over the strings that another context has
     starts_group = lambda order: np.concatenate([[True], group[order[1:]] != group[order[:-1]]])
     new_f, new_b = starts_group(forward), starts_group(backward)
     a_class, b_class = np.empty(n, np.int64), np.empty(n, np.int64)
-    for o in range(int(left.max(initial=0)) + 1):  # bytes of the string before the anchor
-        if length - o < GRAM:
-            break
-        fits = (left >= o) & (right >= length - o)
-        if fits.sum() < 2:
+    for o in range(min(int(left.max(initial=0)), length - GRAM) + 1):
+        at = np.flatnonzero((left >= o) & (right >= length - o))
+        if len(at) < 2:
             continue
         a_class[forward] = np.cumsum(new_f | (with_next < length - o))
         b_class[backward] = np.cumsum(new_b | (with_last < o))
-        at = np.flatnonzero(fits)
-        _, back, count = np.unique(a_class[at] << 32 | b_class[at], return_inverse=True, return_counts=True)
-        for i in at[count[back] > 1].tolist():
-            if runs[i] and -o + length >= runs[i][-1][0]:
-                runs[i][-1] = (-o, runs[i][-1][1])
-            else:
-                runs[i].append((-o, length - o))
-    return runs
-
-
-SPAN = "array<struct<a: int, b: int>>"
+        code = a_class[at] << 32 | b_class[at]
+        order = np.argsort(code)
+        same = np.flatnonzero(np.diff(code[order]) == 0)
+        hit = at[np.concatenate([order[same], order[same + 1]])]
+        last_o[hit] = o
+        hit = hit[first_o[hit] < 0]
+        first_o[hit] = o
+    # all these strings hold the anchor's gram, so together they are one run
+    return [(-b, length - a) if a >= 0 else None for a, b in zip(first_o.tolist(), last_o.tolist())]
 
 
 def _content():
     """With doc_id it tells documents apart, even where an id is repeated."""
-    return F.hash(F.coalesce(F.col("text"), F.lit("")))
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
 
 def shrunk(docs: DataFrame) -> DataFrame:
@@ -195,7 +191,7 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
 
     text = F.coalesce(F.col("text"), F.lit(""))
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), _content().alias("content"), text.alias("text"))
-    found = docs.mapInArrow(find, "doc_id long, content int, at int, gram long, around long")  # made twice: that costs less than to keep it
+    found = docs.mapInArrow(find, "doc_id long, content long, at int, gram long, around long")  # made twice: that costs less than to keep it
     grams = found.groupBy("gram").agg(F.count("*").alias("n"), F.min("around").alias("least"), F.max("around").alias("most")).filter("n > 1")
     twice = cut(found.join(grams.select("gram", (F.col("least") != F.col("most")).alias("mixed")), "gram"))
     own = F.struct("doc_id", "content", "at")
@@ -238,12 +234,13 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
         runs = repeated_around(frame["bytes"].tolist(), frame["left"].to_numpy(np.int64), pd.factorize(frame["gram"])[0].astype(np.int64), length)
         for i, (n, left, raw) in enumerate(zip(frame["n"], frame["left"], frame["bytes"])):
             if n > 1:  # another place has this very context
-                runs[i] = [(-left, len(raw) - left)] if len(raw) >= length else []
-        spans = pd.Series([[{"a": a, "b": b} for a, b in r] for r in runs], index=frame.index, dtype=object)
-        return frame.assign(spans=spans)[["gram", "around", "spans"]]
+                runs[i] = (-left, len(raw) - left) if len(raw) >= length else None
+        some = [i for i, r in enumerate(runs) if r]
+        a, b = zip(*(runs[i] for i in some)) if some else ((), ())
+        return frame.iloc[some][["gram", "around"]].assign(a=np.array(a, np.int32), b=np.array(b, np.int32))
 
-    decided = contexts.repartition("gram").sortWithinPartitions("gram", "around").mapInPandas(compare, f"gram long, around long, spans {SPAN}")
-    mixed = twice.filter("mixed").join(decided, ["gram", "around"]).select("doc_id", "content", F.explode(F.transform("spans", lambda s: F.struct((F.col("at") + s["a"]).alias("a"), (F.col("at") + s["b"]).alias("b")))).alias("s"))
+    decided = contexts.repartition("gram").sortWithinPartitions("gram", "around").mapInPandas(compare, "gram long, around long, a int, b int")
+    mixed = twice.filter("mixed").join(decided, ["gram", "around"]).select("doc_id", "content", F.struct((F.col("at") + F.col("a")).alias("a"), (F.col("at") + F.col("b")).alias("b")).alias("s"))
     whole = twice.filter("not mixed").select("doc_id", "content", F.struct(F.greatest(F.lit(0), F.col("at") - reach).alias("a"), (F.col("at") + length).alias("b")).alias("s"))
     return mixed.union(whole).groupBy("doc_id", "content").agg(F.array_sort(F.collect_list("s")).alias("spans"))
 
