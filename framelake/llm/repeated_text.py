@@ -193,7 +193,9 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), _content().alias("content"), text.alias("text"))
     found = docs.mapInArrow(find, "doc_id long, content long, at int, gram long, around long")  # made twice: that costs less than to keep it
     grams = found.groupBy("gram").agg(F.count("*").alias("n"), F.min("around").alias("least"), F.max("around").alias("most")).filter("n > 1")
-    twice = cut(found.join(grams.select("gram", (F.col("least") != F.col("most")).alias("mixed")), "gram"))
+    # a table of its own, so that the join isn't bound to the sums' partitions and a frequent gram's rows can be split
+    grams = cut(grams.select("gram", (F.col("least") != F.col("most")).alias("mixed")))
+    twice = cut(found.join(grams.hint("merge"), "gram"))
     own = F.struct("doc_id", "content", "at")
     # of each context of a gram with several: how often it occurs, and one place to read it from
     kinds = twice.filter("mixed").groupBy("gram", "around").agg(F.count("*").alias("n"), F.min(own).alias("rep"))
