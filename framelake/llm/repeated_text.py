@@ -174,9 +174,32 @@ def grown(column: pa.Array) -> list[bytes | None]:
     return [None if x is None else zstandard.decompress(x) for x in column.to_pylist()]
 
 
-def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
+def _counted(contexts: DataFrame, length: int) -> DataFrame:
+    """What repeated_around finds, for grams with more contexts than one task should hold: every string around an anchor is hashed, and
+    those that occur twice are counted out, so a gram's rows are spread over all tasks."""
+
+    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts(batches, "bytes", 1 << 16):
+            data, offsets = as_bytes(part.column("bytes"))
+            left = part.column("left").to_numpy().astype(np.int64)
+            o = np.arange(length - GRAM + 1)
+            fits = (left[:, None] >= o) & (np.diff(offsets)[:, None] - left[:, None] >= length - o)
+            row, o = np.nonzero(fits)
+            start = offsets[row] + left[row] - o
+            code = slices(prefix(data), start, start + length)
+            ids = [part.column(i).take(pa.array(row)) for i in range(3)]
+            yield pa.record_batch([*ids, pa.array(o, pa.int32()), pa.array(code.view(np.int64))], names=["gram", "around", "n", "o", "code"])
+
+    found = cut(contexts.dropDuplicates(["gram", "around"]).mapInArrow(strings, "gram long, around long, n long, o int, code long"))
+    twice = cut(found.groupBy("gram", "o", "code").agg(F.sum("n").alias("m")).filter("m > 1").drop("m"))
+    ends = found.join(twice.hint("merge"), ["gram", "o", "code"]).groupBy("gram", "around").agg(F.min("o").alias("low"), F.max("o").alias("high"))
+    return ends.select("gram", "around", (-F.col("high")).alias("a"), (length - F.col("low")).alias("b"))
+
+
+def repeated_spans(docs: DataFrame, length: int = 200, most_contexts: int = 20_000) -> DataFrame:
     """documents(doc_id, text) to doc_id, content (hash of the text) and spans, the byte runs [a, b) that strings of `length` bytes
-    cover which start at another place too; only rows that have any. Rows with the same doc_id and text share a row here."""
+    cover which start at another place too; only rows that have any. Rows with the same doc_id and text share a row here. A gram with
+    more than `most_contexts` different contexts is counted instead of sorted, with the same result."""
     reach = length - GRAM
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,8 +221,9 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
     twice = cut(found.join(grams.hint("merge"), "gram"))
     own = F.struct("doc_id", "content", "at")
     # of each context of a gram with several: how often it occurs, and one place to read it from
-    kinds = twice.filter("mixed").groupBy("gram", "around").agg(F.count("*").alias("n"), F.min(own).alias("rep"))
-    wanted = kinds.select("gram", "around", "n", "rep.*").groupBy("doc_id", "content").agg(F.collect_list(F.struct("gram", "around", "n", "at")).alias("w"))
+    kinds = cut(twice.filter("mixed").groupBy("gram", "around").agg(F.count("*").alias("n"), F.min(own).alias("rep")).select("gram", "around", "n", "rep.*"))
+    frequent = cut(kinds.groupBy("gram").agg(F.count("*").alias("m")).filter(F.col("m") > most_contexts).select("gram"))
+    crowded = not frequent.isEmpty()
 
     def quote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts(batches, "text", 1 << 20):
@@ -212,7 +236,9 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
             kinds_ = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
             yield pa.record_batch([pa.array(v, t) for v, t in zip(out.values(), kinds_)], names=list(out))
 
-    contexts = shrunk(docs).join(wanted.hint("merge"), ["doc_id", "content"]).select("w", "text").mapInArrow(quote, "gram long, around long, n long, left int, bytes binary")
+    def quoted(kinds: DataFrame) -> DataFrame:
+        wanted = kinds.groupBy("doc_id", "content").agg(F.collect_list(F.struct("gram", "around", "n", "at")).alias("w"))
+        return shrunk(docs).join(wanted.hint("merge"), ["doc_id", "content"]).select("w", "text").mapInArrow(quote, "gram long, around long, n long, left int, bytes binary")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Whole groups of grams stand together in a partition, in order; some thousand contexts at a time are compared."""
@@ -241,16 +267,19 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
         a, b = zip(*(runs[i] for i in some)) if some else ((), ())
         return frame.iloc[some][["gram", "around"]].assign(a=np.array(a, np.int32), b=np.array(b, np.int32))
 
-    decided = contexts.repartition("gram").sortWithinPartitions("gram", "around").mapInPandas(compare, "gram long, around long, a int, b int")
+    few = quoted(kinds.join(frequent.hint("merge"), "gram", "left_anti") if crowded else kinds)
+    decided = few.repartition("gram").sortWithinPartitions("gram", "around").mapInPandas(compare, "gram long, around long, a int, b int")
+    if crowded:
+        decided = decided.unionByName(_counted(quoted(kinds.join(frequent.hint("merge"), "gram")), length))
     mixed = twice.filter("mixed").join(decided, ["gram", "around"]).select("doc_id", "content", F.struct((F.col("at") + F.col("a")).alias("a"), (F.col("at") + F.col("b")).alias("b")).alias("s"))
     whole = twice.filter("not mixed").select("doc_id", "content", F.struct(F.greatest(F.lit(0), F.col("at") - reach).alias("a"), (F.col("at") + length).alias("b")).alias("s"))
     return mixed.union(whole).groupBy("doc_id", "content").agg(F.array_sort(F.collect_list("s")).alias("spans"))
 
 
-def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 200, most_contexts: int = 20_000) -> DataFrame:
     """documents(doc_id, text, ...) with kept (the bytes that remain), n_bytes, n_removed, n_spans and text, from which only
     characters that lose all their bytes are gone. A null text is empty here, and stays null in text."""
-    spans = cut(repeated_spans(docs, length))
+    spans = cut(repeated_spans(docs, length, most_contexts))
     docs = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "_content": _content()})
     spans = spans.select(F.col("doc_id").alias("_id"), F.col("content").alias("_content"), "spans")
     names = [c for c in docs.columns if c not in ("_id", "_content")]
