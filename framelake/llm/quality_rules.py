@@ -60,32 +60,49 @@ def _repeated(words: Column) -> Column:
     )
 
 
+#: Columns that several measures share: the words, the text without white space, and of that what isn't a letter.
+SHARED = ("_words", "_dense", "_signs")
+
+
+def _shared(docs: DataFrame) -> DataFrame:
+    text = F.coalesce(F.col("text"), F.lit(""))
+    docs = docs.withColumns({"_words": _words(text), "_dense": F.regexp_replace(text, SPACE, "")})
+    return docs.withColumn("_signs", F.regexp_replace("_dense", r"\p{L}+", ""))
+
+
 def with_measures(docs: DataFrame) -> DataFrame:
     """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed to documents(text, ...). A null text has no words."""
+    return _measures(_shared(docs)).drop(*SHARED)
+
+
+def _measures(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.regexp_replace(x, SPACE, "") != "")
-    docs = docs.withColumn("_words", _words(text)).withColumn("_lines", lines)
     n, repeated = F.size("_words").cast("long"), F.col("n_repeat_words")
     return (
-        docs.withColumns({
-            "n_words": n, "word_chars": _left(text, SPACE).cast("long"), "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
+        docs.withColumn("_lines", lines)
+        .withColumns({
+            "n_words": n, "word_chars": F.length("_dense").cast("long"), "n_symbols": _symbols().cast("long"),
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"), "n_repeat_words": _repeated(F.col("_words")).cast("long"),
         })
         .withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * repeated > MAX_REPEATED_PERCENT * F.col("n_words")))
-        .drop("_lines", "_words")
+        .drop("_lines")
     )
 
 
+def _symbols() -> Column:
+    return F.length("_signs") - F.length(F.translate("_signs", SYMBOLS, ""))
+
+
 def _histograms(docs: DataFrame) -> DataFrame:
-    """Add _chars (by class), _common (by common word of the language, then all other words) and _n to documents(text, lang, ...)."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    upper, digits = _left(text, r"[^\p{Lu}]+"), _left(text, "[^0-9]+")
-    letters, marks = _left(text, r"[^\p{L}]+"), _left(text, r"""[^.,;:!?'"()-]+""")
-    symbols = F.length(text) - F.length(F.translate(text, SYMBOLS, ""))
-    space = F.length(text) - _left(text, SPACE)
-    docs = docs.withColumns({"_u": upper, "_d": digits, "_l": letters, "_p": marks, "_y": symbols, "_s": space, "_t": F.length(text), "_words": _words(text)})
-    rest = F.col("_t") - F.col("_l") - F.col("_d") - F.col("_s") - F.col("_p") - F.col("_y")
-    chars = F.array(*[x.cast("double") for x in (F.col("_l") - F.col("_u"), F.col("_u"), F.col("_d"), F.col("_s"), F.col("_p"), F.col("_y"), rest)])
+    """Add _chars (by class), _common (by common word of the language, then all other words) and _n to what _shared gives of documents(text, lang, ...)."""
+    signs, dense = F.col("_signs"), F.col("_dense")
+    docs = docs.withColumns({
+        "_t": F.length(F.coalesce(F.col("text"), F.lit(""))), "_e": F.length(dense), "_g": F.length(signs), "_u": F.length(dense) - _left(dense, r"\p{Lu}+"),
+        "_d": F.length(signs) - _left(signs, "[0-9]+"), "_p": F.length(signs) - _left(signs, r"""[.,;:!?'"()-]+"""), "_y": _symbols(),
+    })
+    rest = F.col("_g") - F.col("_d") - F.col("_p") - F.col("_y")
+    chars = F.array(*[x.cast("double") for x in (F.col("_e") - F.col("_g") - F.col("_u"), F.col("_u"), F.col("_d"), F.col("_t") - F.col("_e"), F.col("_p"), F.col("_y"), rest)])
 
     def counts(listed: list[str]) -> Column:
         hits = F.filter("_words", lambda w: w.isin(listed))
@@ -97,13 +114,13 @@ def _histograms(docs: DataFrame) -> DataFrame:
     docs = docs.withColumns({"_chars": chars, "_common": common, "_n": F.size("_words")})
     others = F.col("_n") - F.aggregate("_common", F.lit(0.0), lambda a, b: a + b)
     docs = docs.withColumn("_common", F.concat("_common", F.array(others.cast("double"))))
-    return docs.drop("_u", "_d", "_l", "_p", "_y", "_s", "_t", "_words")
+    return docs.drop("_t", "_e", "_g", "_u", "_d", "_p", "_y")
 
 
 def references(docs: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
     """The summed histograms of each language with a word list, over all documents: four rows at most reach the driver."""
     width = len(next(iter(COMMON_WORDS.values()))) + 1
-    known = _histograms(docs.filter(F.col("lang").isin(list(COMMON_WORDS))).select("text", "lang"))
+    known = _histograms(_shared(docs.filter(F.col("lang").isin(list(COMMON_WORDS))).select("text", "lang")))
     sums = [F.sum(F.col("_chars")[i]).alias(f"c{i}") for i in range(len(CLASSES))] + [F.sum(F.col("_common")[i]).alias(f"w{i}") for i in range(width)]
     return {r["lang"]: ([r[f"c{i}"] for i in range(len(CLASSES))], [r[f"w{i}"] for i in range(width)]) for r in known.groupBy("lang").agg(*sums).collect()}
 
@@ -119,6 +136,10 @@ def jensen_shannon(p: Column, q: Column) -> Column:
 
 def with_divergence(docs: DataFrame, refs: dict[str, tuple[list[float], list[float]]]) -> DataFrame:
     """Add char_distance and word_distance to documents(text, lang, ...); null where the language has no reference or the text is under the guard."""
+    return _divergence(_shared(docs), refs).drop(*SHARED)
+
+
+def _divergence(docs: DataFrame, refs: dict[str, tuple[list[float], list[float]]]) -> DataFrame:
     docs = _histograms(docs)
     chars, common = F.lit(None).cast("array<double>"), F.lit(None).cast("array<double>")
     for lang, (c, w) in refs.items():
@@ -135,9 +156,12 @@ def judge(docs: DataFrame) -> DataFrame:
 
     kept is false where base_failed, or where a distance is above its limit. A document whose lang is null or has no
     reference is judged by base_failed alone; repeated rows are judged alike; an empty table gives an empty result."""
-    judged = with_divergence(with_measures(docs), references(docs))
+    judged = _divergence(_measures(_shared(docs)), references(docs)).drop(*SHARED)
     far = (F.coalesce("char_distance", F.lit(0.0)) > CHARACTER_LIMIT) | (F.coalesce("word_distance", F.lit(0.0)) > WORD_LIMIT)
-    return judged.withColumn("kept", ~F.col("base_failed") & ~far)
+    judged = judged.withColumn("kept", ~F.col("base_failed") & ~far)
+    # a filter on a verdict must not be pushed below the measures, where it would compute each of them several times
+    made = [c for c in judged.columns if c not in docs.columns]
+    return judged.select(*docs.columns, F.inline(F.array(F.struct(*made))))
 
 
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
