@@ -77,7 +77,7 @@ def recovery_cascade(spark, sf_dir: str) -> DataFrame:
     return streams.recovery(packets(spark, sf_dir))
 
 
-@query(f"""{WITH} SELECT stream_id, count(*) AS packets, count_if(lost) AS lost, round(100.0 * count_if(lost) / count(*), 6) AS loss_percent,
+@query(f"""{WITH} SELECT stream_id, count(*) AS packets, count_if(lost)::BIGINT AS lost, round(100.0 * count_if(lost) / count(*), 6) AS loss_percent,
     round(sum(CASE WHEN NOT lost THEN len ELSE 0 END) * 8 * 48.0 / (count(*) * {FRAME}), 6) AS kbps FROM packets GROUP BY stream_id""")
 def link_counters(spark, sf_dir: str) -> DataFrame:
     n, bad = F.count("*"), F.count_if("lost")
@@ -85,7 +85,7 @@ def link_counters(spark, sf_dir: str) -> DataFrame:
     return headers(spark, sf_dir).groupBy("stream_id").agg(n.alias("packets"), bad.alias("lost"), F.round(100.0 * bad / n, 6).alias("loss_percent"), F.round(kbps, 6).alias("kbps"))
 
 
-@query(f"{WITH} SELECT stream_id, count_if(toc < 96) AS silk, count_if(toc BETWEEN 96 AND 127) AS hybrid, count_if(toc >= 128) AS celt FROM packets GROUP BY stream_id")
+@query(f"{WITH} SELECT stream_id, count_if(toc < 96)::BIGINT AS silk, count_if(toc BETWEEN 96 AND 127)::BIGINT AS hybrid, count_if(toc >= 128)::BIGINT AS celt FROM packets GROUP BY stream_id")
 def mode_counters(spark, sf_dir: str) -> DataFrame:
     modes = headers(spark, sf_dir).select("stream_id", P.mode(TOC).alias("mode"))
     return modes.groupBy("stream_id").pivot("mode", ["silk", "hybrid", "celt"]).count().na.fill(0)
@@ -96,7 +96,7 @@ def loss_fade(spark, sf_dir: str) -> DataFrame:
     return streams.loss_runs(packets(spark, sf_dir)).filter("lost").select("stream_id", "seq", "run", F.round("fade", 9).alias("fade"))
 
 
-@query(f"{RUNS} SELECT stream_id, max(run) AS longest, count_if(run = 1) AS runs FROM runs GROUP BY stream_id")
+@query(f"{RUNS} SELECT stream_id, max(run) AS longest, count_if(run = 1)::BIGINT AS runs FROM runs GROUP BY stream_id")
 def longest_loss(spark, sf_dir: str) -> DataFrame:
     return streams.loss_runs(packets(spark, sf_dir)).groupBy("stream_id").agg(F.max("run").alias("longest"), F.count_if(F.col("run") == 1).alias("runs"))
 
@@ -165,7 +165,7 @@ def packet_profile(spark, sf_dir: str) -> DataFrame:
     return stats.profile(_pairs(spark, sf_dir))
 
 
-@query(f"{PAIRS} SELECT stream_id, count(*) AS compared, count_if(len <> len_b) AS mismatches, coalesce(min(event_id) FILTER (WHERE len <> len_b), -1) AS first_mismatch FROM moved GROUP BY stream_id")
+@query(f"{PAIRS} SELECT stream_id, count(*) AS compared, count_if(len <> len_b)::BIGINT AS mismatches, coalesce(min(event_id) FILTER (WHERE len <> len_b), -1) AS first_mismatch FROM moved GROUP BY stream_id")
 def payload_mismatch(spark, sf_dir: str) -> DataFrame:
     bad = F.col("len_a") != F.col("len_b")
     return _pairs(spark, sf_dir).groupBy("stream_id").agg(F.count("*").alias("compared"), F.count_if(bad).alias("mismatches"), F.coalesce(F.min(F.when(bad, F.col("event_id"))), F.lit(-1)).alias("first_mismatch"))
