@@ -109,7 +109,7 @@ def pack_groups(groups: DataFrame, shards: int, parcels: int = 2048, cell_rows:
     groups = cut(groups.select("group", F.col("bytes").cast("long")))
     stats = groups.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("b"), F.count("*").alias("n")).first()
     size = max(1, stats["b"] // (shards * parcels))
-    cells = max(1, -(-stats["n"] // cell_rows))
+    cells = max(1, min(-(-stats["n"] // cell_rows), shards * parcels))  # so that their last, open parcels are few as well
 
     def wrap(key, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["bytes", "group"], ascending=[False, True])
