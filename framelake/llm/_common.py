@@ -33,6 +33,18 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def aside(docs: DataFrame, *used: str) -> DataFrame:
+    """The columns that an operator uses, and all others in one struct out of its way, whatever their names."""
+    others = [c for c in docs.columns if c not in used] or [F.lit(True).alias("none")]
+    return docs.select(*used, F.struct(*others).alias("_row"))
+
+
+def restored(df: DataFrame, columns: list[str]) -> DataFrame:
+    """What an operator made of aside(), with those of the first columns back that it has no column of the same name for."""
+    made = [c for c in df.columns if c != "_row"]
+    return df.select(*made, *[F.col("_row")[c].alias(c) for c in columns if c not in made])
+
+
 def slots(df: DataFrame, group: str, order: list[str], out: str, rows_per_bucket: int = 50_000) -> DataFrame:
     """Number the rows of each group from 0 without a gap, in `out`.
 

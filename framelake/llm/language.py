@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from framelake.llm._common import read
+from framelake.llm._common import aside, read, restored
 from framelake.llm._text import U, as_bytes, mix, parts
 
 #: Language families by ISO 639-1 code. A code that isn't listed is a family of its own.
@@ -135,7 +135,10 @@ def train(docs: DataFrame, per_language: int = 1000, languages: int = 64) -> Hie
 def identify(docs: DataFrame, model: Hierarchy | None) -> DataFrame:
     """documents(doc_id, text, ...) with lang_pred and score in place of text. Only the text is looked at.
 
-    A text that is null or has no letter, and any text without a model, is `und` with score 0."""
+    A text that is null or has no letter, and any text without a model, is `und` with score 0. Repeated rows are judged alike; an empty
+    table gives an empty result. Other columns pass through, but for those named like a result."""
+    columns = [c for c in docs.columns if c != "text"]
+    docs = aside(docs, "text")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name not in ("text", "has_letter"))
     docs = docs.withColumn("has_letter", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
 
@@ -147,7 +150,7 @@ def identify(docs: DataFrame, model: Hierarchy | None) -> DataFrame:
             langs = [x if ok else UNKNOWN for x, ok in zip(langs, letters)]
             yield pa.record_batch([*kept.columns, pa.array(langs, pa.string()), pa.array(np.where(letters, scores, 0.0))], names=[*kept.schema.names, "lang_pred", "score"])
 
-    return docs.mapInArrow(predict, f"{fields}, lang_pred string, score double")
+    return restored(docs.mapInArrow(predict, f"{fields}, lang_pred string, score double"), columns)
 
 
 def op9_language_id(spark, sf_dir: str) -> DataFrame:

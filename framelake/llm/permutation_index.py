@@ -36,7 +36,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, pivots: int = 12
     vectors, queries = cut(usable(vectors)), cut(usable(queries))
     drawn = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(4 * pivots).collect()
     chosen = list(dict.fromkeys(tuple(r["embedding"]) for r in drawn))[:pivots]
-    p = np.array(chosen, float).reshape(len(chosen), -1)
+    p = np.array(chosen, float).reshape(len(chosen), -1 if chosen else 0)
     m = min(nearest, len(chosen))
     blocks = max(1, -(-vectors.count() // block_rows))
     query_blocks = max(1, -(-queries.count() // (block_rows // 4)))

@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelake.llm._common import cut, read
+from framelake.llm._common import aside, cut, read, restored
 from framelake.llm._text import U, as_bytes, mix, parts, powers, prefix, row_of, slices
 
 GRAM = 40
@@ -278,13 +278,16 @@ def repeated_spans(docs: DataFrame, length: int = 200, most_contexts: int = 20_0
 
 def remove_repeats(docs: DataFrame, length: int = 200, most_contexts: int = 20_000) -> DataFrame:
     """documents(doc_id, text, ...) with kept (the bytes that remain), n_bytes, n_removed, n_spans and text, from which only
-    characters that lose all their bytes are gone. A null text is empty here, and stays null in text."""
-    spans = cut(repeated_spans(docs, length, most_contexts))
+    characters that lose all their bytes are gone. A null text is empty here, and stays null in text. A text shorter than `length`, or
+    without a repeat, stays as it is; an empty table gives an empty result. Other columns pass through, but for those named like a result."""
+    spans, columns = cut(repeated_spans(docs, length, most_contexts)), docs.columns
+    docs = aside(docs, "doc_id", "text")
     docs = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "_content": _content()})
     spans = spans.select(F.col("doc_id").alias("_id"), F.col("content").alias("_content"), "spans")
     names = [c for c in docs.columns if c not in ("_id", "_content")]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in names)
     joined = shrunk(docs).join(spans.hint("merge"), ["_id", "_content"], "left").drop("_id", "_content")
+
     def clear(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts(batches, "text", 1 << 20):
             texts, kept, figures = [], [], []
@@ -312,7 +315,8 @@ def remove_repeats(docs: DataFrame, length: int = 200, most_contexts: int = 20_0
             columns += [pa.array(kept, pa.binary()), *(pa.array([f[i] for f in figures], pa.int64()) for i in range(3))]
             yield pa.record_batch(columns, names=[*names, "kept", "n_bytes", "n_removed", "n_spans"])
 
-    return joined.select(*names, "spans").mapInArrow(clear, f"{fields}, kept binary, n_bytes long, n_removed long, n_spans long")
+    cleared = joined.select(*names, "spans").mapInArrow(clear, f"{fields}, kept binary, n_bytes long, n_removed long, n_spans long")
+    return restored(cleared, columns)
 
 
 def op7_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:

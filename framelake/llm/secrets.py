@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framelake.llm._common import cut, read
+from framelake.llm._common import aside, cut, read, restored
 
 #: Kind, pattern, the group whose length counts, and the least length. What matches but is too short is passed over, and dropped.
 RULES = [
@@ -68,9 +68,11 @@ def update_ledger(docs: DataFrame, ledger: DataFrame | None = None, version: int
 
 
 def findings(docs: DataFrame, ledger: DataFrame, version: int = RULE_VERSION) -> DataFrame:
-    """Join the ledger's findings to every document of documents(text, ...) that has the blob: adds blob and spans."""
+    """Join the ledger's findings to every document of documents(text, ...) that has the blob: adds blob and spans. A null text counts as
+    an empty one; other columns pass through, but for those named like a result."""
     known = ledger.filter((F.col("version") == version) & (F.size("spans") > 0)).select("blob", "spans")
-    return address(docs).join(known, "blob", "left").withColumn("spans", F.coalesce("spans", F.array().cast(SPANS)))
+    found = address(aside(docs, "text")).join(known, "blob", "left").withColumn("spans", F.coalesce("spans", F.array().cast(SPANS)))
+    return restored(found, docs.columns)
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:

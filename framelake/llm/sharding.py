@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelake.llm._common import cut, read, slots
+from framelake.llm._common import aside, cut, read, restored, slots
 
 
 class RoomTree:
@@ -127,15 +127,17 @@ def pack_groups(groups: DataFrame, shards: int, parcels: int = 2048, cell_rows:
 
 
 def shard(docs: DataFrame, shards: int = 8) -> DataFrame:
-    """Add size, shard and slot to documents(doc_id, text, ...). Equal texts share a shard; null counts as an empty text.
+    """documents(doc_id, text, ...) with size, shard and slot in place of text. Equal texts share a shard; null counts as an empty text.
 
-    size is the text's UTF-8 bytes plus 1; slot numbers a shard's rows from 0. Repeated rows are separate rows."""
+    size is the text's UTF-8 bytes plus 1; slot numbers a shard's rows from 0. Repeated rows are separate rows, and an empty table
+    gives none. Other columns pass through, but for those named like a result."""
     data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    slim = docs.withColumn("size", F.octet_length(data).cast("long") + 1).withColumn("group", F.unhex(F.sha2(data, 256))).drop("text")
+    others = [c for c in docs.columns if c != "text"]
+    slim = aside(docs, "doc_id", "text").withColumn("size", F.octet_length(data).cast("long") + 1).withColumn("group", F.unhex(F.sha2(data, 256))).drop("text")
     slim = cut(slim)
     groups = slim.groupBy("group").agg(F.sum("size").alias("bytes"))
     placed = cut(slim.join(pack_groups(groups, shards), "group").drop("group"))
-    return slots(placed, "shard", ["doc_id", *[c for c in placed.columns if c not in ("doc_id", "shard")]], "slot")
+    return restored(slots(placed, "shard", ["doc_id", "size", "_row"], "slot"), others)
 
 
 def op2_sharding(spark, sf_dir: str) -> DataFrame:
