@@ -10,8 +10,6 @@ from framelake.functions import pcm as S
 from framelake.operators import stats, streams
 from framelake.sources.adapters import FRAME, PACKETS_SQL, blocks, headers, packets
 
-TOC, SECOND = F.col("toc"), F.col("second_byte")
-
 #: Expressions of the headers in DuckDB's SQL.
 MODE = "CASE WHEN toc < 96 THEN 'silk' WHEN toc < 128 THEN 'hybrid' ELSE 'celt' END"
 BANDWIDTH = """CASE WHEN toc // 8 < 4 THEN 'narrow' WHEN toc // 8 < 8 THEN 'medium' WHEN toc // 8 < 12 THEN 'wide' WHEN toc // 8 < 14 THEN 'superwide'
@@ -50,18 +48,18 @@ def packets_by_mode(spark, sf_dir: str) -> DataFrame:
 @query(f"""{WITH} SELECT event_id, toc // 8 AS config, toc % 8 >= 4 AS stereo, toc % 4 AS code, {SIZE} AS frame_samples, {FRAMES} AS frames, {STRICT} AS frames_strict, {FRAMES} * {SIZE} AS samples,
     {FEC} AS has_fec, len // 255 + 1 AS segments, toc AS built FROM packets""")
 def packet_headers(spark, sf_dir: str) -> DataFrame:
-    frames = P.frames_lenient(TOC, SECOND)
+    frames = P.frames_lenient(F.col("toc"), F.col("second_byte"))
     return headers(spark, sf_dir).select(
-        "event_id", P.config(TOC).alias("config"), P.stereo(TOC).alias("stereo"), P.code(TOC).alias("code"), P.frame_samples(TOC).alias("frame_samples"), frames.alias("frames"),
-        P.frames_strict(TOC, SECOND).alias("frames_strict"), (frames * P.frame_samples(TOC)).alias("samples"), P.first_frame_has_fec(TOC, SECOND).alias("has_fec"),
-        P.segments(F.col("len")).alias("segments"), P.build_toc(P.config(TOC), P.stereo(TOC), P.code(TOC)).alias("built"),
+        "event_id", P.config(F.col("toc")).alias("config"), P.stereo(F.col("toc")).alias("stereo"), P.code(F.col("toc")).alias("code"), P.frame_samples(F.col("toc")).alias("frame_samples"), frames.alias("frames"),
+        P.frames_strict(F.col("toc"), F.col("second_byte")).alias("frames_strict"), (frames * P.frame_samples(F.col("toc"))).alias("samples"), P.first_frame_has_fec(F.col("toc"), F.col("second_byte")).alias("has_fec"),
+        P.segments(F.col("len")).alias("segments"), P.build_toc(P.config(F.col("toc")), P.stereo(F.col("toc")), P.code(F.col("toc"))).alias("built"),
     )
 
 
 @query(f"{WITH} SELECT {MODE} AS mode, sum({SIZE} // 6)::BIGINT AS samples_8k, sum({SIZE} // 3)::BIGINT AS samples_16k, sum({SIZE} // 2)::BIGINT AS samples_24k FROM packets GROUP BY ALL")
 def samples_by_rate(spark, sf_dir: str) -> DataFrame:
-    at = lambda rate: F.sum(P.frame_samples(TOC, rate)).alias(f"samples_{rate // 1000}k")
-    return headers(spark, sf_dir).groupBy(P.mode(TOC).alias("mode")).agg(at(8000), at(16000), at(24000))
+    at = lambda rate: F.sum(P.frame_samples(F.col("toc"), rate)).alias(f"samples_{rate // 1000}k")
+    return headers(spark, sf_dir).groupBy(P.mode(F.col("toc")).alias("mode")).agg(at(8000), at(16000), at(24000))
 
 
 @query(f"{LOST} SELECT * FROM slots")
@@ -87,7 +85,7 @@ def link_counters(spark, sf_dir: str) -> DataFrame:
 
 @query(f"{WITH} SELECT stream_id, count_if(toc < 96)::BIGINT AS silk, count_if(toc BETWEEN 96 AND 127)::BIGINT AS hybrid, count_if(toc >= 128)::BIGINT AS celt FROM packets GROUP BY stream_id")
 def mode_counters(spark, sf_dir: str) -> DataFrame:
-    modes = headers(spark, sf_dir).select("stream_id", P.mode(TOC).alias("mode"))
+    modes = headers(spark, sf_dir).select("stream_id", P.mode(F.col("toc")).alias("mode"))
     return modes.groupBy("stream_id").pivot("mode", ["silk", "hybrid", "celt"]).count().na.fill(0)
 
 
@@ -146,7 +144,7 @@ def regroup_frames(spark, sf_dir: str) -> DataFrame:
 @query(f"""{WITH}, v AS (SELECT {MODE} AS mode, list_sort(list(len)) AS l, avg(len) AS mean, avg(ln(len)) AS g FROM packets GROUP BY ALL)
     SELECT mode, len(l) AS n, round(mean, 6) AS mean, l[least(len(l) * 95 // 100, len(l) - 1) + 1] AS p95_floor, l[ceil(len(l) * 0.95)::INT] AS p95, l[len(l) // 2 + 1] AS upper_median, round(exp(g), 6) AS geomean FROM v""")
 def length_percentiles(spark, sf_dir: str) -> DataFrame:
-    return stats.percentiles(headers(spark, sf_dir).select(P.mode(TOC).alias("mode"), "len"), "mode", "len")
+    return stats.percentiles(headers(spark, sf_dir).select(P.mode(F.col("toc")).alias("mode"), "len"), "mode", "len")
 
 
 PAIRS = f"{WITH}, moved AS (SELECT *, len + (event_id * 11 % 7) - 3 AS len_b, (toc + CASE WHEN event_id % 17 = 0 THEN 64 ELSE 0 END) % 256 AS toc_b FROM packets)"
@@ -155,8 +153,8 @@ PAIRS = f"{WITH}, moved AS (SELECT *, len + (event_id * 11 % 7) - 3 AS len_b, (t
 def _pairs(spark, sf_dir: str) -> DataFrame:
     rows = headers(spark, sf_dir)
     e = F.col("event_id")
-    other = rows.select("event_id", (F.col("len") + e * 11 % 7 - 3).alias("len_b"), ((TOC + F.when(e % 17 == 0, 64).otherwise(0)) % 256).alias("toc_b"))
-    return rows.join(other, "event_id").select("event_id", "stream_id", F.col("len").alias("len_a"), "len_b", P.mode(TOC).alias("mode_a"), P.mode(F.col("toc_b")).alias("mode_b"))
+    other = rows.select("event_id", (F.col("len") + e * 11 % 7 - 3).alias("len_b"), ((F.col("toc") + F.when(e % 17 == 0, 64).otherwise(0)) % 256).alias("toc_b"))
+    return rows.join(other, "event_id").select("event_id", "stream_id", F.col("len").alias("len_a"), "len_b", P.mode(F.col("toc")).alias("mode_a"), P.mode(F.col("toc_b")).alias("mode_b"))
 
 
 @query(f"""{PAIRS} SELECT count(*) AS n, round(avg(abs(len - len_b)), 6) AS mean_difference, quantile_disc(abs(len - len_b), 0.95) AS p95_difference,
