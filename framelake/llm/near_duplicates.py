@@ -8,8 +8,8 @@ the signature's length are ever looked at, however large the set.
 
 Equal texts are one representative from the start. Documents that agree in a band are linked to the band's least, the
 links' components bound what can be similar, and within a component exact similarities decide: a search from document to
-document that follows every pair at or above the threshold. Components too large for one task are cut into blocks of
-which every two meet, so no pair is missed."""
+document that follows every pair at or above the threshold. In components too large for one task, links to hubs first join
+clusters; what is outside the largest is cut into blocks that meet the blocks of all other clusters, so no link is missed."""
 
 from __future__ import annotations
 
@@ -150,6 +150,50 @@ def similar_pairs(sets: list[np.ndarray], threshold: float) -> list[tuple[int, i
     return links
 
 
+def _near(pairs: DataFrame, threshold: float, words: int) -> DataFrame:
+    """Of pairs(a, b, text_a, text_b), those with a similarity at or above the threshold: a, b."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts(batches, "text_a", 1 << 19):
+            left, right = shingles(*as_bytes(part.column(2)), words), shingles(*as_bytes(part.column(3)), words)
+            keep = []
+            for i in range(part.num_rows):
+                x, y = (h[e[i] : e[i + 1]] for h, e in (left, right))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both > 0 and both >= threshold * (len(x) + len(y) - both) - 1e-9)
+            yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+
+
+def _blocks(docs: DataFrame, groups: DataFrame, hubs: DataFrame, threshold: float, words: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """For components(node, root) too large for one task: the blocks that still have to meet, and the links that need no meeting.
+
+    Each document is first compared with the one hub that it shares most bands with, which joins nearly all of a large group of copies
+    into one cluster, in linear work. Blocks of one cluster needn't meet any more; the few documents outside the largest meet all."""
+    best = hubs.join(groups.select(F.col("node").alias("a")).hint("merge"), "a").groupBy("a").agg(F.max_by("b", F.struct("n", -F.col("b"))).alias("b"))
+    pairs = best.join(docs.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
+    pairs = pairs.join(docs.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
+    known = cut(_near(pairs, threshold, words))
+    found = components(known).select("node", F.col("root").alias("cluster"))
+    nodes = cut(groups.join(found.hint("merge"), "node", "left").withColumn("cluster", F.coalesce("cluster", "node")))
+    size = nodes.groupBy("root", "cluster").agg(F.count("*").alias("m"))
+    big = size.filter(F.col("m") > block)
+    rest = size.filter(F.col("m") <= block).groupBy("root").agg(F.sum("m").alias("m")).withColumn("cluster", F.lit(-1).cast("long"))
+    heaps = cut(big.unionByName(rest, allowMissingColumns=True).select("root", "cluster", F.ceil(F.col("m") / block).alias("blocks"), "m"))
+    named = lambda k: F.xxhash64("root", "cluster", k)
+    each = heaps.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    each = each.select("root", "cluster", "m", named(F.col("k")).alias("mine"))
+    largest = heaps.filter("cluster >= 0").groupBy("root").agg(F.max_by("cluster", F.struct("m", "cluster")).alias("largest"))
+    movers = each.join(largest.hint("merge"), "root", "left").filter(~F.col("cluster").eqNullSafe(F.col("largest"))).select("root", F.col("cluster").alias("c"), F.col("mine").alias("other"))
+    meet = each.join(movers.hint("merge"), "root").filter((F.col("cluster") != F.col("c")) | (F.col("cluster") == -1)).select("mine", "other")
+    meet = meet.union(meet.select("other", "mine")).distinct()
+    own = nodes.join(big.select("root", F.col("cluster").alias("cluster"), F.lit(True).alias("own")).hint("merge"), ["root", "cluster"], "left")
+    own = own.withColumn("cluster", F.when(F.col("own"), F.col("cluster")).otherwise(-1)).join(heaps.select("root", "cluster", "blocks").hint("merge"), ["root", "cluster"])
+    mine = own.select("node", "root", named(F.pmod(F.xxhash64("node"), F.col("blocks"))).alias("mine"))
+    return mine.join(meet.hint("merge"), "mine").select("node", "root", "mine", "other"), known
+
+
 def classes(docs: DataFrame, threshold: float = 0.8, words: int = 5, bands: int = 32, per_band: int = 6, block: int = 2000) -> DataFrame:
     """documents(doc_id, text) to doc_id and class_id, the least doc_id of its class.
 
@@ -162,11 +206,15 @@ def classes(docs: DataFrame, threshold: float = 0.8, words: int = 5, bands: int
     reps = signed.join(same, "content").filter("doc_id = rep").dropDuplicates(["content"])
     keyed = cut(reps.select("doc_id", F.explode("keys").alias("key")))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")).filter("n > 1")
-    hubs = keyed.join(shared, "key").filter("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
-    groups = cut(components(hubs))
-    sizes = groups.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    members = groups.join(sizes, "root").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    hubs = keyed.join(shared, "key").filter("doc_id <> least").groupBy(F.col("doc_id").alias("a"), F.col("least").alias("b")).agg(F.count("*").alias("n"))
+    hubs = cut(hubs)
+    groups = cut(components(hubs.select("a", "b")))
+    large = cut(groups.groupBy("root").agg(F.count("*").alias("m")).filter(F.col("m") > block).select("root"))
+    members, known = groups.withColumn("mine", F.lit(0)).withColumn("other", F.lit(0)), None
+    if not large.isEmpty():
+        small = members.join(large.hint("merge"), "root", "left_anti")
+        wide, known = _blocks(docs, groups.join(large.hint("merge"), "root"), hubs, threshold, words, block)
+        members = small.unionByName(wide)
     members = members.select("node", "root", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
     texts = docs.join(members.hint("merge"), docs["doc_id"] == members["node"]).select("node", "root", "low", "high", "text")
 
@@ -178,6 +226,8 @@ def classes(docs: DataFrame, threshold: float = 0.8, words: int = 5, bands: int
         return pd.DataFrame({"a": [node[i] for i, _ in pairs], "b": [node[j] for _, j in pairs]}, dtype="int64")
 
     found = texts.groupBy("root", "low", "high").applyInPandas(link, "a long, b long")
+    if known is not None:
+        found = found.union(known)
     copies = signed.select("doc_id", "content").join(same, "content").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     repeated = copies.groupBy("a").agg(F.min("b").alias("least"), F.count("*").alias("n")).filter("n > 1")
     merged = copies.join(repeated, "a").select("b", F.col("least").alias("a")).filter("a <> b")  # a doc_id with several texts
