@@ -174,26 +174,57 @@ def grown(column: pa.Array) -> list[bytes | None]:
     return [None if x is None else zstandard.decompress(x) for x in column.to_pylist()]
 
 
-def _counted(contexts: DataFrame, length: int) -> DataFrame:
-    """What repeated_around finds, for grams with more contexts than one task should hold: every string around an anchor is hashed, and
-    those that occur twice are counted out, so a gram's rows are spread over all tasks."""
+def _counted(contexts: DataFrame, length: int, width: int = 20) -> DataFrame:
+    """What repeated_around finds, for grams with more contexts than one task should hold, by counting; a gram's rows are spread over all tasks.
+
+    The strings around an anchor are taken in blocks of `width` that begin side by side. All of a block share a core, and lie in a hull.
+    Where a core is alone, none of its strings repeats; where all its hulls are equal, all do; only the others are counted one by one."""
+    last = length - GRAM
+    starts = np.arange(0, last + 1, width)  # bytes before the anchor, of each block's last string
+    ends = np.minimum(starts + width - 1, last)  # and of its first
+
+    def cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts(batches, "bytes", 1 << 20):
+            data, offsets = as_bytes(part.column("bytes"))
+            left = part.column("left").to_numpy().astype(np.int64)
+            right = np.diff(offsets) - left
+            row, k = np.nonzero((left[:, None] >= starts) & (right[:, None] >= length - ends))
+            low, high = np.maximum(starts[k], length - right[row]), np.minimum(ends[k], left[row])  # the strings that the context holds
+            row, k, low, high = (x[low <= high] for x in (row, k, low, high))
+            at, h = offsets[row] + left[row], prefix(data)
+            core, hull = slices(h, at - starts[k], at + length - ends[k]), slices(h, at - high, at + length - low)
+            hull = mix(hull ^ low.astype(U) << U(32) ^ high.astype(U))
+            ids = [part.column(i).take(pa.array(row)) for i in range(3)]
+            more = [pa.array(k, pa.int32()), *(pa.array(x.view(np.int64)) for x in (core, hull)), pa.array(low, pa.int32()), pa.array(high, pa.int32())]
+            yield pa.record_batch([*ids, *more], names=["gram", "around", "n", "k", "core", "hull", "low", "high"])
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts(batches, "bytes", 1 << 16):
+        for part in parts(batches, "bytes", 1 << 17):
             data, offsets = as_bytes(part.column("bytes"))
             left = part.column("left").to_numpy().astype(np.int64)
-            o = np.arange(length - GRAM + 1)
-            fits = (left[:, None] >= o) & (np.diff(offsets)[:, None] - left[:, None] >= length - o)
-            row, o = np.nonzero(fits)
-            start = offsets[row] + left[row] - o
-            code = slices(prefix(data), start, start + length)
+            asked = np.zeros((part.num_rows, last + 1), bool)
+            for i, ks in enumerate(part.column("ks").to_pylist()):
+                for k in ks:
+                    asked[i, starts[k] : ends[k] + 1] = True
+            o = np.arange(last + 1)
+            row, o = np.nonzero(asked & (left[:, None] >= o) & (np.diff(offsets)[:, None] - left[:, None] >= length - o))
+            at = offsets[row] + left[row] - o
+            code = slices(prefix(data), at, at + length)
             ids = [part.column(i).take(pa.array(row)) for i in range(3)]
             yield pa.record_batch([*ids, pa.array(o, pa.int32()), pa.array(code.view(np.int64))], names=["gram", "around", "n", "o", "code"])
 
-    found = cut(contexts.dropDuplicates(["gram", "around"]).mapInArrow(strings, "gram long, around long, n long, o int, code long"))
+    contexts = cut(contexts.dropDuplicates(["gram", "around"]))
+    held = contexts.mapInArrow(cores, "gram long, around long, n long, k int, core long, hull long, low int, high int")
+    shared = held.groupBy("gram", "k", "core").agg(F.sum("n").alias("m"), F.min("hull").alias("a"), F.max("hull").alias("b")).filter("m > 1")
+    shared = cut(shared.select("gram", "k", "core", (F.col("a") != F.col("b")).alias("mixed")))
+    held = cut(held.join(shared.hint("merge"), ["gram", "k", "core"]).select("gram", "around", "k", "low", "high", "mixed"))
+    asked = held.filter("mixed").groupBy("gram", "around").agg(F.collect_list("k").alias("ks"))
+    found = contexts.join(asked.hint("merge"), ["gram", "around"]).select("gram", "around", "n", "left", "bytes", "ks")
+    found = cut(found.mapInArrow(strings, "gram long, around long, n long, o int, code long"))
     twice = cut(found.groupBy("gram", "o", "code").agg(F.sum("n").alias("m")).filter("m > 1").drop("m"))
-    ends = found.join(twice.hint("merge"), ["gram", "o", "code"]).groupBy("gram", "around").agg(F.min("o").alias("low"), F.max("o").alias("high"))
-    return ends.select("gram", "around", (-F.col("high")).alias("a"), (length - F.col("low")).alias("b"))
+    single = found.join(twice.hint("merge"), ["gram", "o", "code"]).select("gram", "around", F.col("o").alias("low"), F.col("o").alias("high"))
+    runs = held.filter("not mixed").select("gram", "around", "low", "high").union(single).groupBy("gram", "around").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    return runs.select("gram", "around", (-F.col("high")).alias("a"), (length - F.col("low")).alias("b"))
 
 
 def repeated_spans(docs: DataFrame, length: int = 200, most_contexts: int = 20_000) -> DataFrame:
