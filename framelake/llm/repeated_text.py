@@ -258,18 +258,20 @@ def repeated_spans(docs: DataFrame, length: int = 200, most_contexts: int = 20_0
 
     def quote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts(batches, "text", 1 << 20):
-            out: dict[str, list] = {"gram": [], "around": [], "n": [], "left": [], "bytes": []}
+            out: dict[str, list] = {"gram": [], "around": [], "n": [], "left": [], "bytes": [], "crowded": []}
             for w, raw in zip(part.column(0).to_pylist(), grown(part.column(1))):
                 for x in w:
                     low = max(0, x["at"] - reach)
-                    for name, v in zip(out, (x["gram"], x["around"], x["n"], x["at"] - low, raw[low : x["at"] + length])):
+                    for name, v in zip(out, (x["gram"], x["around"], x["n"], x["at"] - low, raw[low : x["at"] + length], x["crowded"])):
                         out[name].append(v)
-            kinds_ = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+            kinds_ = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_())
             yield pa.record_batch([pa.array(v, t) for v, t in zip(out.values(), kinds_)], names=list(out))
 
-    def quoted(kinds: DataFrame) -> DataFrame:
-        wanted = kinds.groupBy("doc_id", "content").agg(F.collect_list(F.struct("gram", "around", "n", "at")).alias("w"))
-        return shrunk(docs).join(wanted.hint("merge"), ["doc_id", "content"]).select("w", "text").mapInArrow(quote, "gram long, around long, n long, left int, bytes binary")
+    flag = F.coalesce("crowded", F.lit(False)) if crowded else F.lit(False)
+    flagged = kinds.join(frequent.withColumn("crowded", F.lit(True)).hint("merge"), "gram", "left") if crowded else kinds
+    wanted = flagged.groupBy("doc_id", "content").agg(F.collect_list(F.struct("gram", "around", "n", "at", flag.alias("crowded"))).alias("w"))
+    contexts = shrunk(docs).join(wanted.hint("merge"), ["doc_id", "content"]).select("w", "text").mapInArrow(quote, "gram long, around long, n long, left int, bytes binary, crowded boolean")
+    contexts = cut(contexts)  # once, for both ways
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Whole groups of grams stand together in a partition, in order; some thousand contexts at a time are compared."""
@@ -298,10 +300,9 @@ def repeated_spans(docs: DataFrame, length: int = 200, most_contexts: int = 20_0
         a, b = zip(*(runs[i] for i in some)) if some else ((), ())
         return frame.iloc[some][["gram", "around"]].assign(a=np.array(a, np.int32), b=np.array(b, np.int32))
 
-    few = quoted(kinds.join(frequent.hint("merge"), "gram", "left_anti") if crowded else kinds)
-    decided = few.repartition("gram").sortWithinPartitions("gram", "around").mapInPandas(compare, "gram long, around long, a int, b int")
+    decided = contexts.filter("not crowded").repartition("gram").sortWithinPartitions("gram", "around").mapInPandas(compare, "gram long, around long, a int, b int")
     if crowded:
-        decided = decided.unionByName(_counted(quoted(kinds.join(frequent.hint("merge"), "gram")), length))
+        decided = decided.unionByName(_counted(contexts.filter("crowded"), length))
     mixed = twice.filter("mixed").join(decided, ["gram", "around"]).select("doc_id", "content", F.struct((F.col("at") + F.col("a")).alias("a"), (F.col("at") + F.col("b")).alias("b")).alias("s"))
     whole = twice.filter("not mixed").select("doc_id", "content", F.struct(F.greatest(F.lit(0), F.col("at") - reach).alias("a"), (F.col("at") + length).alias("b")).alias("s"))
     return mixed.union(whole).groupBy("doc_id", "content").agg(F.array_sort(F.collect_list("s")).alias("spans"))
