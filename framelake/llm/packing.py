@@ -129,7 +129,7 @@ def tokenize(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPA
     """Pieces of documents(doc_id, text): doc_id, piece, start, length and ids (little-endian 32-bit).
 
     A null text is empty; every document ends with `end_id`. Only documents longer than the capacity are
-    cut: full pieces first, the rest last. Rows with the same doc_id are separate documents."""
+    cut: the first piece is what full pieces leave over, all others are full. Rows with the same doc_id are separate documents."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = ByteLevelEncoder.shared(tokenizer)
@@ -139,8 +139,10 @@ def tokenize(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPA
             end = np.array([end_id], "<u4").tobytes()
             for doc_id, a, b in zip(part.column(0).to_pylist(), before, before[1:]):
                 whole = ids[a:b].astype("<u4").tobytes() + end
-                for k, at in enumerate(range(0, len(whole), 4 * capacity)):
-                    piece = whole[at : at + 4 * capacity]
+                first = (len(whole) - 1) % (4 * capacity) + 1  # bytes of the first piece
+                for k, end_at in enumerate(range(first, len(whole) + 1, 4 * capacity)):
+                    at = max(0, end_at - 4 * capacity)
+                    piece = whole[at:end_at]
                     for name, v in zip(rows, (doc_id, k, at // 4, len(piece) // 4, piece)):
                         rows[name].append(v)
             yield pa.record_batch(

@@ -53,7 +53,7 @@ def check_packed(rows, texts, capacity):
         ids = exact.encode(text or "", add_special_tokens=False).ids + [0]
         mine = sorted(pieces[doc_id], key=lambda r: r.piece)
         assert [r.piece for r in mine] == list(range(len(mine))) and sum(r.length for r in mine) == len(ids)
-        assert len(mine) == max(1, -(-len(ids) // capacity))
+        assert len(mine) == max(1, -(-len(ids) // capacity)) and all(r.length == capacity for r in mine[1:])
         for r in mine:
             assert crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes()) == (r.ids_crc32 if "ids_crc32" in r else crc32(r.ids))
     return len(places)
