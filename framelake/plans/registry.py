@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from framelake.functions import layouts as L
 from framelake.functions import packets as P
 from framelake.functions import pcm as S
-from framelake.operators import stats, streams
+from framelake.functions.layouts import LAYOUTS
+from framelake.operators import redundancy, stats, streams
 from framelake.sources.adapters import FRAME, PACKETS_SQL, blocks, headers, packets
 
 #: Expressions of the headers in DuckDB's SQL.
@@ -200,3 +202,31 @@ def block_comparison(spark, sf_dir: str) -> DataFrame:
     rows = blocks(spark, sf_dir)
     other = rows.select((F.col("block_id") - 1).alias("block_id"), F.col("pcm").alias("b"))
     return stats.compare_blocks(rows.select("block_id", F.col("pcm").alias("a")).join(other, "block_id"))
+
+
+@query(f"""{WITH}, p AS (SELECT event_id, stream_id, seq, substr(repeat(md5(event_id::VARCHAR), 4), 1, len) AS body FROM packets)
+    SELECT a.event_id, (CASE WHEN a.seq = 1 THEN 0 ELSE 2 - a.seq + b.seq END)::INT AS place, (a.seq - b.seq) * {FRAME} AS "offset", b.body AS block, a.body AS "primary"
+    FROM p a JOIN p b ON a.stream_id = b.stream_id AND b.seq BETWEEN a.seq - 2 AND a.seq - 1""")
+def redundant_blocks(spark, sf_dir: str) -> DataFrame:
+    """Payloads with two earlier ones each, put on the wire and taken apart again."""
+    body = F.substring(F.repeat(F.md5(F.col("event_id").cast("string").cast("binary")), 4), F.lit(1), F.col("len").cast("int")).cast("binary")
+    rows = packets(spark, sf_dir).select("event_id", "stream_id", "seq", F.col("ts48").alias("ts"), body.alias("payload"))
+    parsed = redundancy.split_redundancy(redundancy.add_redundancy(rows, 2, FRAME, 111).select("event_id", "wire"), 111)
+    return parsed.select("event_id", F.posexplode("blocks").alias("place", "b"), F.col("primary").cast("string").alias("primary")).select("event_id", "place", "b.offset", F.col("b.payload").cast("string").alias("block"), "primary")
+
+
+ROUTES = ", ".join(f"({n}, {coupled}, {at}, {coded})" for n, (_, coupled, mapping) in LAYOUTS.items() for at, coded in enumerate(mapping))
+
+
+@query(f"""SELECT vec_id AS block_id, channel, CASE WHEN coded < 2 * coupled THEN coded // 2 ELSE coded - coupled END AS stream, CASE WHEN coded < 2 * coupled THEN coded % 2 ELSE 0 END AS side
+    FROM embeddings JOIN (VALUES {ROUTES}) r(channels, coupled, channel, coded) ON label % 8 + 1 = channels""")
+def channel_routes(spark, sf_dir: str) -> DataFrame:
+    rows = blocks(spark, sf_dir).select("block_id", L.layout(F.col("channels")).alias("x"))
+    routed = rows.select("block_id", "x.coupled", F.posexplode("x.mapping").alias("channel", "coded"))
+    return routed.select("block_id", "channel", L.route(F.col("coded"), F.col("coupled")).alias("r")).select("block_id", "channel", "r.*")
+
+
+@query(f"{WITH} SELECT event_id, len * 11 AS length, len * 11 // 255 + 1 AS segments FROM packets")
+def lacing_round_trip(spark, sf_dir: str) -> DataFrame:
+    rows = headers(spark, sf_dir).select("event_id", L.lacing(F.col("len") * 11).alias("s"))
+    return rows.select("event_id", F.get(L.laced_lengths(F.col("s")), F.lit(0)).cast("long").alias("length"), F.size("s").cast("long").alias("segments"))
