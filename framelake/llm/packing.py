@@ -3,13 +3,12 @@
 Only the histogram of piece lengths (at most `capacity` rows, whatever the corpus) reaches the driver.
 There a configuration linear program - patterns of lengths that fill a sequence, each length covered as
 often as it occurs - is solved by multiplicative weights: a knapsack over the current prices finds the
-dearest pattern, and the lengths that it covers get cheaper. The fractional solution is rounded down,
-and best fit, run on classes of equal bins, places what is left. Executors then give the r-th piece of
+dearest patterns, and the lengths that they cover get cheaper, until the plan is within 2% of the bound that
+the prices prove. The fractional solution is rounded, and best fit, run on classes of equal bins, places what is left. Executors then give the r-th piece of
 a length its sequence and offset by binary search in the table of patterns."""
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,19 +24,22 @@ CAPACITY = 2048
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
 
 
-def knapsack(prices: np.ndarray, lengths: np.ndarray, capacity: int) -> dict[int, int]:
-    """The dearest multiset of lengths (ascending) within the capacity: {index: times}."""
+def dearest(prices: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each room up to the capacity: the price of the dearest multiset of lengths (ascending) within it, and the index of one of them (-1: a token stays free)."""
     best, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1)
     upto = np.searchsorted(lengths, np.arange(capacity + 1), "right")
-    for room in range(1, capacity + 1):
+    for room in range(int(lengths[0]), capacity + 1):
         best[room] = best[room - 1]
-        if upto[room]:
-            value = best[room - lengths[: upto[room]]] + prices[: upto[room]]
-            i = int(value.argmax())
-            if value[i] > best[room]:
-                best[room], choice[room] = value[i], i
+        value = best[room - lengths[: upto[room]]] + prices[: upto[room]]
+        i = int(value.argmax())
+        if value[i] > best[room]:
+            best[room], choice[room] = value[i], i
+    return best, choice
+
+
+def chosen(choice: np.ndarray, lengths: np.ndarray, room: int) -> dict[int, int]:
+    """The multiset that dearest() chose for this room: {index: times}."""
     found: dict[int, int] = {}
-    room = capacity
     while room > 0:
         if (i := int(choice[room])) < 0:
             room -= 1
@@ -47,26 +49,64 @@ def knapsack(prices: np.ndarray, lengths: np.ndarray, capacity: int) -> dict[int
     return found
 
 
-def configuration_lp(histogram: dict[int, int], capacity: int, rounds: int = 300, rate: float = 0.5) -> list[tuple[dict[int, int], float]]:
-    """A near-optimal fractional cover of the histogram: [({length: times}, how many such sequences)].
+def knapsack(prices: np.ndarray, lengths: np.ndarray, capacity: int) -> dict[int, int]:
+    """The dearest multiset of lengths (ascending) within the capacity: {index: times}."""
+    return chosen(dearest(prices, lengths, capacity)[1], lengths, capacity)
+
 
-    Multiplicative weights for covering: a length's price falls by exp(-rate * share of its demand that the
-    chosen pattern covers in this step); the step is as long as the scarcest length of the pattern allows."""
-    lengths = np.array(sorted(histogram), np.int64)
+class Prices:
+    """Logarithms of the lengths' prices, at first the lengths themselves. bound: no packing has fewer sequences, as any prices prove
+    it: demand times price over the dearest pattern. size: sequences of the last cover, scaled until it has every length in full."""
+
+    def __init__(self, histogram: dict[int, int]) -> None:
+        self.lengths = np.array(sorted(histogram), np.int64)
+        self.log, self.bound, self.size = np.log(self.lengths.astype(float)), 0.0, float("inf")
+
+
+def configuration_lp(histogram: dict[int, int], capacity: int, rounds: int = 100, rate: float = 0.2, state: Prices | None = None) -> list[tuple[dict[int, int], float]]:
+    """A fractional cover of the histogram: [({length: times}, how many such sequences)], scaled for the median length to be covered.
+
+    Multiplicative weights for covering: a length's price falls by exp(-rate * share of its demand that the chosen pattern covers in
+    this step); the step is as long as the scarcest length of the pattern allows. In each round one knapsack serves all patterns that
+    are within `rate` of the dearest by the prices as they fall. Afterwards `state` has the mean of the second half's prices, for a next
+    call with more rounds at a lower rate, and what these prove."""
+    state = state or Prices(histogram)
+    lengths, log_price = state.lengths, state.log
     demand = np.array([histogram[int(x)] for x in lengths], float)
-    covered, log_price, chosen = np.zeros(len(lengths)), np.zeros(len(lengths)), {}
-    for _ in range(rounds):
-        prices = np.exp(log_price - log_price.max()) / demand * lengths
-        pattern = knapsack(prices, lengths, capacity)
-        items, times = np.array(list(pattern)), np.array(list(pattern.values()), float)
-        step = float((demand[items] / times).min()) * 0.5
-        covered[items] += times * step
-        log_price[items] -= rate * times * step / demand[items]
-        key = tuple(sorted((int(lengths[i]), t) for i, t in pattern.items()))
-        chosen[key] = chosen.get(key, 0.0) + step
+    covered, used, late = np.zeros(len(lengths)), {}, []
+
+    def priced() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        prices = np.exp(log_price - log_price.max())
+        best, choice = dearest(prices, lengths, capacity)
+        state.bound = max(state.bound, float((demand * prices).sum() / best[capacity]))
+        return prices, best, choice
+
+    for step in range(rounds):
+        prices, best, choice = priced()
+        if 2 * step >= rounds - 1:
+            late.append(log_price - log_price.max())
+        least = (1 - rate) * best[capacity]
+        with_each = prices + best[capacity - lengths]
+        near = np.flatnonzero(with_each >= least)
+        log_price = log_price.copy()
+        for i in near[np.argsort(-with_each[near], kind="stable")].tolist():
+            pattern = chosen(choice, lengths, capacity - int(lengths[i]))
+            pattern[i] = pattern.get(i, 0) + 1
+            if sum(t * prices[k] for k, t in pattern.items()) < least:
+                continue
+            times = min(demand[k] / t for k, t in pattern.items())
+            key = tuple(sorted((int(lengths[k]), t) for k, t in pattern.items()))
+            used[key] = used.get(key, 0.0) + times
+            for k, t in pattern.items():
+                covered[k] += t * times
+                log_price[k] -= rate * t * times / demand[k]
+                prices[k] *= np.exp(-rate * t * times / demand[k])
+    state.log = log_price = np.mean(late, axis=0)
+    priced()
     share = covered / demand
-    reached = max(1.0, float(np.median(share)))
-    return [(dict(k), x / reached) for k, x in chosen.items()]
+    state.size = sum(used.values()) / share.min() if share.min() else float("inf")
+    reached = float(np.median(share)) or 1.0
+    return [(dict(k), x / reached) for k, x in used.items()]
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
@@ -99,30 +139,47 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int]
     return [x for group in classes.values() for x in group]
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
-    """Whole sequences for every piece of the histogram: [({length: times}, sequences)].
-
-    The program's patterns are rounded down, as far as pieces are left, and best fit places the others. Where
-    the histogram is so small that rounding costs more than the program gains, best fit alone is kept."""
-    histogram = {int(k): int(v) for k, v in histogram.items() if v}
-    if not histogram:
-        return []
-    alone = best_fit(histogram, capacity)
-    least = -(-sum(k * v for k, v in histogram.items()) // capacity)
-    if sum(n for _, n in alone) == least:  # no plan has fewer
-        return alone
+def rounded(patterns: list[tuple[dict[int, int], float]], histogram: dict[int, int], capacity: int) -> tuple[list[tuple[dict[int, int], int]], int]:
+    """Whole sequences from fractional ones, the most frequent patterns first, as far as pieces are left; best fit places the
+    others. Also how many sequences are the program's."""
     left, out = dict(histogram), []
-    patterns = [(-x, i, p) for i, (p, x) in enumerate(configuration_lp(histogram, capacity))]
-    heapq.heapify(patterns)
-    while patterns:
-        x, _, pattern = heapq.heappop(patterns)
-        whole = min(int(-x), *(left[k] // t for k, t in pattern.items()))
+    for pattern, x in sorted(patterns, key=lambda p: -p[1]):
+        whole = min(round(x), *(left[k] // t for k, t in pattern.items()))
         if whole:
             out.append((pattern, whole))
             for k, t in pattern.items():
                 left[k] -= whole * t
-    out += best_fit({k: v for k, v in left.items() if v}, capacity)
-    return min(out, alone, key=lambda x: sum(n for _, n in x))
+    return out + best_fit({k: v for k, v in left.items() if v}, capacity), sum(n for _, n in out)
+
+
+def solve(histogram: dict[int, int], capacity: int = CAPACITY, within: float = 0.02) -> tuple[list[tuple[dict[int, int], int]], int, float]:
+    """Whole sequences for every piece of the histogram [({length: times}, sequences)], how many of them are the
+    program's, and a lower bound of any packing.
+
+    The program runs until the whole plan, or the fractional cover of every length, is within this share of the bound: below
+    it only rounding is left, which costs less than a sequence for each pattern. Best fit alone is kept where it has no more
+    sequences than the program's plan, and at once where it has as few as the tokens need."""
+    histogram = {int(k): int(v) for k, v in histogram.items() if v}
+    if not histogram:
+        return [], 0, 0.0
+    count = lambda x: sum(n for _, n in x)
+    found, programs = best_fit(histogram, capacity), 0
+    least = -(-sum(k * v for k, v in histogram.items()) // capacity)
+    if count(found) == least:  # no plan has fewer
+        return found, 0, least
+    state, rounds, rate = Prices(histogram), 100, 0.2
+    while True:
+        made, own = rounded(configuration_lp(histogram, capacity, rounds, rate, state), histogram, capacity)
+        if count(made) < count(found):
+            found, programs = made, own
+        if min(count(found), state.size) <= (1 + within) * max(least, np.ceil(state.bound - 1e-6)):
+            return found, programs, state.bound
+        rounds, rate = 2 * rounds, rate / 2
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
+    """Whole sequences for every piece of the histogram: [({length: times}, sequences)]."""
+    return solve(histogram, capacity)[0]
 
 
 def tokenize(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:

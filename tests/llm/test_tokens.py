@@ -8,7 +8,7 @@ from tokenizers import Tokenizer
 
 from framelake.llm.automaton import WordEncoder, encode
 from framelake.llm.chunks import ByteLevelEncoder
-from framelake.llm.packing import best_fit, configuration_lp, knapsack, op1_best_fit_packing, pack_documents, plan, sequences
+from framelake.llm.packing import best_fit, configuration_lp, knapsack, op1_best_fit_packing, pack_documents, plan, sequences, solve
 from framelake.llm.sharding import best_fit_decreasing, into_bins, op2_sharding, shard
 
 ODD = [None, "", " ", "  a  b\n\nc\t d ", "İstanbul ß ﬁ é é", "日本語　テキスト", "\U0001f600x  y z", "<|endoftext|> it's 12345 don't!!", "</w> <unk>", "aaaa" * 3000, "ÀÉ " * 50, "\x85\x1c\x00"]
@@ -85,6 +85,22 @@ def test_plans():
     assert knapsack(np.array([3.0, 5.0]), np.array([2, 3]), 7) == {1: 1, 0: 2}
 
 
+def test_program_runs_until_it_is_near_its_bound():
+    histogram = {k: 200 for k in range(550, 1000, 3)}
+    got, programs, bound = solve(histogram, 2048)
+    used = sum(n for _, n in got)
+    assert used <= 1.02 * np.ceil(bound) and programs >= 0.9 * used
+    assert sum(n for _, n in plan(histogram, 2048)) == used <= 0.95 * sum(n for _, n in best_fit(histogram, 2048))
+    placed = defaultdict(int)
+    for pattern, n in got:
+        assert sum(k * t for k, t in pattern.items()) <= 2048
+        for k, t in pattern.items():
+            placed[k] += n * t
+    assert dict(placed) == histogram
+    exact, programs, bound = solve({1024: 5, 700: 4, 648: 2}, 2048)  # best fit alone has as few as the tokens need
+    assert (sum(n for _, n in exact), programs, bound) == (5, 0, 5)
+
+
 def test_best_fit_takes_the_tightest_bin():
     r = np.random.default_rng(1)
     sizes = sorted(r.integers(1, 60, 400).tolist(), reverse=True)
