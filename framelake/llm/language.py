@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from framelake.llm._common import aside, read, restored
+from framelake.llm._common import aside, cut, read, restored
 from framelake.llm._text import U, as_bytes, mix, parts
 
 #: Language families by ISO 639-1 code. A code that isn't listed is a family of its own.
@@ -106,19 +106,21 @@ class Hierarchy:
         return [self.langs[i] for i in best], sure * against
 
 
-def train(docs: DataFrame, per_language: int = 1000, languages: int = 64) -> Hierarchy | None:
+def train(docs: DataFrame, per_language: int = 1000, most: int = 64_000) -> Hierarchy | None:
     """Fit on documents(doc_id, text, lang). Rows with a null text or lang teach nothing; None if none is left.
 
-    The sample is bounded: at most `per_language` rows of each of the `languages` most frequent values of lang,
-    those with the smallest hash of doc_id. Texts count whole. A first pass, over the ids and langs only, finds the share to
-    take of each language, so no text but those of the sample is sorted."""
-    usable = docs.filter("text is not null and lang is not null")
-    counts = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()
-    if not counts:
+    Every value of lang with a row is learnt. The sample is bounded: at most `per_language` rows of each, those with the smallest
+    hash of doc_id, and fewer where there are so many languages that all would be over `most` rows (but one each). Texts count whole.
+    A first pass, over the ids and langs only, finds the share to take of each language, so no text but those of the sample is sorted."""
+    usable = docs.select("doc_id", "text", "lang").filter("text is not null and lang is not null")
+    counts = cut(usable.groupBy("lang").agg(F.count("*").alias("of_lang")))  # a row for each language
+    languages = counts.count()
+    if not languages:
         return None
+    per_language = max(1, min(per_language, most // languages))
+    share = counts.withColumn("share", F.least(F.lit(1 << 30), (F.lit(1.3 * per_language + 50) / F.col("of_lang") * (1 << 30)).cast("long")))
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1 << 30, int((1.3 * per_language + 50) / r["n"] * (1 << 30))))])
-    picked = usable.withColumn("draw", draw).filter(F.col("draw") < F.coalesce(share[F.col("lang")], F.lit(0)))
+    picked = usable.join(F.broadcast(share), "lang").withColumn("draw", draw).filter(F.col("draw") < F.col("share"))
     order = Window.partitionBy("lang").orderBy("draw", "doc_id", F.xxhash64("text"))
     sample = picked.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_language).select("lang", "text")
 

@@ -101,6 +101,21 @@ def test_language(spark, documents, odd):
     assert language.identify(docs, alone).filter("lang_pred = 'de'").count() > 0
 
 
+def test_every_language_is_learnt(spark):
+    r = np.random.default_rng(0)
+    rows = []
+    for k in range(80):
+        vocabulary = ["".join(r.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(8)]
+        rows += [(100 * k + i, " ".join(r.choice(vocabulary, 30)), f"x{k:02}") for i in range(6 if k < 64 else 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for most in (64_000, 160):  # then with two rows of each
+        model = language.train(docs, most=most)
+        assert len(model.langs) == 80
+        got = language.identify(docs, model).collect()
+        assert all(sum(x.lang == x.lang_pred for x in got if x.lang == lang) > 0 for lang in model.langs)
+        assert np.mean([x.lang == x.lang_pred for x in got if x.lang >= "x64"]) > 0.9
+
+
 def test_quality_model(spark, odd):
     folder = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{folder}/labels.parquet")
