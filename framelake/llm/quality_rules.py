@@ -2,14 +2,14 @@
 
 Two histograms of a text are compared with the references of its language by Jensen-Shannon distance (base 2, so from 0 to
 1): its character classes, and its common words against all others. The references are the sums over all documents of the
-language. Texts too short for a comparison pass it. Everything is built-in column functions."""
+language; a rare or null language has the characters of the whole corpus. Texts too short for a comparison pass it. Everything is built-in column functions."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framelake.llm._common import read
+from framelake.llm._common import cut, read
 
 #: The most common words of the languages that have a reference.
 COMMON_WORDS = {
@@ -23,6 +23,8 @@ SYMBOLS = "#*$%&|<>"
 CLASSES = ("lower and other letters", "upper-case letters", "digits", "white space", "punctuation", "symbols", "rest")
 MIN_WORDS = 10
 MAX_REPEATED_PERCENT = 20
+#: Documents that give a language without a word list a reference of its own.
+REFERENCE_DOCUMENTS = 100
 #: A comparison needs so many words; a distance above the limit rejects.
 CHARACTER_GUARD, CHARACTER_LIMIT = 40, 0.28
 WORD_GUARD, WORD_LIMIT = 100, 0.30
@@ -117,12 +119,17 @@ def _histograms(docs: DataFrame) -> DataFrame:
     return docs.drop("_t", "_e", "_g", "_u", "_d", "_p", "_y")
 
 
-def references(docs: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
-    """The summed histograms of each language with a word list, over all documents: four rows at most reach the driver."""
+def references(docs: DataFrame) -> tuple[DataFrame, list[float | None]]:
+    """Summed histograms over all documents: a table of lang, _ref_chars and _ref_common, with a row for each language that has a word list or
+    REFERENCE_DOCUMENTS documents (_ref_common is null without a list), and the characters of the whole corpus for all others and for a null lang."""
     width = len(next(iter(COMMON_WORDS.values()))) + 1
-    known = _histograms(_shared(docs.filter(F.col("lang").isin(list(COMMON_WORDS))).select("text", "lang")))
-    sums = [F.sum(F.col("_chars")[i]).alias(f"c{i}") for i in range(len(CLASSES))] + [F.sum(F.col("_common")[i]).alias(f"w{i}") for i in range(width)]
-    return {r["lang"]: ([r[f"c{i}"] for i in range(len(CLASSES))], [r[f"w{i}"] for i in range(width)]) for r in known.groupBy("lang").agg(*sums).collect()}
+    known = _histograms(_shared(docs.select("text", "lang")))
+    array = lambda name, n: F.array(*[F.sum(F.col(name)[i]) for i in range(n)])
+    listed = F.col("lang").isin(list(COMMON_WORDS))
+    sums = cut(known.groupBy("lang").agg(F.count("*").alias("n"), array("_chars", len(CLASSES)).alias("_ref_chars"), array("_common", width).alias("_ref_common")))
+    whole = sums.agg(*[F.sum(F.col("_ref_chars")[i]) for i in range(len(CLASSES))]).first()
+    own = sums.filter(listed | (F.col("lang").isNotNull() & (F.col("n") >= REFERENCE_DOCUMENTS)))
+    return own.select("lang", "_ref_chars", F.when(listed, F.col("_ref_common")).alias("_ref_common")), list(whole)
 
 
 def jensen_shannon(p: Column, q: Column) -> Column:
@@ -134,29 +141,31 @@ def jensen_shannon(p: Column, q: Column) -> Column:
     return F.when((total(p) > 0) & (total(q) > 0), F.sqrt(F.greatest(F.lit(0.0), total(terms))))
 
 
-def with_divergence(docs: DataFrame, refs: dict[str, tuple[list[float], list[float]]]) -> DataFrame:
-    """Add char_distance and word_distance to documents(text, lang, ...); null where the language has no reference or the text is under the guard."""
-    return _divergence(_shared(docs), refs).drop(*SHARED)
+def _with_references(docs: DataFrame, refs: tuple[DataFrame, list[float | None]]) -> DataFrame:
+    """Add _ref_chars and _ref_common to documents(lang, ...)."""
+    table, whole = refs
+    docs = docs.join(F.broadcast(table.withColumnRenamed("lang", "_ref_lang")), F.col("lang") == F.col("_ref_lang"), "left").drop("_ref_lang")
+    return docs.withColumn("_ref_chars", F.coalesce("_ref_chars", F.array(*[F.lit(x).cast("double") for x in whole])))
 
 
-def _divergence(docs: DataFrame, refs: dict[str, tuple[list[float], list[float]]]) -> DataFrame:
-    docs = _histograms(docs)
-    chars, common = F.lit(None).cast("array<double>"), F.lit(None).cast("array<double>")
-    for lang, (c, w) in refs.items():
-        chars = F.when(F.col("lang") == lang, F.array(*map(F.lit, c))).otherwise(chars)
-        common = F.when(F.col("lang") == lang, F.array(*map(F.lit, w))).otherwise(common)
-    return docs.withColumns({
-        "char_distance": F.when(F.col("_n") >= CHARACTER_GUARD, jensen_shannon(F.col("_chars"), chars)),
-        "word_distance": F.when(F.col("_n") >= WORD_GUARD, jensen_shannon(F.col("_common"), common)),
-    }).drop("_chars", "_common", "_n")
+def with_divergence(docs: DataFrame, refs: tuple[DataFrame, list[float | None]]) -> DataFrame:
+    """Add char_distance and word_distance to documents(text, lang, ...); null where the text is under the guard, and word_distance where the language has no word list."""
+    return _divergence(_shared(_with_references(docs, refs))).drop(*SHARED)
+
+
+def _divergence(docs: DataFrame) -> DataFrame:
+    return _histograms(docs).withColumns({
+        "char_distance": F.when(F.col("_n") >= CHARACTER_GUARD, jensen_shannon(F.col("_chars"), F.col("_ref_chars"))),
+        "word_distance": F.when(F.col("_n") >= WORD_GUARD, jensen_shannon(F.col("_common"), F.col("_ref_common"))),
+    }).drop("_chars", "_common", "_n", "_ref_chars", "_ref_common")
 
 
 def judge(docs: DataFrame) -> DataFrame:
     """documents(text, lang, ...) with measures, distances and kept. Reads docs twice: for the references, then for the verdicts.
 
-    kept is false where base_failed, or where a distance is above its limit. A document whose lang is null or has no
-    reference is judged by base_failed alone; repeated rows are judged alike; an empty table gives an empty result."""
-    judged = _divergence(_measures(_shared(docs)), references(docs)).drop(*SHARED)
+    kept is false where base_failed, or where a distance is above its limit. A document whose lang is null or rare is compared with the
+    characters of the whole corpus, and one without a word list by its characters alone; repeated rows are judged alike; an empty table gives an empty result."""
+    judged = _divergence(_measures(_shared(_with_references(docs, references(docs))))).drop(*SHARED)
     far = (F.coalesce("char_distance", F.lit(0.0)) > CHARACTER_LIMIT) | (F.coalesce("word_distance", F.lit(0.0)) > WORD_LIMIT)
     judged = judged.withColumn("kept", ~F.col("base_failed") & ~far)
     # a filter on a verdict must not be pushed below the measures, where it would compute each of them several times

@@ -41,6 +41,17 @@ def test_measures_match_brute_force(spark, sf_dir, documents, odd):
     assert judge(odd.limit(0)).count() == 0
 
 
+def test_languages_without_a_word_list_are_compared(spark):
+    r = np.random.default_rng(0)
+    prose = lambda: " ".join("".join(r.choice(list("abcdefghijklmnopqrstuvwxyz"), 5)) for _ in range(200))
+    junk = lambda: " ".join(f"{x}#%" for x in r.integers(10**6, 10**7, 200))
+    rows = [(prose(), "pt", True) for _ in range(120)] + [(prose(), x, True) for x in (None, "xx", "en")] + [(junk(), x, False) for x in (None, "xx", "pt")]
+    got = judge(spark.createDataFrame(rows, "text string, lang string, good boolean")).collect()
+    assert len(got) == len(rows) and not any(x.base_failed for x in got)
+    assert all(x.kept == x.good and x.char_distance is not None for x in got if x.lang != "en")
+    assert all((x.word_distance is not None) == (x.lang == "en") for x in got)
+
+
 def test_divergence(spark):
     got = spark.range(1).select(*[jensen_shannon(F.array(*map(F.lit, a)), F.array(*map(F.lit, b))).alias(n) for n, a, b in (("same", [1.0, 3.0], [2.0, 6.0]), ("apart", [1.0, 0.0], [0.0, 5.0]), ("none", [0.0, 0.0], [1.0, 1.0]), ("half", [1.0, 0.0], [1.0, 1.0]))]).first()
     assert got.same == 0 and got.apart == 1 and got.none is None
