@@ -6,6 +6,7 @@ from collections import Counter
 from zlib import crc32
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -159,6 +160,21 @@ def test_neighbours(spark):
     assert n == 20 * asked.count() and hits / n >= 0.9
 
 
+def test_neighbours_over_full_blocks(spark):
+    """Two blocks of about 16,384 rows, where 12% of a block is compared exactly."""
+    n, r = 32_768, np.random.default_rng(0)
+    x = r.standard_normal((n, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(n), "embedding": x.tolist()}), "vec_id long, embedding array<double>")
+    found = search(rows, rows.filter("vec_id % 164 = 0")).toPandas().groupby("query_id")["vec_id"].agg(set)
+    hits = 0
+    for q in range(0, n, 164):
+        value = x @ x[q]
+        value[q] = -np.inf
+        hits += len(found[q] & set(np.argsort(-value)[:20].tolist()))
+    assert hits / (20 * len(found)) >= 0.95
+
+
 def test_odd_vectors(spark):
     r = random.Random(5)
     nan, inf = float("nan"), float("inf")
