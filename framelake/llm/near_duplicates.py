@@ -199,7 +199,7 @@ def classes(docs: DataFrame, threshold: float = 0.8, words: int = 5, bands: int
 
     A class is what links of Jaccard similarity (sets of word shingles) at or above the threshold connect; equal texts are always
     together. Texts without words are alike only if equal; a null text is empty; rows with the same doc_id are one document
-    and bring their texts' classes together. With 32 bands of 6, a pair at 0.8 shares no band once in 16,000."""
+    and bring their texts' classes together. Rows without a doc_id have no row in the result. With 32 bands of 6, a pair at 0.8 shares no band once in 16,000."""
     docs = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
     signed = cut(signatures(docs, bands, per_band, words))
     same = cut(signed.groupBy("content").agg(F.min("doc_id").alias("rep")))
