@@ -62,3 +62,40 @@ def laced_lengths(segments: Column) -> Column:
         return F.struct(F.when(x < 255, F.concat(s["out"], F.array(total))).otherwise(s["out"]).alias("out"), F.when(x < 255, 0).otherwise(total).alias("open"))
 
     return F.aggregate(segments, start, step, lambda s: s["out"])
+
+
+def ambisonics(channels: Column, paired: bool = False) -> Column:
+    """Struct of order, extra (0, or 2 for a stereo track beside the field), streams and coupled, for (order + 1)^2 + extra channels up to 227;
+    null for other counts. paired: all channels are in pairs, for a matrix to mix, which orders 1 to 5 have."""
+    root = F.floor(F.sqrt(channels)).cast("int")
+    extra = (channels - root * root).cast("int")
+    streams, coupled = (F.floor((channels + 1) / 2), F.floor(channels / 2)) if paired else (root * root + F.floor(extra / 2), F.floor(extra / 2))
+    good = (channels >= 1) & (channels <= 227) & extra.isin(0, 2)
+    good = good & root.between(2, 6) if paired else good
+    return F.when(good, F.struct((root - 1).alias("order"), extra.alias("extra"), streams.cast("int").alias("streams"), coupled.cast("int").alias("coupled")))
+
+
+def demix(coded: Column, matrix: Column, rows: Column, columns: Column) -> Column:
+    """One frame of output channels from coded ones, by a matrix of 16-bit integers stored column by column."""
+    cell = lambda r, c: F.get(matrix, c * rows + r) / 32768 * F.get(coded, c)
+    across = F.sequence(F.lit(0), (columns - 1).cast("int"))
+    return F.transform(F.sequence(F.lit(0), (rows - 1).cast("int")), lambda r: F.aggregate(across, F.lit(0.0), lambda s, c: s + cell(r, c)))
+
+
+def stream_rates(bitrate: Column, streams: Column, coupled: Column, low: Column, frames: int = 50) -> Column:
+    """Bits a second of each stream of a surround packet, of `frames` packets a second: low is the stream with the low-frequency channel,
+    or -1. A coupled stream weighs twice a single one and the low-frequency one an eighth; all get 500 at least. Whole numbers, cut towards 0."""
+    div = lambda a, b: F.when((a < 0) != (b < 0), -F.floor(F.abs(a) / F.abs(b))).otherwise(F.floor(F.abs(a) / F.abs(b)))
+    lows = (low >= 0).cast("long")
+    single = F.greatest(F.lit(0), streams - coupled - lows)
+    normal, each = 2 * coupled + single, 40 * max(50, frames)
+    own = F.when(low >= 0, F.least(F.floor(bitrate / 20), F.lit(3000)) + 15 * max(50, frames)).otherwise(0)
+    ahead = F.greatest(F.lit(0), F.least(F.lit(20000), div(div(bitrate - each * normal - own * lows, normal), F.lit(2))))
+    share = div(256 * (bitrate - own * lows - ahead * (coupled + single) - each * normal), F.greatest(F.lit(1), single * 256 + 512 * coupled + 32 * lows))
+
+    def rate(i: Column) -> Column:
+        paired, alone, bass = 2 * each + F.greatest(F.lit(0), ahead + share * 2), each + F.greatest(F.lit(0), ahead + share), F.greatest(F.lit(0), own + F.floor(share / 8))
+        return F.greatest(F.lit(500), F.when(i < coupled, paired).when(i != low, alone).otherwise(bass)).cast("long")
+
+    even = F.greatest(F.lit(500), F.floor(bitrate / streams)).cast("long")
+    return F.transform(F.sequence(F.lit(0), (streams - 1).cast("int")), lambda i: F.when(normal > 0, rate(i)).otherwise(even))

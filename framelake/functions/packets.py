@@ -70,3 +70,23 @@ def segments(length: Column) -> Column:
 def frame_length_bytes(n: Column) -> Column:
     """Bytes of a coded frame length: one below 252, else two."""
     return F.when(n < 252, 1).otherwise(2)
+
+
+def find_config(mode_: Column, bandwidth_: Column, samples: Column) -> Column:
+    """The configuration (0 to 31) with this mode, bandwidth and frame of samples at 48 kHz; -1 if there is none."""
+    all_ = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda c: F.struct(c.alias("c"), mode(c * 8).alias("m"), bandwidth(c * 8).alias("b"), frame_samples(c * 8).alias("s")))
+    hit = F.filter(all_, lambda x: (x["m"] == mode_) & (x["b"] == bandwidth_) & (x["s"] == samples))
+    return F.coalesce(F.get(hit, F.lit(0))["c"], F.lit(-1))
+
+
+def lookahead(rate: Column, low_delay: Column) -> Column:
+    """Samples by which an encoder lags behind its input."""
+    return (F.floor(rate / 400) + F.when(low_delay, 0).otherwise(F.floor(rate / 250))).cast("long")
+
+
+#: What the error codes 0, -1, -2, ... mean.
+ERRORS = ["success", "invalid argument", "buffer too small", "internal error", "corrupted stream", "request not implemented", "invalid state", "memory allocation failed"]
+
+
+def error_text(code: Column) -> Column:
+    return F.coalesce(F.when(code <= 0, F.get(F.array(*map(F.lit, ERRORS)), -code)), F.lit("unknown error"))

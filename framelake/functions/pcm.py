@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from framelake.functions.wire import digits, number
+
 
 def to_int16(pcm: Column) -> Column:
     """Scale by 32768, round half to even, clamp."""
@@ -59,3 +61,67 @@ def cross_fade(out: Column, into: Column) -> Column:
     pairs = F.arrays_zip(out.alias("a"), into.alias("b"))
     w = lambda i: F.pow(F.sin((i + 0.5) / F.size(out) * 3.141592653589793 / 2), 2)
     return F.transform(pairs, lambda p, i: (1 - w(i)) * p["a"] + w(i) * p["b"])
+
+
+def to_symmetric_int16(pcm: Column) -> Column:
+    """to_int16() with the same limit on both sides."""
+    return F.transform(pcm, lambda x: F.greatest(F.lit(-32767.0), F.least(F.lit(32767.0), F.rint(x.cast("double") * 32768))).cast("int"))
+
+
+def from_int24(pcm: Column) -> Column:
+    return F.transform(pcm, lambda x: (x / 8388608).cast("float"))
+
+
+def to_bytes(pcm: Column) -> Column:
+    """16-bit integers as little-endian bytes."""
+    return F.unhex(F.array_join(F.transform(pcm, lambda x: digits(F.pmod(x, F.lit(65536)), 2, little=True)), ""))
+
+
+def from_bytes(data: Column) -> Column:
+    """16-bit integers from little-endian bytes; an odd byte at the end is left out."""
+    n = F.floor(F.octet_length(data) / 2).cast("int")
+    value = lambda i: number(data, 2 * i, 2, little=True)
+    signed = lambda i: F.when(value(i) < 32768, value(i)).otherwise(value(i) - 65536).cast("int")
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), signed)).otherwise(F.array().cast("array<int>"))
+
+
+def downmix(pcm: Column, channels: int) -> Column:
+    """The mean of all channels of interleaved samples."""
+    n = F.floor(F.size(pcm) / channels).cast("int")
+    frame = lambda i: sum((F.get(pcm, i * channels + k).cast("double") for k in range(1, channels)), F.get(pcm, i * channels).cast("double")) / channels
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), frame)).otherwise(F.array().cast("array<double>"))
+
+
+def pan(pcm: Column, place: Column) -> Column:
+    """Interleaved stereo from mono, of equal power at every place from -1 (left) to 1 (right)."""
+    angle = (F.greatest(F.lit(-1.0), F.least(F.lit(1.0), place)) + 1) * 3.141592653589793 / 4
+    return F.flatten(F.transform(pcm, lambda x: F.array(x * F.cos(angle), x * F.sin(angle))))
+
+
+def normalize_peak(pcm: Column, target: float) -> Column:
+    """Scaled down to the target where a sample is above it."""
+    return F.when(peak(pcm) > target, F.transform(pcm, lambda x: x * (target / peak(pcm)))).otherwise(F.transform(pcm, lambda x: x.cast("double")))
+
+
+def resample(pcm: Column, source: int, target: int) -> Column:
+    """Linear interpolation from one rate to another; the last sample is held."""
+    n = F.greatest(F.lit(1), F.round(F.size(pcm) * target / source)).cast("int")
+    last = F.size(pcm) - 1
+
+    def at(i: Column) -> Column:
+        place = i * (source / target)
+        k = F.floor(place).cast("int")
+        a, b = F.get(pcm, k).cast("double"), F.get(pcm, k + 1).cast("double")
+        return F.when(k >= last, F.get(pcm, last).cast("double")).otherwise(a + (b - a) * (place - k))
+
+    return F.when(F.size(pcm) > 0, F.transform(F.sequence(F.lit(0), n - 1), at)).otherwise(F.array().cast("array<double>"))
+
+
+def concealed_chunks(remaining: Column, silk: Column, rate: int = 48_000) -> Column:
+    """Samples of the steps in which a loss is concealed: 20 ms while there are so many, then 10, then 5 (but for silk), then the rest."""
+    f20, f10, f5 = rate // 50, rate // 100, rate // 200
+    r1 = remaining % f20
+    r2 = F.when(r1 > f10, r1 - f10).otherwise(r1)
+    splits = ~silk & (r2 > f5) & (r2 < f10)
+    parts = F.concat(F.array_repeat(F.lit(f20), F.floor(remaining / f20).cast("int")), F.array(F.when(r1 > f10, f10), F.when(splits, f5), F.when(splits, r2 - f5).when(r2 > 0, r2).cast("int")))
+    return F.array_compact(parts)

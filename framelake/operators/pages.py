@@ -1,10 +1,74 @@
-"""Packets from container pages."""
+"""Container pages: cut out of files, put together from packets, and the packets in them."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from framelake.functions import container as C
+from framelake.functions.wire import number, part
+
+PAGES = "path string, at long, page binary"
+
+
+def cut_pages(files: DataFrame) -> DataFrame:
+    """files(path, content), as the binaryFile source reads them, to path, at (place of the page in the file) and page, up to the first
+    place where no whole page begins. A file is read by one task; its pages are spread over all others."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                rows, at, content = [], 0, content or b""
+                while content[at : at + 4] == C.PAGE.encode() and at + C.HEADER_BYTES <= len(content):
+                    body = at + C.HEADER_BYTES + content[at + 26]
+                    end = body + sum(content[at + C.HEADER_BYTES : body])
+                    if end > len(content):
+                        break
+                    rows.append((path, at, content[at:end]))
+                    at = end
+                if rows:
+                    yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.binary()))], names=["path", "at", "page"])
+
+    return files.select("path", "content").mapInArrow(cut, PAGES)
+
+
+def read_pages(pages: DataFrame) -> DataFrame:
+    """Add flags, granule, serial, page_seq, continued, segments, payload and error to pages(page): `invalid page` or `wrong checksum`, or null."""
+    p = F.col("page")
+    size, at = F.octet_length(p), lambda i, n=1: number(p, F.lit(i), n, little=True)
+    n = at(26).cast("int")
+    segments = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: number(p, i + C.HEADER_BYTES).cast("int"))).otherwise(F.array().cast("array<int>"))
+    granule = at(6, 7) + number(p, F.lit(13)).cast("decimal(20,0)") * F.lit(1 << 56).cast("decimal(20,0)")
+    fields = F.struct(at(5).alias("flags"), granule.cast("decimal(20,0)").alias("granule"), at(14, 4).alias("serial"), at(18, 4).alias("page_seq"), at(22, 4).alias("_crc"), segments.alias("segments"))
+    rows = pages.select(*pages.columns, F.inline(F.array(fields)))
+    body = F.aggregate("segments", F.lit(0), lambda s, x: s + x)
+    whole = (size >= C.HEADER_BYTES) & (part(p, F.lit(0), F.lit(4)) == F.lit(C.PAGE.encode())) & (size >= C.HEADER_BYTES + F.size("segments") + body)
+    exact = part(p, F.lit(0), C.HEADER_BYTES + F.size("segments") + body)
+    error = F.when(~F.coalesce(whole, F.lit(False)), "invalid page").when(C.crc(C.unsealed(exact)) != F.col("_crc"), "wrong checksum")
+    payload = part(p, C.HEADER_BYTES + F.size("segments"), body)
+    made = F.struct(F.col("flags").bitwiseAND(C.CONTINUED).cast("boolean").alias("continued"), payload.alias("payload"), error.alias("error"))
+    return rows.select(*pages.columns, "flags", "granule", "serial", "page_seq", "segments", F.inline(F.array(made)))
+
+
+def write_pages(packets: DataFrame, heads: DataFrame) -> DataFrame:
+    """packets(stream_id, seq, samples, payload) and heads(stream_id, head, tags) to stream_id, page_seq and page: a page for each of the two
+    headers, one for each packet with the samples up to and with it as its granule, and an empty one that ends the stream.
+
+    A packet has at most 65,024 bytes, as a page has 255 segments; streams are numbered by their id modulo 2^32."""
+    order = Window.partitionBy("stream_id").orderBy("seq")
+    upto = F.coalesce(F.sum("samples").over(order), F.lit(0))
+    body = packets.select("stream_id", (F.row_number().over(order) + 1).cast("long").alias("page_seq"), F.lit(0).alias("flags"), upto.alias("granule"), "payload")
+    first = heads.select("stream_id", F.inline(F.array(*[F.struct(F.lit(i).cast("long").alias("page_seq"), F.lit(flags).alias("flags"), F.lit(0).cast("long").alias("granule"), F.col(c).alias("payload")) for i, flags, c in ((0, C.FIRST, "head"), (1, 0, "tags"))])))
+    count = packets.groupBy("stream_id").agg(F.count("*").alias("n"), F.sum("samples").alias("granule"))
+    last = heads.select("stream_id").join(count, "stream_id", "left").select("stream_id", (F.coalesce("n", F.lit(0)) + 2).alias("page_seq"), F.lit(C.LAST).alias("flags"), F.coalesce("granule", F.lit(0)).alias("granule"), F.lit(b"").alias("payload"))
+    rows = body.unionByName(first).unionByName(last)
+    page = C.bare_page(F.col("payload"), F.col("flags"), F.col("granule"), F.pmod("stream_id", F.lit(1 << 32)), F.col("page_seq"))
+    rows = rows.select("stream_id", "page_seq", F.inline(F.array(F.struct(page.alias("page")))))
+    return rows.select("stream_id", "page_seq", C.sealed(F.col("page")).alias("page"))
+
 
 def packets_of_pages(pages: DataFrame) -> DataFrame:
     """pages(serial, page_seq, continued, segments array<int>, payload) to serial, packet (ascending, with gaps), last_page and payload.

@@ -5,12 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MOST_BLOCKS, MOST_OFFSET, MOST_LENGTH = 5, 0x3FFF, 0x3FF
-
+from framelake.functions.wire import number
 
-def _word(data: Column, at: Column, n: int = 1) -> Column:
-    """n bytes from a place (from 0) as a big-endian number; null past the end."""
-    return F.conv(F.hex(F.substring(data, at + 1, F.lit(n))), 16, 10).cast("long")
+MOST_BLOCKS, MOST_OFFSET, MOST_LENGTH = 5, 0x3FFF, 0x3FF
 
 
 def add_redundancy(packets: DataFrame, depth: int, frame: int, payload_type: int) -> DataFrame:
@@ -39,7 +36,7 @@ def split_redundancy(packets: DataFrame, payload_type: int) -> DataFrame:
 
     def verdict(i: Column) -> Column:
         """Null where the header at this place is that of a block."""
-        first, rest = _word(wire, 4 * i), _word(wire, 4 * i + 1, 3)
+        first, rest = number(wire, 4 * i), number(wire, 4 * i + 1, 3)
         primary = F.when(first % 128 != payload_type, "unexpected primary type").otherwise("end")
         return (
             F.when(size == 0, "empty payload").when(4 * i >= size, "truncated header").when(first < 128, primary).when(4 * i + 4 > size, "truncated redundant header")
@@ -48,13 +45,14 @@ def split_redundancy(packets: DataFrame, payload_type: int) -> DataFrame:
 
     out = packets.withColumn("_v", F.transform(F.sequence(F.lit(0), F.lit(MOST_BLOCKS)), verdict))
     out = out.withColumn("_n", (F.array_position(F.transform("_v", lambda v: v.isNotNull()), True) - 1).cast("int")).withColumn("_v", F.get("_v", F.col("_n")))
-    heads = F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda i: _word(wire, 4 * i + 1, 3))
+    heads = F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda i: number(wire, 4 * i + 1, 3))
     out = out.withColumn("_h", F.when(F.col("_n") > 0, heads).otherwise(F.array().cast("array<bigint>")))
+    # a barrier: a filter on what follows must not be pushed below the headers, where it would hold each step's expression many times over
+    out = out.select(*packets.columns, F.inline(F.array(F.struct("_n", F.col("_v").alias("_verdict"), "_h"))))
     upto = lambda k: F.aggregate(F.slice("_h", F.lit(1), k), 4 * F.col("_n").cast("long") + 1, lambda s, h: s + h % 1024)
     out = out.withColumn("_body", upto(F.size("_h")))
-    late = F.when(F.col("_v") != "end", F.col("_v")).when(F.col("_body") > size, "truncated redundant payload").when(F.col("_body") == size, "missing primary")
-    out = out.withColumn("error", late)
+    late = F.when(F.col("_verdict") != "end", F.col("_verdict")).when(F.col("_body") > size, "truncated redundant payload").when(F.col("_body") == size, "missing primary")
     block = lambda h, i: F.struct(F.floor(h / 1024).alias("offset"), F.substring(wire, (upto(i) + 1).cast("int"), (h % 1024).cast("int")).alias("payload"))
-    good = F.col("error").isNull()
-    out = out.withColumn("blocks", F.when(good, F.transform("_h", block))).withColumn("primary", F.when(good, F.substring(wire, (F.col("_body") + 1).cast("int"), size)))
-    return out.drop("_v", "_n", "_h", "_body")
+    good = late.isNull()
+    made = F.struct(late.alias("error"), F.when(good, F.transform("_h", block)).alias("blocks"), F.when(good, F.substring(wire, (F.col("_body") + 1).cast("int"), size)).alias("primary"))
+    return out.select(*packets.columns, F.inline(F.array(made)))

@@ -10,38 +10,16 @@ from framelake.functions import packets as P
 from framelake.functions import pcm as S
 from framelake.functions.layouts import LAYOUTS
 from framelake.operators import redundancy, stats, streams
-from framelake.sources.adapters import FRAME, PACKETS_SQL, blocks, headers, packets
-
-#: Expressions of the headers in DuckDB's SQL.
-MODE = "CASE WHEN toc < 96 THEN 'silk' WHEN toc < 128 THEN 'hybrid' ELSE 'celt' END"
-BANDWIDTH = """CASE WHEN toc // 8 < 4 THEN 'narrow' WHEN toc // 8 < 8 THEN 'medium' WHEN toc // 8 < 12 THEN 'wide' WHEN toc // 8 < 14 THEN 'superwide'
-    WHEN toc // 8 < 16 THEN 'full' WHEN toc // 8 < 20 THEN 'narrow' WHEN toc // 8 < 24 THEN 'wide' WHEN toc // 8 < 28 THEN 'superwide' ELSE 'full' END"""
-SIZE = """(CASE WHEN toc // 8 < 12 THEN (CASE toc // 8 % 4 WHEN 0 THEN 480 WHEN 1 THEN 960 WHEN 2 THEN 1920 ELSE 2880 END)
-    WHEN toc // 8 < 16 THEN (CASE toc // 8 % 2 WHEN 0 THEN 480 ELSE 960 END) ELSE (CASE toc // 8 % 4 WHEN 0 THEN 120 WHEN 1 THEN 240 WHEN 2 THEN 480 ELSE 960 END) END)"""
-FRAMES = "(CASE toc % 4 WHEN 0 THEN 1 WHEN 3 THEN second_byte % 64 ELSE 2 END)"
-STRICT = f"(CASE WHEN {FRAMES} BETWEEN 1 AND 48 AND {FRAMES} * {SIZE} <= 5760 THEN {FRAMES} END)"
-FEC_N = f"greatest(1, {SIZE} // 960)"
-FEC = f"(toc < 128 AND ((second_byte >> (7 - {FEC_N})::INT) & 1 = 1 OR (toc % 8 >= 4 AND (second_byte >> greatest(0, 6 - 2 * {FEC_N})::INT) & 1 = 1)))"
-WITH = f"WITH packets AS ({PACKETS_SQL})"
+from framelake.plans import measures, wire  # noqa: F401  (they register their queries)
+from framelake.plans.base import BANDWIDTH, FEC, FRAMES, MODE, ORACLE_SQL, QUERIES, SIZE, STRICT, WITH, query  # noqa: F401
+from framelake.sources.adapters import FRAME, blocks, headers, packets
+
+
 LOST = f"""{WITH}, gaps AS (SELECT stream_id, seq, seq - lag(seq) OVER (PARTITION BY stream_id ORDER BY seq) - 1 AS missing FROM packets WHERE NOT lost),
     slots AS (SELECT stream_id, seq - ago AS seq, ago, (seq - ago) * {FRAME} AS ts48 FROM (SELECT stream_id, seq, unnest(range(1, missing + 1)) AS ago FROM gaps WHERE missing > 0 AND missing < 100))"""
 RUNS = f"""{WITH}, good AS (SELECT *, last_value(CASE WHEN NOT lost THEN seq END IGNORE NULLS) OVER w AS g, last_value(CASE WHEN NOT lost THEN value END IGNORE NULLS) OVER w AS v
     FROM packets WINDOW w AS (PARTITION BY stream_id ORDER BY seq ROWS UNBOUNDED PRECEDING)), runs AS (SELECT *, CASE WHEN lost THEN seq - coalesce(g, -1) ELSE 0 END AS run FROM good)"""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str):
-    """Register a query under its name, with its SQL."""
-
-    def add(f):
-        QUERIES[f.__name__], ORACLE_SQL[f.__name__] = f, sql
-        return f
-
-    return add
-
-
 @query(f"{WITH} SELECT {MODE} AS mode, {BANDWIDTH} AS bandwidth, toc % 8 >= 4 AS stereo, count(*) AS packets, sum({SIZE})::BIGINT AS samples, round(avg(len), 6) AS mean_len FROM packets GROUP BY ALL")
 def packets_by_mode(spark, sf_dir: str) -> DataFrame:
     return stats.by_mode(headers(spark, sf_dir))
