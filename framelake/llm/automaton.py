@@ -243,7 +243,8 @@ class WordEncoder:
 
 
 def encode(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """documents(doc_id, text, ...) to doc_id, ids (little-endian 32-bit) and decoded (text). A null or empty text has no ids."""
+    """documents(doc_id, text, ...) to doc_id, ids (little-endian 32-bit) and decoded (text). A null or empty text has no ids.
+    Repeated rows are coded alike, an empty table gives an empty result, other columns play no part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = WordEncoder.shared(tokenizer)

@@ -1,8 +1,8 @@
 """Encoding of many texts through a table of chunks that recur.
 
 A text is cut before every single space that stands between two characters which aren't white space; no token
-of a byte-level vocabulary spans such a place. Chunks are hashed in numpy, a sorted table holds the ids of
-those met before, and only new ones are encoded."""
+of a byte-level vocabulary spans such a place. Chunks are hashed in numpy, a sorted table holds the bytes and ids of
+those met before, and only new ones are encoded. Hashes only propose: a chunk takes ids from the table if its bytes are the same."""
 
 from __future__ import annotations
 
@@ -28,47 +28,72 @@ class ChunkTable:
     def clear(self) -> None:
         self.keys, self.slot = np.zeros(0, U), np.zeros(0, np.int64)
         self.start, self.ids = [np.zeros(1, np.int64)], [np.zeros(0, np.uint32)]
-        self.n, self.end = 0, 0
+        self.byte_start, self.bytes = [np.zeros(1, np.int64)], [np.zeros(0, np.uint8)]
+        self.n, self.end, self.byte_end = 0, 0, 0
 
     def missing(self, keys: np.ndarray) -> np.ndarray:
         """Of sorted distinct keys, which the table lacks."""
         at = np.searchsorted(self.keys, keys)
         return ~((at < len(self.keys)) & (self.keys[np.minimum(at, len(self.keys) - 1)] == keys)) if len(self.keys) else np.ones(len(keys), bool)
 
-    def add(self, keys: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
-        """New keys with the number of ids of each and all their ids."""
+    def add(self, keys: np.ndarray, counts: np.ndarray, ids: np.ndarray, lengths: np.ndarray, data: np.ndarray) -> None:
+        """New keys with the number of ids of each and all their ids, the length of each chunk and all their bytes."""
         self.start.append(self.end + np.cumsum(counts))
         self.ids.append(ids.astype(np.uint32))
+        self.byte_start.append(self.byte_end + np.cumsum(lengths))
+        self.bytes.append(data)
         order = np.argsort(keys)
         at = np.searchsorted(self.keys, keys[order])
         self.keys = np.insert(self.keys, at, keys[order])
         self.slot = np.insert(self.slot, at, self.n + order)
-        self.n, self.end = self.n + len(keys), self.end + len(ids)
+        self.n, self.end, self.byte_end = self.n + len(keys), self.end + len(ids), self.byte_end + len(data)
 
-    def look_up(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Start and number of ids of each key, and all ids of the table."""
-        if len(self.start) > 1:
-            self.start, self.ids = [np.concatenate(self.start)], [np.concatenate(self.ids)]
+    def look_up(self, keys: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Start and number of ids of each key, and all ids of the table; the same for the bytes."""
+        out = []
         slot = self.slot[np.searchsorted(self.keys, keys)]
-        start = self.start[0]
-        return start[slot], start[slot + 1] - start[slot], self.ids[0]
+        for start, items in ((self.start, self.ids), (self.byte_start, self.bytes)):
+            if len(start) > 1:
+                start[:], items[:] = [np.concatenate(start)], [np.concatenate(items)]
+            out += [start[0][slot], start[0][slot + 1] - start[0][slot], items[0]]
+        return tuple(out)
 
 
-def encode_chunks(table: ChunkTable, data: np.ndarray, start: np.ndarray, end: np.ndarray, before: np.ndarray, fill) -> tuple[np.ndarray, np.ndarray]:
+def alike(a: np.ndarray, a_at: np.ndarray, a_size: np.ndarray, b: np.ndarray, b_at: np.ndarray, b_size: np.ndarray) -> np.ndarray:
+    """Whether each slice of a has the bytes of that of b."""
+    same = a_size == b_size
+    size = np.where(same, a_size, 0)
+    differs = np.flatnonzero(a[spread(a_at, size)] != b[spread(b_at, size)])
+    if len(differs):
+        same[np.searchsorted(np.cumsum(size), differs, "right")] = False
+    return same
+
+
+def encode_chunks(table: ChunkTable, data: np.ndarray, start: np.ndarray, end: np.ndarray, before: np.ndarray, fill, hashes=None) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all chunks data[start:end] in order, and the ids before each row; before: chunks before each row.
-    fill(start, end) encodes new ones: (the order in which it took them, ids of each in that order, all ids)."""
+    fill(start, end) encodes new ones: (the order in which it took them, ids of each in that order, all ids). Chunks whose hash another
+    one has, here or in the table, are encoded apart. hashes: of the chunks, where not the usual ones."""
     if not len(start):
         return np.zeros(0, np.uint32), np.zeros(len(before), np.int64)
-    hashes = slices(prefix(data), start, end)
+    length = end - start
+    hashes = slices(prefix(data), start, end) if hashes is None else hashes
     keys, first, back = np.unique(hashes, return_index=True, return_inverse=True)
     if table.n + len(keys) > table.most:
         table.clear()
     lack = table.missing(keys)
     if lack.any():
-        order, counts, ids = fill(start[first[lack]], end[first[lack]])
-        table.add(keys[lack][order], counts, ids)
-    at, count, ids = table.look_up(keys)
+        a, b = start[first[lack]], end[first[lack]]
+        order, counts, ids = fill(a, b)
+        size = (b - a)[order]
+        table.add(keys[lack][order], counts, ids, size, data[spread(a[order], size)])
+    at, count, ids, byte_at, size, raw = table.look_up(keys)
+    own = alike(data, start[first], length[first], raw, byte_at, size)[back] & alike(data, start, length, data, start[first][back], length[first][back])
     at, count = at[back], count[back]
+    if not own.all():
+        clash = np.flatnonzero(~own)
+        order, counts, more = fill(start[clash], end[clash])
+        at[clash[order]], count[clash[order]] = len(ids) + np.cumsum(counts) - counts, counts
+        ids = np.concatenate([ids, more.astype(np.uint32)])
     ahead = np.concatenate([[0], np.cumsum(count)])
     return ids[spread(at, count)], ahead[before]
 
