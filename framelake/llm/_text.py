@@ -46,12 +46,12 @@ def as_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def parts(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that a part's texts have about `most` bytes; a longer text is a part of its own."""
+def parts(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 21, each: int = 64) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that a part's texts have about `most` bytes, if a text counts `each` more than it has; a longer text is a part of its own."""
     for batch in batches:
         at = batch.schema.get_field_index(column)
         lengths = pc.binary_length(batch.column(at)).fill_null(0).to_numpy(zero_copy_only=False)
-        group = np.cumsum(lengths + 64) // most
+        group = np.cumsum(lengths + each) // most
         edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
         for a, b in zip(edges, edges[1:]):
             if b > a:
@@ -103,8 +103,8 @@ def spread(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.arange(total) - np.repeat(first - start, length)
 
 
-def shingles(data: np.ndarray, offsets: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """The set of k-word shingles of each row as 64-bit hashes: (hashes sorted within rows, items before each row).
+def shingles(data: np.ndarray, offsets: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The set of k-word shingles of each row as 64-bit hashes: (hashes sorted within rows, items before each row, how often the row has each).
 
     A row of 1 to k-1 words has one shingle of all its words; a row without words has none."""
     start, end, before = words(data, offsets)
@@ -124,5 +124,13 @@ def shingles(data: np.ndarray, offsets: np.ndarray, k: int = 5) -> tuple[np.ndar
     got, row = got[order], row[order]
     new = np.ones(len(got), bool)
     new[1:] = (got[1:] != got[:-1]) | (row[1:] != row[:-1])
+    count = np.diff(np.append(np.flatnonzero(new), len(got)))
     got, row = got[new], row[new]
-    return got, np.searchsorted(row, np.arange(len(offsets)))
+    return got, np.searchsorted(row, np.arange(len(offsets))), count
+
+
+def numbered(items: np.ndarray, before: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A multiset as a set: an item that a row has thrice becomes three. (Items, items before each row.)"""
+    which = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+    many = mix(np.repeat(items, count) + which.astype(U) * U(0xA0761D6478BD642F))
+    return many, np.concatenate([[0], np.cumsum(count)])[before]

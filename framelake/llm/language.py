@@ -26,6 +26,7 @@ FAMILIES = {
     "turkic": ["az", "kk", "tr", "uz"],
 }
 BUCKETS = 2048
+ROW_BYTES = 4096  # what a row of features counts beside its text, so that a part has some hundred rows at most
 UNKNOWN = "und"
 _lower = np.arange(256, dtype=np.uint8)
 _lower[65:91] += 32
@@ -56,9 +57,10 @@ def features(texts: pa.Array, buckets: int = BUCKETS) -> np.ndarray:
 
 def linear_svm(x: np.ndarray, y: np.ndarray, strength: float = 1e-4, epochs: int = 60) -> np.ndarray:
     """Weights (the last is the bias) of a squared-hinge linear support vector machine; y is +1 or -1, classes weigh the same."""
-    x = np.hstack([x, np.ones((len(x), 1))])
+    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
-    w, velocity = np.zeros(x.shape[1]), np.zeros(x.shape[1])
+    weight, y = weight.astype(x.dtype), y.astype(x.dtype)
+    w, velocity = np.zeros(x.shape[1], x.dtype), np.zeros(x.shape[1], x.dtype)
     for _ in range(epochs):
         ahead = w + 0.9 * velocity
         slack = np.maximum(0, 1 - y * (x @ ahead))
@@ -86,7 +88,7 @@ class Hierarchy:
     def predict(self, x: np.ndarray) -> tuple[list[str], np.ndarray]:
         """Languages, and scores from 0 to 1: how sure the family is, times the share of the pairwise votes weighted by margin."""
         squash = lambda m: 1 / (1 + np.exp(-4 * np.clip(m, -9, 9)))
-        x = np.hstack([x, np.ones((len(x), 1))])
+        x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
         n = len(x)
         if self.top:
             margins = x @ np.array(self.top).T
@@ -106,7 +108,7 @@ class Hierarchy:
         return [self.langs[i] for i in best], sure * against
 
 
-def train(docs: DataFrame, per_language: int = 1000, most: int = 64_000) -> Hierarchy | None:
+def train(docs: DataFrame, per_language: int = 1000, most: int = 16_000) -> Hierarchy | None:
     """Fit on documents(doc_id, text, lang). Rows with a null text or lang teach nothing; None if none is left.
 
     Every value of lang with a row is learnt. The sample is bounded: at most `per_language` rows of each, those with the smallest
@@ -125,13 +127,19 @@ def train(docs: DataFrame, per_language: int = 1000, most: int = 64_000) -> Hier
     sample = picked.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_language).select("lang", "text")
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts(batches, "text", 1 << 20):
+        """Only what isn't zero: where, and how much."""
+        for part in parts(batches, "text", 1 << 20, ROW_BYTES):
             x = features(part.column(1)).astype(np.float32)
-            yield pa.record_batch([part.column(0), pa.array([r.tobytes() for r in x], pa.binary())], names=["lang", "x"])
+            found = [np.flatnonzero(r).astype("<u2") for r in x]
+            at, value = [k.tobytes() for k in found], [r[k].tobytes() for r, k in zip(x, found)]
+            yield pa.record_batch([part.column(0), pa.array(at, pa.binary()), pa.array(value, pa.binary())], names=["lang", "at", "value"])
 
-    rows = sample.mapInArrow(featurise, "lang string, x binary").collect()
-    rows.sort(key=lambda r: (r["lang"], r["x"]))
-    return Hierarchy(np.array([np.frombuffer(r["x"], np.float32) for r in rows], float).reshape(len(rows), -1), np.array([r["lang"] for r in rows], object))
+    rows = sample.mapInArrow(featurise, "lang string, at binary, value binary").collect()
+    rows.sort(key=lambda r: (r["lang"], r["at"], r["value"]))
+    x = np.zeros((len(rows), BUCKETS), np.float32)
+    for i, r in enumerate(rows):
+        x[i, np.frombuffer(r["at"], "<u2")] = np.frombuffer(r["value"], np.float32)
+    return Hierarchy(x, np.array([r["lang"] for r in rows], object))
 
 
 def identify(docs: DataFrame, model: Hierarchy | None) -> DataFrame:
@@ -145,7 +153,7 @@ def identify(docs: DataFrame, model: Hierarchy | None) -> DataFrame:
     docs = docs.withColumn("has_letter", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts(batches, "text", 1 << 20):
+        for part in parts(batches, "text", 1 << 20, ROW_BYTES):
             kept = part.drop_columns(["text", "has_letter"])
             letters = part.column("has_letter").to_numpy(zero_copy_only=False)
             langs, scores = model.predict(features(part.column("text"))) if model else ([UNKNOWN] * len(letters), np.zeros(len(letters)))

@@ -48,6 +48,17 @@ def features(texts: pa.Array, buckets: int = BUCKETS) -> tuple[np.ndarray, np.nd
     return flat % buckets, np.searchsorted(flat, np.arange(len(offsets)) * buckets)
 
 
+def likelihood(score: np.ndarray, theta: np.ndarray, grade: np.ndarray, weight: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """The weighted log-likelihood of grades under scores and thresholds, and its gradients by the scores and by the thresholds."""
+    n, i = len(grade), np.arange(len(grade))
+    up = 1 / (1 + np.exp(np.clip(theta[None, :] - score[:, None], -50, 50)))  # P(grade >= j)
+    edge = np.hstack([np.ones((n, 1)), up, np.zeros((n, 1))])
+    d = np.hstack([np.zeros((n, 1)), up * (1 - up), np.zeros((n, 1))])
+    p = np.maximum(edge[i, grade] - edge[i, grade + 1], 1e-9)
+    by_theta = [(np.where(grade == j, -d[:, j] / p, 0) + np.where(grade == j - 1, d[:, j] / p, 0)).dot(weight) for j in range(1, len(theta) + 1)]
+    return float(np.log(p).dot(weight)), (d[i, grade] - d[i, grade + 1]) / p * weight, np.array(by_theta)
+
+
 class CumulativeLink:
     """Shared weights and ordered thresholds."""
 
@@ -92,15 +103,7 @@ class CumulativeLink:
         for _ in range(rounds):
             look, lt = w + 0.9 * v, theta + 0.9 * tv
             score = np.bincount(rows, weights=(look * scale)[c], minlength=n)
-            up = 1 / (1 + np.exp(np.clip(lt[None, :] - score[:, None], -50, 50)))  # P(grade >= j)
-            edge = np.hstack([np.ones((n, 1)), up, np.zeros((n, 1))])
-            d = np.hstack([np.zeros((n, 1)), up * (1 - up), np.zeros((n, 1))])
-            i = np.arange(n)
-            p = np.maximum(edge[i, grade] - edge[i, grade + 1], 1e-9)
-            slope = (d[i, grade] - d[i, grade + 1]) / p * balance
-            gt = np.zeros(grades - 1)
-            for j in range(1, grades):
-                gt[j - 1] = (np.where(grade == j, -d[:, j] / p, 0) + np.where(grade == j - 1, d[:, j] / p, 0)).dot(balance)
+            _, slope, gt = likelihood(score, lt, grade, balance)
             grad = np.bincount(c, weights=slope[rows], minlength=m) * scale
             v = 0.9 * v + step * 0.05 * (grad - strength * look)
             tv = 0.9 * tv + step * 0.2 * gt
@@ -111,7 +114,7 @@ class CumulativeLink:
 
 
 def train(rated: DataFrame, grades: int, most: int = 12_000) -> CumulativeLink | None:
-    """Fit on rated(doc_id, text, grade); rows with a null grade teach nothing, a null text is empty. None if no row is left.
+    """Fit on rated(doc_id, text, grade); rows with a null grade teach nothing, a null text is empty, repeated rows each count. None if no row is left; other columns play no part.
 
     The sample is bounded: at most about `most` rated rows, those with the smallest hash of doc_id; texts count whole."""
     rated = rated.filter("grade is not null")
@@ -134,7 +137,8 @@ def train(rated: DataFrame, grades: int, most: int = 12_000) -> CumulativeLink |
 
 
 def score(docs: DataFrame, model: CumulativeLink | None, grades: int) -> DataFrame:
-    """documents(doc_id, text) to doc_id, expected_grade and tails, where tails[j-1] = P(grade >= j). Without a model all are null."""
+    """documents(doc_id, text) to doc_id, expected_grade and tails, where tails[j-1] = P(grade >= j). Without a model all are null; a null or empty text
+    has the score 0. Repeated rows are scored alike, an empty table gives an empty result, other columns play no part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts(batches, "text", 1 << 20):
