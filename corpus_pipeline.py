@@ -9,17 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelake.llm._common import cut
-from framelake.llm.near_duplicates import classes
+from framelake.llm.near_duplicates import content, members
 from framelake.llm.packing import pack, tokenize
 from framelake.llm.quality_rules import judge
 from framelake.llm.repeated_text import remove_repeats
-from framelake.llm.secrets import findings, redact, update_ledger
+from framelake.llm.secrets import extend_ledger, findings, redact
 
 
 def _aside(docs: DataFrame, *used: str) -> DataFrame:
     """The columns that a stage uses, and all others in one struct out of its way."""
-    others = [c for c in docs.columns if c not in used]
-    return docs.select(*used, F.struct(*others, F.lit(True).alias("_")).alias("_row"))
+    others = [c for c in docs.columns if c not in used] or [F.lit(True).alias("none")]
+    return docs.select(*used, F.struct(*others).alias("_row"))
 
 
 def _whole(df: DataFrame, columns: list[str], edited: bool = False) -> DataFrame:
@@ -35,12 +35,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document with the least id stays, and of its repeated rows one. Rows without an id stay."""
-    losers = classes(docs).filter("doc_id <> class_id").select("doc_id")
-    kept = docs.join(losers, "doc_id", "left_anti").select(*docs.columns)
-    if docs.groupBy("doc_id").count().filter("doc_id is not null and count > 1").isEmpty():
-        return kept
-    return kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.filter("doc_id is null"))
+    """Of each class of near duplicates one row stays: that with the least id, and of several texts with that id the one with the least hash; a
+    row without an id stays only where no row of its class has one. Of repeated rows one stays, the first by its other columns' JSON."""
+    found = cut(members(docs))
+    none = F.col("doc_id").isNull().alias("none")
+    best = found.groupBy("class").agg(F.min(F.struct(none, F.col("doc_id").alias("_id"), F.col("content").alias("_hash"))).alias("x")).select("x._id", "x._hash")
+    rows = docs.select("doc_id", F.struct(*docs.columns).alias("_row"), content().alias("_content"))
+    kept = rows.join(best.hint("merge"), (F.col("_content") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    if not found.groupBy("doc_id", "content").count().filter("count > 1").isEmpty():
+        kept = cut(kept).groupBy("_content").agg(F.min_by("_row", F.to_json("_row")).alias("_row"))
+    return kept.select("_row.*")
 
 
 def repeated_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,15 +53,15 @@ def repeated_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark; the documents stay."""
-    found = findings(_aside(docs, "doc_id", "text"), cut(update_ledger(docs)))
+    """Secrets are replaced by a mark; the documents stay. Null texts stay null, repeated rows are treated alike."""
+    found = findings(_aside(docs, "doc_id", "text"), extend_ledger(docs))
     return _whole(redact(found), docs.columns, edited=True)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The place of every piece of every document in sequences of 2048 tokens."""
     pieces = tokenize(docs)
-    return pack(cut(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))))
+    return pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
 
 
 STAGES = [

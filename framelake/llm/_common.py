@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -18,7 +19,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder (spark.checkpoint.dir). Only a local master without one gets a folder of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="framelake-"))
         found = spark.sparkContext.getCheckpointDir()
@@ -45,23 +46,20 @@ def restored(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*made, *[F.col("_row")[c].alias(c) for c in columns if c not in made])
 
 
-def slots(df: DataFrame, group: str, order: list[str], out: str, rows_per_bucket: int = 50_000) -> DataFrame:
-    """Number the rows of each group from 0 without a gap, in `out`.
+def slots(df: DataFrame, group: str, out: str, rows_per_bucket: int = 8192) -> DataFrame:
+    """Number the rows of each group from 0 without a gap, in `out`, in place of _number.
 
-    No task sees a whole group: rows fall into hash buckets of their order columns, the buckets' counts
-    are added up in a small table, and each row's number is its bucket's start plus its place there."""
-    from pyspark.sql import Window
-
-    n = df.count()
-    buckets = max(1, -(-n // rows_per_bucket))
-    df = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)))
+    df is a written table whose column _number tells all its rows apart. No task sees a whole group: rows fall into buckets by
+    their number, the buckets' counts are added up in a small table, and a row's place is its bucket's start plus its place there."""
+    buckets = max(1, -(-df.count() // rows_per_bucket))
+    df = df.withColumn("_bucket", F.pmod(F.xxhash64("_number"), F.lit(buckets)))
     before = Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         df.groupBy(group, "_bucket").agg(F.count("*").alias("_n"))
         .select(group, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     )
-    place = F.row_number().over(Window.partitionBy(group, "_bucket").orderBy(*order)) - 1
+    place = F.row_number().over(Window.partitionBy(group, "_bucket").orderBy("_number")) - 1
     return (
         df.withColumn("_place", place).join(starts, [group, "_bucket"])
-        .withColumn(out, F.col("_start") + F.col("_place")).drop("_bucket", "_place", "_start")
+        .withColumn(out, (F.col("_start") + F.col("_place")).cast("long")).drop("_bucket", "_place", "_start", "_number")
     )

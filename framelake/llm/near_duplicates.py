@@ -4,7 +4,7 @@ Darts are thrown at a plane whose width is weight and whose height is rank: in e
 each band of ranks, a hash of the element draws how many darts hit and where. Of the darts inside an element's region,
 weight by rank, each is hashed to a coordinate of the signature, and a coordinate keeps the earliest. Equal elements of two
 sets have equal darts, so a coordinate agrees with the probability of their weighted Jaccard similarity; few darts beyond
-the signature's length are ever looked at, however large the set.
+the signature's length are ever looked at, however large the set. A shingle's weight is how often its text has it.
 
 Equal texts are one representative from the start. Documents that agree in a band are linked to the band's least, the
 links' components bound what can be similar, and within a component exact similarities decide: a search from document to
@@ -19,13 +19,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framelake.llm._common import cut, read
-from framelake.llm._text import U, as_bytes, mix, parts, row_of, shingles
+from framelake.llm._text import U, as_bytes, mix, numbered, parts, row_of, shingles
 from framelake.llm.components import components
 
+BLOCK_BYTES = 1 << 15
 LOWEST = -7  # the first band of ranks ends at 2^LOWEST, each next one at twice the one before
 
 
@@ -99,25 +100,38 @@ def dart_minhash(element: np.ndarray, weight: np.ndarray | None, before: np.ndar
     return value.reshape(rows, k)
 
 
-def signatures(docs: DataFrame, bands: int = 32, per_band: int = 6, words: int = 5) -> DataFrame:
-    """documents(doc_id, text) to doc_id, content (hash of the text) and keys: one for each band; none for a text without words."""
+def signatures(docs: DataFrame, bands: int = 32, per_band: int = 6, words: int = 5, weighted: bool = True) -> DataFrame:
+    """documents(doc_id, text) to doc_id, content (hash of the text), load (what the text weighs in a block) and keys: one for each band;
+    none for a text without words. weighted: a shingle weighs as often as the text has it; else 1."""
     k = bands * per_band
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts(batches, "text", 1 << 20):
-            sets, before = shingles(*as_bytes(part.column(2)), words)
+            sets, before, count = shingles(*as_bytes(part.column(3)), words)
             n = part.num_rows
-            values = dart_minhash(sets, None, before, k).reshape(n, bands, per_band)
+            values = dart_minhash(sets, count.astype(float) if weighted else None, before, k).reshape(n, bands, per_band)
             keys = np.arange(bands, dtype=U)[None, :] * U(0x2545F4914F6CDD1D)
             for i in range(per_band):
                 keys = mix(keys ^ values[:, :, i])
             some = np.diff(before) > 0
             offsets = np.concatenate([[0], np.cumsum(some * bands)]).astype(np.int32)
             listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[some].reshape(-1).view(np.int64)))
-            yield pa.record_batch([part.column(0), part.column(1), listed], names=["doc_id", "content", "keys"])
+            yield pa.record_batch([*part.columns[:3], listed], names=["doc_id", "content", "load", "keys"])
 
-    content = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
-    return docs.select(F.col("doc_id").cast("long"), content.alias("content"), "text").mapInArrow(run, "doc_id long, content binary, keys array<long>")
+    load = (1 + F.floor(F.coalesce(F.octet_length("text"), F.lit(0)) / BLOCK_BYTES)).cast("long")
+    columns = (F.col("doc_id").cast("long"), content().alias("content"), load.alias("load"), "text")
+    return docs.select(*columns).mapInArrow(run, "doc_id long, content binary, load long, keys array<long>")
+
+
+def content() -> Column:
+    """The hash that tells texts apart; a null text is empty."""
+    return F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
+
+
+def _sets(texts: pa.Array, words: int, weighted: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of each text, as sets in which common items count as the similarity has it: (items, items before each row)."""
+    sets, before, count = shingles(*as_bytes(texts), words)
+    return numbered(sets, before, count) if weighted else (sets, before)
 
 
 def similar_pairs(sets: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
@@ -150,12 +164,12 @@ def similar_pairs(sets: list[np.ndarray], threshold: float) -> list[tuple[int, i
     return links
 
 
-def _near(pairs: DataFrame, threshold: float, words: int) -> DataFrame:
+def _near(pairs: DataFrame, threshold: float, words: int, weighted: bool) -> DataFrame:
     """Of pairs(a, b, text_a, text_b), those with a similarity at or above the threshold: a, b."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts(batches, "text_a", 1 << 19):
-            left, right = shingles(*as_bytes(part.column(2)), words), shingles(*as_bytes(part.column(3)), words)
+            left, right = (_sets(part.column(i), words, weighted) for i in (2, 3))
             keep = []
             for i in range(part.num_rows):
                 x, y = (h[e[i] : e[i + 1]] for h, e in (left, right))
@@ -166,21 +180,21 @@ def _near(pairs: DataFrame, threshold: float, words: int) -> DataFrame:
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def _blocks(docs: DataFrame, groups: DataFrame, hubs: DataFrame, threshold: float, words: int, block: int) -> tuple[DataFrame, DataFrame]:
-    """For components(node, root) too large for one task: the blocks that still have to meet, and the links that need no meeting.
+def _blocks(texts: DataFrame, groups: DataFrame, hubs: DataFrame, threshold: float, words: int, block: int, weighted: bool) -> tuple[DataFrame, DataFrame]:
+    """For components(node, load, root) too large for one task: the blocks that still have to meet, and the links that need no meeting.
 
-    Each document is first compared with the one hub that it shares most bands with, which joins nearly all of a large group of copies
-    into one cluster, in linear work. Blocks of one cluster needn't meet any more; the few documents outside the largest meet all."""
+    Each text is first compared with the one hub that it shares most bands with, which joins nearly all of a large group of copies
+    into one cluster, in linear work. Blocks of one cluster needn't meet any more; the few texts outside the largest meet all."""
     best = hubs.join(groups.select(F.col("node").alias("a")).hint("merge"), "a").groupBy("a").agg(F.max_by("b", F.struct("n", -F.col("b"))).alias("b"))
-    pairs = best.join(docs.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
-    pairs = pairs.join(docs.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
-    known = cut(_near(pairs, threshold, words))
+    pairs = best.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
+    pairs = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
+    known = cut(_near(pairs, threshold, words, weighted))
     found = components(known).select("node", F.col("root").alias("cluster"))
     nodes = cut(groups.join(found.hint("merge"), "node", "left").withColumn("cluster", F.coalesce("cluster", "node")))
-    size = nodes.groupBy("root", "cluster").agg(F.count("*").alias("m"))
+    size = nodes.groupBy("root", "cluster").agg(F.sum("load").alias("m"))
     big = size.filter(F.col("m") > block)
     rest = size.filter(F.col("m") <= block).groupBy("root").agg(F.sum("m").alias("m")).withColumn("cluster", F.lit(-1).cast("long"))
-    heaps = cut(big.unionByName(rest, allowMissingColumns=True).select("root", "cluster", F.ceil(F.col("m") / block).alias("blocks"), "m"))
+    heaps = cut(big.unionByName(rest).select("root", "cluster", F.ceil(F.col("m") / block).alias("blocks"), "m"))
     named = lambda k: F.xxhash64("root", "cluster", k)
     each = heaps.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     each = each.select("root", "cluster", "m", named(F.col("k")).alias("mine"))
@@ -194,46 +208,63 @@ def _blocks(docs: DataFrame, groups: DataFrame, hubs: DataFrame, threshold: floa
     return mine.join(meet.hint("merge"), "mine").select("node", "root", "mine", "other"), known
 
 
-def classes(docs: DataFrame, threshold: float = 0.8, words: int = 5, bands: int = 32, per_band: int = 6, block: int = 2000) -> DataFrame:
-    """documents(doc_id, text) to doc_id and class_id, the least doc_id of its class.
-
-    A class is what links of Jaccard similarity (sets of word shingles) at or above the threshold connect; equal texts are always
-    together. Texts without words are alike only if equal; a null text is empty; rows with the same doc_id are one document
-    and bring their texts' classes together. Rows without a doc_id have no row in the result. With 32 bands of 6, a pair at 0.8 shares no band once in 16,000."""
-    docs = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
-    signed = cut(signatures(docs, bands, per_band, words))
-    same = cut(signed.groupBy("content").agg(F.min("doc_id").alias("rep")))
-    reps = signed.join(same, "content").filter("doc_id = rep").dropDuplicates(["content"])
-    keyed = cut(reps.select("doc_id", F.explode("keys").alias("key")))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")).filter("n > 1")
-    hubs = keyed.join(shared, "key").filter("doc_id <> least").groupBy(F.col("doc_id").alias("a"), F.col("least").alias("b")).agg(F.count("*").alias("n"))
+def members(docs: DataFrame, threshold: float = 0.8, words: int = 5, bands: int = 32, per_band: int = 6, block: int = 2000, weighted: bool = True) -> DataFrame:
+    """documents(doc_id, text) to doc_id, content (SHA-256 of the text), class (a number) and class_id, the least doc_id of the class, null
+    where no document of it has an id; a row for each row.
+
+    A class is what links of Jaccard similarity at or above the threshold connect, of the multisets (weighted) or the sets of word shingles;
+    equal texts are always together. Texts without words are alike only if equal; a null text is empty; rows with the same doc_id are one document
+    and bring their texts' classes together. An empty table gives no row; other columns play no part. block: how many texts, of up
+    to BLOCK_BYTES bytes each, or as much in longer ones, a task compares with each other. With 32 bands of 6, a pair at 0.8 shares no band once in 16,000."""
+    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    signed = cut(signatures(docs, bands, per_band, words, weighted))
+    same = signed.groupBy("content").agg(F.min("doc_id").alias("least"), F.max("load").alias("load"), F.first("keys").alias("keys"))
+    same = cut(same.withColumn("node", F.monotonically_increasing_id()))  # written, so the numbers stay
+    keyed = cut(same.select("node", F.explode("keys").alias("key")))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least")).filter("n > 1")
+    hubs = keyed.join(shared, "key").filter("node <> least").groupBy(F.col("node").alias("a"), F.col("least").alias("b")).agg(F.count("*").alias("n"))
     hubs = cut(hubs)
-    groups = cut(components(hubs.select("a", "b")))
-    large = cut(groups.groupBy("root").agg(F.count("*").alias("m")).filter(F.col("m") > block).select("root"))
-    members, known = groups.withColumn("mine", F.lit(0)).withColumn("other", F.lit(0)), None
+    groups = cut(components(hubs.select("a", "b")).join(same.select("node", "load", "content", "least").hint("merge"), "node"))
+    wanted = groups.select("node", F.col("content").alias("c"), "least")
+    # one row of each text that has company; written before equal rows are dropped, so that many of them are split among tasks
+    listed = docs.withColumn("content", content())
+    listed = cut(listed.join(wanted.hint("merge"), (F.col("content") == F.col("c")) & F.col("doc_id").eqNullSafe(F.col("least"))).select("node", "text"))
+    texts = listed.dropDuplicates(["node"])
+    large = cut(groups.groupBy("root").agg(F.sum("load").alias("m")).filter(F.col("m") > block).select("root"))
+    placed, known = groups.select("node", "root", F.lit(0).alias("mine"), F.lit(0).alias("other")), None
     if not large.isEmpty():
-        small = members.join(large.hint("merge"), "root", "left_anti")
-        wide, known = _blocks(docs, groups.join(large.hint("merge"), "root"), hubs, threshold, words, block)
-        members = small.unionByName(wide)
-    members = members.select("node", "root", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
-    texts = docs.join(members.hint("merge"), docs["doc_id"] == members["node"]).select("node", "root", "low", "high", "text")
+        small = placed.join(large.hint("merge"), "root", "left_anti")
+        wide, known = _blocks(texts, groups.select("node", "load", "root").join(large.hint("merge"), "root"), hubs, threshold, words, block, weighted)
+        placed = small.unionByName(wide)
+    placed = placed.select("node", "root", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
+    meeting = texts.join(placed.hint("merge"), "node").select("node", "root", "low", "high", "text")
 
     def link(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("node")
-        sets, before = shingles(*as_bytes(pa.array(frame["text"].tolist(), pa.large_string())), words)
+        sets, before = _sets(pa.array(frame["text"].tolist(), pa.large_string()), words, weighted)
         node = frame["node"].to_numpy()
         pairs = similar_pairs([sets[a:b] for a, b in zip(before, before[1:])], threshold)
         return pd.DataFrame({"a": [node[i] for i, _ in pairs], "b": [node[j] for _, j in pairs]}, dtype="int64")
 
-    found = texts.groupBy("root", "low", "high").applyInPandas(link, "a long, b long")
+    found = meeting.groupBy("root", "low", "high").applyInPandas(link, "a long, b long")
     if known is not None:
         found = found.union(known)
-    copies = signed.select("doc_id", "content").join(same, "content").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    repeated = copies.groupBy("a").agg(F.min("b").alias("least"), F.count("*").alias("n")).filter("n > 1")
-    merged = copies.join(repeated, "a").select("b", F.col("least").alias("a")).filter("a <> b")  # a doc_id with several texts
-    roots = cut(components(cut(found).union(merged.select("a", "b"))))
-    out = copies.join(roots, copies["b"] == roots["node"], "left").select(F.col("a").alias("doc_id"), F.coalesce("root", "b").alias("class_id"))
-    return out.groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
+    nodes = same.select("content", "node", "least")
+    own = cut(signed.select("doc_id", "content").join(nodes.hint("merge"), "content"))
+    several = own.filter("doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a <> z").select("doc_id", "a")
+    merged = own.join(several.hint("merge"), "doc_id").filter("node <> a").select(F.col("node").alias("b"), "a").distinct()  # a doc_id with several texts
+    roots = components(cut(found).union(merged.select("a", "b")))
+    classed = nodes.join(roots.hint("merge"), "node", "left").withColumn("class", F.coalesce("root", "node"))
+    classed = cut(classed.select("node", "class", "least"))
+    named = cut(classed.groupBy("class").agg(F.min("least").alias("class_id")))
+    return own.select("doc_id", "content", "node").join(classed.select("node", "class").hint("merge"), "node").join(named.hint("merge"), "class").select("doc_id", "content", "class", "class_id")
+
+
+def classes(docs: DataFrame, **options) -> DataFrame:
+    """documents(doc_id, text) to doc_id and class_id, as members() has them: a row for each doc_id, however many rows have it, and one for
+    each row without an id."""
+    found = members(docs, **options)
+    return found.filter("doc_id is not null").groupBy("doc_id").agg(F.min("class_id").alias("class_id")).union(found.filter("doc_id is null").select("doc_id", "class_id"))
 
 
 def op6_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:

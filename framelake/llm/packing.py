@@ -15,8 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from framelake.llm._common import cut, slots
+from framelake.llm._common import aside, cut, restored, slots
 from framelake.llm._text import parts
 from framelake.llm.chunks import ByteLevelEncoder
 
@@ -139,12 +140,12 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int]
     return [x for group in classes.values() for x in group]
 
 
-def rounded(patterns: list[tuple[dict[int, int], float]], histogram: dict[int, int], capacity: int) -> tuple[list[tuple[dict[int, int], int]], int]:
-    """Whole sequences from fractional ones, the most frequent patterns first, as far as pieces are left; best fit places the
-    others. Also how many sequences are the program's."""
+def rounded(patterns: list[tuple[dict[int, int], float]], histogram: dict[int, int], capacity: int, share: float = 1.0) -> tuple[list[tuple[dict[int, int], int]], int]:
+    """Whole sequences from this share of the fractional ones, the most frequent patterns first, as far as pieces are left;
+    best fit places the others. Also how many sequences are the program's."""
     left, out = dict(histogram), []
-    for pattern, x in sorted(patterns, key=lambda p: -p[1]):
-        whole = min(round(x), *(left[k] // t for k, t in pattern.items()))
+    for pattern, x in sorted(patterns, key=lambda p: (-p[1], sorted(p[0].items()))):
+        whole = min(round(x * share), *(left[k] // t for k, t in pattern.items()))
         if whole:
             out.append((pattern, whole))
             for k, t in pattern.items():
@@ -152,28 +153,34 @@ def rounded(patterns: list[tuple[dict[int, int], float]], histogram: dict[int, i
     return out + best_fit({k: v for k, v in left.items() if v}, capacity), sum(n for _, n in out)
 
 
+#: Shares of the program's solution that are tried, the largest first.
+SHARES = (1.0, 0.98, 0.95, 0.9, 0.8, 0.6, 0.4, 0.2, 0.1, 0.05, 0.02, 0.01, 0.0)
+
+
 def solve(histogram: dict[int, int], capacity: int = CAPACITY, within: float = 0.02) -> tuple[list[tuple[dict[int, int], int]], int, float]:
     """Whole sequences for every piece of the histogram [({length: times}, sequences)], how many of them are the
     program's, and a lower bound of any packing.
 
     The program runs until the whole plan, or the fractional cover of every length, is within this share of the bound: below
-    it only rounding is left, which costs less than a sequence for each pattern. Best fit alone is kept where it has no more
-    sequences than the program's plan, and at once where it has as few as the tokens need."""
+    it only rounding is left, which costs less than a sequence for each pattern. Best fit alone is what the plan is measured against:
+    where rounding has left it with more sequences, a smaller share of the program's solution is taken, and best fit places the rest."""
     histogram = {int(k): int(v) for k, v in histogram.items() if v}
     if not histogram:
         return [], 0, 0.0
     count = lambda x: sum(n for _, n in x)
-    found, programs = best_fit(histogram, capacity), 0
+    alone = count(best_fit(histogram, capacity))
     least = -(-sum(k * v for k, v in histogram.items()) // capacity)
-    if count(found) == least:  # no plan has fewer
-        return found, 0, least
-    state, rounds, rate = Prices(histogram), 100, 0.2
+    state, rounds, rate, found = Prices(histogram), 100, 0.2, None
     while True:
-        made, own = rounded(configuration_lp(histogram, capacity, rounds, rate, state), histogram, capacity)
-        if count(made) < count(found):
-            found, programs = made, own
-        if min(count(found), state.size) <= (1 + within) * max(least, np.ceil(state.bound - 1e-6)):
-            return found, programs, state.bound
+        patterns = configuration_lp(histogram, capacity, rounds, rate, state)
+        for share in SHARES:
+            made, own = rounded(patterns, histogram, capacity, share)
+            if found is None or count(made) < count(found[0]):
+                found = made, own
+            if count(made) <= alone:
+                break
+        if min(count(found[0]), state.size) <= (1 + within) * max(least, np.ceil(state.bound - 1e-6)):
+            return *found, max(state.bound, least)
         rounds, rate = 2 * rounds, rate / 2
 
 
@@ -186,7 +193,8 @@ def tokenize(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPA
     """Pieces of documents(doc_id, text): doc_id, piece, start, length and ids (little-endian 32-bit).
 
     A null text is empty; every document ends with `end_id`. Only documents longer than the capacity are
-    cut: the first piece is what full pieces leave over, all others are full. Rows with the same doc_id are separate documents."""
+    cut: the first piece is what full pieces leave over, all others are full. Rows with the same doc_id are separate documents; an empty table gives no
+    piece, and other columns play no part."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = ByteLevelEncoder.shared(tokenizer)
@@ -210,12 +218,13 @@ def tokenize(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPA
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, PIECES)
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = ("doc_id", "piece", "start")) -> DataFrame:
-    """Add sequence_id and offset to pieces(length, *order, ...); lengths lie between 1 and the capacity.
+def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """Add sequence_id and offset to pieces(length, ...); lengths lie between 1 and the capacity.
 
-    pieces is read three times, so it should be a table or the result of cut(). An empty table packs into nothing.
-    Repeated rows are separate pieces. Sequences are filled without a gap from offset 0."""
-    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
+    pieces is computed once, and written. An empty table packs into nothing. Repeated rows are separate pieces. Sequences are filled
+    without a gap from offset 0. Other columns pass through, but for those named like a result."""
+    slim = cut(aside(pieces, "length").withColumn("_number", F.monotonically_increasing_id()))
+    histogram = {r["length"]: r["n"] for r in slim.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
     ranges: dict[int, list[tuple[int, int, int, int]]] = {}  # of ranks of a length: start, first sequence, pieces a sequence, offset
     used, sequence = dict.fromkeys(histogram, 0), 0
     for pattern, n in plan(histogram, capacity):
@@ -227,9 +236,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = (
         sequence += n
     table = {k: np.array(v, np.int64).T.copy() for k, v in ranges.items()}
 
-    def place(batches):
-        for frame in batches:
-            size, rank = frame["length"].to_numpy(), frame["_rank"].to_numpy()
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size, rank = batch.column("length").to_numpy(), batch.column("_rank").to_numpy()
             ids, offsets = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
             for k in np.unique(size):
                 at = np.flatnonzero(size == k)
@@ -238,16 +247,16 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = (
                 ahead = rank[at] - start[r]
                 ids[at] = first[r] + ahead // times[r]
                 offsets[at] = offset[r] + ahead % times[r] * k
-            yield frame.drop(columns="_rank").assign(sequence_id=ids, offset=offsets)
+            yield pa.record_batch([*batch.columns[:2], pa.array(ids), pa.array(offsets)], names=["length", "_row", "sequence_id", "offset"])
 
-    ranked = slots(pieces, "length", list(order), "_rank")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    return ranked.select(*pieces.columns, "_rank").mapInPandas(place, f"{fields}, sequence_id long, offset long")
+    ranked = slots(slim, "length", "_rank").select("length", "_row", "_rank")
+    fields = StructType(ranked.schema.fields[:2]).add("sequence_id", "long").add("offset", "long")
+    return restored(ranked.mapInArrow(place, fields), pieces.columns)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """Tokenise, cut and pack whole documents: a row for each piece with its ids, sequence_id and offset."""
-    return pack(cut(tokenize(docs, tokenizer, capacity)), capacity)
+    return pack(tokenize(docs, tokenizer, capacity), capacity)
 
 
 def sequences(packed: DataFrame) -> DataFrame:
@@ -264,5 +273,5 @@ def op1_best_fit_packing(spark, sf_dir: str) -> DataFrame:
     from framelake.llm._common import read
 
     pieces = tokenize(read(spark, sf_dir, "documents", "doc_id", "text"))
-    slim = cut(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
-    return pack(slim)
+    packed = pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

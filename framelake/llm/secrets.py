@@ -7,10 +7,13 @@ pattern's matches, added up, give the matches' places."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import uuid
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from framelake.llm._common import aside, cut, read, restored
+from framelake.llm._common import aside, read, restored, shared_dir
 
 #: Kind, pattern, the group whose length counts, and the least length. What matches but is too short is passed over, and dropped.
 RULES = [
@@ -18,11 +21,11 @@ RULES = [
     ("access", r"AKIA[A-Z0-9]{14,}", 0, 18),
     ("hex", r"[0-9a-f]{16,}", 0, 16),
     ("github", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 40),
-    ("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", 0, 35),
+    ("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+", 0, 35),  # a run is tried once, so a long one takes linear time
     ("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 27),
 ]
 BASE = ("assign", "access", "hex")
-RULE_VERSION = 1
+RULE_VERSION = 2
 SPANS = "array<struct<start: bigint, rule: int, kind: string, end: bigint>>"
 
 
@@ -56,7 +59,7 @@ def scan(blobs: DataFrame) -> DataFrame:
 
 def update_ledger(docs: DataFrame, ledger: DataFrame | None = None, version: int = RULE_VERSION) -> DataFrame:
     """New rows of the ledger (blob, version, spans) for documents(doc_id, text): of each blob that has none for this version. A blob
-    without findings has an empty array. Texts of other versions of a document, and of documents that repeat, are scanned once."""
+    without findings has an empty array; an empty table gives no row. Texts of other versions of a document, and of documents that repeat, are scanned once."""
     docs = address(docs.select("doc_id", "text"))
     unseen = docs.groupBy("blob").agg(F.min("doc_id").alias("doc_id"))
     if ledger is not None:
@@ -67,10 +70,31 @@ def update_ledger(docs: DataFrame, ledger: DataFrame | None = None, version: int
     return unseen.join(found, "blob", "left").select("blob", F.lit(version).alias("version"), F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
 
 
+def stored_ledger(spark: SparkSession, path: str) -> DataFrame | None:
+    """The ledger stored at a path; None if nothing is there yet."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def extend_ledger(docs: DataFrame, path: str | None = None, version: int = RULE_VERSION) -> DataFrame:
+    """Scan what the ledger stored at the path lacks, append it there, and return the whole ledger. An empty table appends no row.
+
+    Without a path it is the one that spark.framelake.secretLedger names, which lasts from run to run; where that isn't set, a new one in
+    the shared folder. Spark's commit makes an append whole or void, and a blob that two runs add at once counts once."""
+    spark = docs.sparkSession
+    path = path or spark.conf.get("spark.framelake.secretLedger", None) or f"{shared_dir(spark)}/secret-ledger-{uuid.uuid4().hex}"
+    update_ledger(docs, stored_ledger(spark, path), version).write.mode("append").parquet(path)
+    return spark.read.parquet(path)
+
+
 def findings(docs: DataFrame, ledger: DataFrame, version: int = RULE_VERSION) -> DataFrame:
     """Join the ledger's findings to every document of documents(text, ...) that has the blob: adds blob and spans. A null text counts as
-    an empty one; other columns pass through, but for those named like a result."""
-    known = ledger.filter((F.col("version") == version) & (F.size("spans") > 0)).select("blob", "spans")
+    an empty one, an empty table gives an empty result; other columns pass through, but for those named like a result."""
+    known = ledger.filter((F.col("version") == version) & (F.size("spans") > 0)).select("blob", "spans").dropDuplicates(["blob"])
     found = address(aside(docs, "text")).join(known, "blob", "left").withColumn("spans", F.coalesce("spans", F.array().cast(SPANS)))
     return restored(found, docs.columns)
 
@@ -90,9 +114,9 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
 
 
 def op10_secret_scans(spark, sf_dir: str) -> DataFrame:
-    """Secrets of every document, from a ledger that starts empty."""
+    """Secrets of every document, from the stored ledger, or one that starts empty."""
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
-    found = findings(docs, cut(update_ledger(docs))).drop("text")
+    found = findings(docs, extend_ledger(docs)).drop("text")
     listed = lambda a: F.array_join(F.transform(a, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     n = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("spans", lambda x: x["kind"].isin(*BASE))

@@ -136,8 +136,8 @@ def shard(docs: DataFrame, shards: int = 8) -> DataFrame:
     slim = aside(docs, "doc_id", "text").withColumn("size", F.octet_length(data).cast("long") + 1).withColumn("group", F.unhex(F.sha2(data, 256))).drop("text")
     slim = cut(slim)
     groups = slim.groupBy("group").agg(F.sum("size").alias("bytes"))
-    placed = cut(slim.join(pack_groups(groups, shards), "group").drop("group"))
-    return restored(slots(placed, "shard", ["doc_id", "size", "_row"], "slot"), others)
+    placed = slim.join(pack_groups(groups, shards), "group").drop("group")
+    return restored(slots(cut(placed.withColumn("_number", F.monotonically_increasing_id())), "shard", "slot"), others)
 
 
 def op2_sharding(spark, sf_dir: str) -> DataFrame:

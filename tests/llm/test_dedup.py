@@ -1,11 +1,12 @@
 import random
+import re
 from collections import Counter
 
 import numpy as np
 
 from framelake.llm.components import components
 from framelake.llm.near_duplicates import classes, dart_minhash, op6_minhash_near_dedup
-from framelake.llm.repeated_text import op7_suffix_array_dedup, remove_repeats, suffix_sort
+from framelake.llm.repeated_text import byte_rows, op7_suffix_array_dedup, remove_repeats, suffix_sort
 
 
 def brute_removed(texts, length):
@@ -57,45 +58,72 @@ def test_suffixes_are_sorted():
     r = np.random.default_rng(0)
     data = r.integers(0, 2, 400).astype(np.uint8)
     start = r.permutation(300)
-    length = np.minimum(100, 400 - start)
+    length = np.minimum(r.integers(0, 101, 300), 400 - start)
     group = r.integers(0, 3, 300)
-    order, shared = suffix_sort(data, start, length, group)
+    rows = byte_rows(data, start, length, 100)
     at = lambda i: (group[i], data[start[i] : start[i] + length[i]].tobytes())
-    listed = [at(i) for i in order]
-    assert listed == sorted(at(i) for i in range(300))
-    for k in range(1, 300):
-        (g, a), (h, b) = listed[k], listed[k - 1]
-        same = next((n for n, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
-        assert shared[k] == (same if g == h else 0)
+    for options in ({}, {"base": 0}):  # with base 0 all hashes of a length collide
+        order, shared = suffix_sort(rows, length, group, **options)
+        listed = [at(i) for i in order]
+        assert listed == sorted(at(i) for i in range(300))
+        for k in range(1, 300):
+            (g, a), (h, b) = listed[k], listed[k - 1]
+            same = next((n for n, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+            assert shared[k] == (same if g == h else 0)
+    assert not len(suffix_sort(rows[:0], length[:0], group[:0])[0])
+
+
+def test_removal_outlasts_hash_collisions(spark):
+    """Thue-Morse words and their complements collide under any polynomial hash modulo 2^64."""
+    word = "a"
+    for _ in range(11):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, word), (2, other), (3, word[:1024] + "x" + other[:1024]), (4, other[1000:1700]), (5, "q" + word[:256] + other[:256])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    check_removed(docs)
+    check_removed(docs, most_contexts=1)
 
 
-def shingle_set(text):
-    w = [x for x in __import__("re").split(r"[ \t-\r]+", text or "") if x]
-    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+def shingle_counts(text, weighted):
+    w = [x for x in re.split(r"[ \t-\r]+", text or "") if x]
+    found = Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()
+    return found if weighted else Counter(dict.fromkeys(found, 1))
 
 
-def brute_classes(rows):
-    ids = sorted({d for d, _ in rows if d is not None})
-    parent = {d: d for d in ids}
+def brute_classes(rows, weighted):
+    """A class id for each row; rows without an id are documents of their own."""
+    parent = list(range(len(rows)))
 
     def find(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    listed = [(d, t or "", shingle_set(t)) for d, t in rows if d is not None]
+    listed = [(d, t or "", shingle_counts(t, weighted)) for d, t in rows]
     for i, (d, t, s) in enumerate(listed):
-        for e, u, v in listed[:i]:
-            if t == u or (s and v and len(s & v) >= 0.8 * len(s | v) - 1e-9):
-                a, b = find(d), find(e)
+        for j, (e, u, v) in enumerate(listed[:i]):
+            if t == u or (d is not None and d == e) or (s and v and (s & v).total() >= 0.8 * (s | v).total() - 1e-9):
+                a, b = find(i), find(j)
                 parent[max(a, b)] = min(a, b)
-    return {d: find(d) for d in ids}
-
-
-def test_classes_match_brute_force(odd, documents):
-    for docs, options in ((odd, {}), (odd, {"block": 4}), (documents, {})):
-        want = brute_classes([(r.doc_id, r.text) for r in docs.collect()])
-        assert {r.doc_id: r.class_id for r in classes(docs, **options).collect()} == want
+    least = {}
+    for i, (d, _, _) in enumerate(listed):
+        if d is not None:
+            least[find(i)] = min(d, least.get(find(i), d))
+    return [(d, t, least.get(find(i))) for i, (d, t) in enumerate(rows)]
+
+
+def test_classes_match_brute_force(spark, odd, documents):
+    repeated = " ".join(f"w{i} {'same words again and again here' if i % 3 else ''}" for i in range(60))
+    more = spark.createDataFrame([(900, repeated), (901, repeated.replace("w7 ", "x7 ")), (902, repeated + " same words again and again here" * 90), (None, "no id has this text at all"), (None, "no id has this text at all")], "doc_id long, text string")
+    small = odd.select("doc_id", "text").union(more)
+    for docs, options in ((small, {}), (small, {"weighted": False}), (small, {"block": 4}), (documents, {}), (documents, {"weighted": False})):
+        want = brute_classes([(r.doc_id, r.text) for r in docs.collect()], options.get("weighted", True))
+        got = classes(docs, **options).collect()
+        assert {r.doc_id: r.class_id for r in got if r.doc_id is not None} == {d: c for d, _, c in want if d is not None}
+        nulls = lambda rows: sorted(-1 if c is None else c for d, c in rows if d is None)
+        assert nulls([(r.doc_id, r.class_id) for r in got]) == nulls([(d, c) for d, _, c in want])
+        assert len(got) == len({d for d, _, _ in want if d is not None}) + sum(d is None for d, _, _ in want)
     assert classes(odd.limit(0)).count() == 0
 
 

@@ -7,7 +7,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 from framelake.llm.automaton import WordEncoder, encode
-from framelake.llm.chunks import ByteLevelEncoder
+from framelake.llm.chunks import ByteLevelEncoder, ChunkTable, encode_chunks
 from framelake.llm.packing import best_fit, configuration_lp, knapsack, op1_best_fit_packing, pack_documents, plan, sequences, solve
 from framelake.llm.sharding import best_fit_decreasing, into_bins, op2_sharding, shard
 
@@ -30,6 +30,29 @@ def test_both_encoders_equal_the_library(documents):
                 assert ids[before[i] : before[i + 1]].tolist() == exact.encode(t or "", add_special_tokens=False).ids, t
 
 
+def test_equal_hashes_are_told_apart():
+    """Thue-Morse words and their complements collide under any polynomial hash modulo 2^64; and a table whose hashes all collide."""
+    words = []
+    for n in (10, 12):
+        word = "a"
+        for _ in range(n):
+            word += word.translate(str.maketrans("ab", "ba"))
+        words += [word, word.translate(str.maketrans("ab", "ba"))]
+    texts = [*words, " ".join(words), *words[::-1]]
+    for coder, exact in ((ByteLevelEncoder.shared(), library("byte_bpe_50k.json")), (WordEncoder.shared(), library("word_bpe_49k.json"))):
+        for part in (texts, texts[::-1], [words[1]], [words[0]]):
+            ids, before = coder.encode(pa.array(part))
+            for i, t in enumerate(part):
+                assert ids[before[i] : before[i + 1]].tolist() == exact.encode(t, add_special_tokens=False).ids
+    data = np.frombuffer(b"onetwoonethreetwo", np.uint8)
+    start, end = np.array([0, 3, 6, 9, 14]), np.array([3, 6, 9, 14, 17])
+    fill = lambda a, b: (np.arange(len(a)), np.ones(len(a), int), np.array([{3: {111: 1, 116: 2}, 5: {116: 3}}[int(y - x)][int(data[x])] for x, y in zip(a, b)]))
+    table = ChunkTable()
+    for _ in range(2):
+        ids, _ = encode_chunks(table, data, start, end, np.array([0, 5]), fill, np.zeros(5, np.uint64))
+        assert ids.tolist() == [1, 2, 1, 3, 2]
+
+
 def test_decoding_equals_the_library(odd):
     exact = library("word_bpe_49k.json")
     for r in encode(odd).collect():
@@ -97,8 +120,10 @@ def test_program_runs_until_it_is_near_its_bound():
         for k, t in pattern.items():
             placed[k] += n * t
     assert dict(placed) == histogram
-    exact, programs, bound = solve({1024: 5, 700: 4, 648: 2}, 2048)  # best fit alone has as few as the tokens need
-    assert (sum(n for _, n in exact), programs, bound) == (5, 0, 5)
+    easy = {k: 4000 // k + 1 for k in range(1, 900, 3)}  # best fit alone has as few as the tokens need; the program's plan has no more
+    got, programs, bound = solve(easy, 2048)
+    assert sum(n for _, n in got) == sum(n for _, n in best_fit(easy, 2048)) == bound and programs > 0
+    assert solve({}, 2048) == ([], 0, 0.0) and sum(n for _, n in solve({2048: 3}, 2048)[0]) == 3
 
 
 def test_best_fit_takes_the_tightest_bin():
