@@ -176,4 +176,4 @@ def judge(docs: DataFrame) -> DataFrame:
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
     """Measures and verdict of every document."""
     judged = judge(read(spark, sf_dir, "documents", "doc_id", "text", "lang"))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance")
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("char_distance", 6).alias("char_distance"), F.round("word_distance", 6).alias("word_distance"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from framelake.llm import oracles
 from framelake.llm.automaton import op3_bpe_encoding_and_decoding
 from framelake.llm.language import op9_language_id
 from framelake.llm.near_duplicates import op6_minhash_near_dedup
@@ -25,4 +26,4 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_secret_scans": op10_secret_scans,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op8_quality_rules": oracles.op8(), "op10_secret_scans": oracles.op10()}

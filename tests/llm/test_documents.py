@@ -6,13 +6,16 @@ import time
 from collections import Counter
 from zlib import crc32
 
+import duckdb
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from framelake.llm import language, quality_model
 from framelake.llm.permutation_index import search
+from framelake.llm.queries import ORACLE_SQL, QUERIES
 from framelake.llm.quality_rules import jensen_shannon, judge, op8_quality_rules
 from framelake.llm.secrets import extend_ledger, findings, op10_secret_scans, redact, stored_ledger, update_ledger
 
@@ -43,6 +46,18 @@ def test_measures_match_brute_force(spark, sf_dir, documents, odd):
     assert judge(odd.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("name", list(ORACLE_SQL))
+def test_queries_match_their_sql(spark, name):
+    folder = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{folder}/documents.parquet'")
+    ours, theirs = QUERIES[name](spark, folder).toPandas(), con.execute(ORACLE_SQL[name]).df()
+    columns = sorted(ours.columns)
+    assert columns == sorted(theirs.columns)
+    tidy = lambda t: t[columns].sort_values("doc_id").reset_index(drop=True)
+    pd.testing.assert_frame_equal(tidy(ours), tidy(theirs), check_dtype=False, rtol=0, atol=2e-6)
+
+
 def test_languages_without_a_word_list_are_compared(spark):
     r = np.random.default_rng(0)
     prose = lambda: " ".join("".join(r.choice(list("abcdefghijklmnopqrstuvwxyz"), 5)) for _ in range(200))
