@@ -8,7 +8,8 @@ from less some arcs, and whether t is an arc of a state is decided by the first
 left component of t before t was built from it.
 
 Every string has exactly one accepted sequence, so encoding is a walk over a table: for each end position
-the one token that ends there and is an arc of the state before it."""
+the one token that ends there and is an arc of the state before it. The table of all pairs of states and tokens would have some
+10^9 cells, so its cells are compiled as they are first asked for, and kept."""
 
 from __future__ import annotations
 
@@ -181,7 +182,11 @@ class WordEncoder:
             model = json.load(f)["model"]
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.automaton = Automaton(model["vocab"], merges)
-        self.special = {t.content: i for i, t in self.exact.get_added_tokens_decoder().items()}
+        added = self.exact.get_added_tokens_decoder()
+        if any(t.single_word or t.lstrip or t.rstrip or t.normalized for t in added.values()):
+            raise ValueError("special tokens that look at their surroundings are not supported")
+        self.special = {t.content: i for i, t in added.items()}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         labels = {**{i: w for w, i in model["vocab"].items()}, **{i: w for w, i in self.special.items()}}
         raw = [labels.get(i, "").encode() + b" " for i in range(max(labels) + 1)]
         self.label_at = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
@@ -221,18 +226,31 @@ class WordEncoder:
         return order, np.diff(ahead, prepend=0), ids
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of a column of texts (null: empty), and the number before each row (one more than rows)."""
+        """All ids of a column of texts (null: empty), and the number before each row (one more than rows).
+
+        A text is cut at special tokens, which are their own ids; the automaton encodes what lies between them."""
         listed = texts.to_pylist()
-        special = {i for i, x in enumerate(listed) if x and any(s in x for s in self.special)}
-        data, offsets = as_bytes(pa.array(["" if i in special else self._normal(x) for i, x in enumerate(listed)], pa.large_string()))
+        if not self.cut or not any(x and self.cut.search(x) for x in listed):
+            return self._encode(listed)
+        between, rows = [], []
+        for x in listed:
+            found = self.cut.split(x or "")
+            rows.append((len(between), [self.special[m] for m in found[1::2]]))
+            between += found[::2]
+        ids, ahead = self._encode(between)
+        out, counts = [], []
+        for at, marks in rows:
+            out.append(ids[ahead[at] : ahead[at + 1]])
+            for k, mark in enumerate(marks, at + 1):
+                out += [np.array([mark], np.uint32), ids[ahead[k] : ahead[k + 1]]]
+            counts.append(int(ahead[at + len(marks) + 1] - ahead[at]) + len(marks))
+        return np.concatenate(out), np.concatenate([[0], np.cumsum(counts)])
+
+    def _encode(self, listed: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        data, offsets = as_bytes(pa.array([self._normal(x) for x in listed], pa.large_string()))
         start, end, before = words(data, offsets)
         raw = data.tobytes()
-
-        ids, ahead = encode_chunks(self.table, data, start, end, before, lambda a, b: self._fill(raw, a, b))
-        if special:
-            rows = [np.array(self.exact.encode(x, add_special_tokens=False).ids, np.uint32) if i in special else ids[ahead[i] : ahead[i + 1]] for i, x in enumerate(listed)]
-            ids, ahead = np.concatenate(rows), np.concatenate([[0], np.cumsum([len(r) for r in rows])])
-        return ids, ahead
+        return encode_chunks(self.table, data, start, end, before, lambda a, b: self._fill(raw, a, b))
 
     def decode(self, ids: np.ndarray, before: np.ndarray) -> list[bytes]:
         """The text of each row's ids, as UTF-8: the labels of the arcs with a space between them."""

@@ -11,7 +11,7 @@ from framelake.llm.chunks import ByteLevelEncoder, ChunkTable, encode_chunks
 from framelake.llm.packing import best_fit, configuration_lp, knapsack, op1_best_fit_packing, pack_documents, plan, sequences, solve
 from framelake.llm.sharding import best_fit_decreasing, into_bins, op2_sharding, shard
 
-ODD = [None, "", " ", "  a  b\n\nc\t d ", "İstanbul ß ﬁ é é", "日本語　テキスト", "\U0001f600x  y z", "<|endoftext|> it's 12345 don't!!", "</w> <unk>", "aaaa" * 3000, "ÀÉ " * 50, "\x85\x1c\x00"]
+ODD = [None, "", " ", "<|endoftext|>", "Hello<|endoftext|>World <|startoftext|><|endoftext|>  é x", "<|endoftext| >", "  a  b\n\nc\t d ", "İstanbul ß ﬁ é é", "日本語　テキスト", "\U0001f600x  y z", "<|endoftext|> it's 12345 don't!!", "</w> <unk>", "aaaa" * 3000, "ÀÉ " * 50, "\x85\x1c\x00"]
 
 
 def library(path):
