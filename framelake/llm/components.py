@@ -16,18 +16,16 @@ def _mark(links: DataFrame) -> tuple:
 def components(links: DataFrame) -> DataFrame:
     """For links(a, b): every node that has one, with the least node of its component: node, root.
 
-    Each step sums up to a least neighbour before anything is joined. The sums are written, so that the joins aren't bound to their
-    partitions and adaptive execution can split a node with very many neighbours. The table of links is written once a round and
-    shrinks to stars; rounds end when it no longer changes."""
+    Each step sums up to a least neighbour before anything is joined. The table of links is written once a round and shrinks to
+    stars; rounds end when it no longer changes. A node's links stand in one task of a round: only a component's hub has very many."""
     links = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
     mark = _mark(links)
     while mark[0]:
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
-        large = both.join(least.hint("merge"), "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        large = cut(large)
-        least = cut(large.groupBy("a").agg(F.min("b").alias("m")))
-        small = large.join(least.hint("merge"), "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x"))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x"))
         links = cut(small.select("x.a", "x.b").filter("a <> b").distinct())
         before, mark = mark, _mark(links)
         if mark == before:
