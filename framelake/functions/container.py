@@ -28,13 +28,13 @@ def _hex(text: str) -> Column:
 def crc(data: Column) -> Column:
     """Checksum of a page whose checksum bytes are zero: a cyclic remainder from 0, bytes from their high bit on."""
     table = F.array(*[F.lit(_remainder(b)) for b in range(256)])
-    places = F.sequence(F.lit(0), F.octet_length(data) - 1)
+    letters = F.split(F.decode(data, "ISO-8859-1"), "")  # one for each byte; its code is the byte
 
-    def step(s: Column, i: Column) -> Column:
+    def step(s: Column, x: Column) -> Column:
         left = F.shiftleft(s.bitwiseAND(0xFFFFFF), 8)
-        return left.bitwiseXOR(F.get(table, F.shiftright(s, 24).bitwiseXOR(number(data, i)).cast("int")))
+        return left.bitwiseXOR(F.get(table, F.shiftright(s, 24).bitwiseXOR(F.ascii(x)).cast("int")))
 
-    return F.when(F.octet_length(data) > 0, F.aggregate(places, F.lit(0).cast("long"), step)).otherwise(F.lit(0).cast("long"))
+    return F.when(F.octet_length(data) > 0, F.aggregate(letters, F.lit(0).cast("long"), step)).otherwise(F.lit(0).cast("long"))
 
 
 def bare_page(payload: Column, flags: Column, granule: Column, serial: Column, sequence: Column) -> Column:

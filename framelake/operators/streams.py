@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelake.functions import packets as P
+from framelake.operators.framing import low_rate_copy, parse
+from framelake.operators.redundancy import add_redundancy, split_redundancy
 from framelake.sources.adapters import FRAME
 
 JUMP = 100  # a gap of so many packets is a jump, not a loss
@@ -21,17 +23,20 @@ def lost_slots(received: DataFrame) -> DataFrame:
     return slots.select("stream_id", (F.col("_next") - F.col("ago")).alias("seq"), "ago", ((F.col("_next") - F.col("ago")) * FRAME).alias("ts48"))
 
 
-def recovery(sent: DataFrame, depth: int = 2, most_bytes: int = 60) -> DataFrame:
-    """How each lost slot is filled, the first that can: a redundant copy in one of the `depth` packets after it (packets of up to
-    `most_bytes` have copies), the low-rate copy in the next packet, or concealment.
-
-    sent(stream_id, seq, toc, second_byte, len, lost); adds kind to lost_slots()."""
-    received = sent.filter(~F.col("lost"))
-    carried = received.select("stream_id", F.explode(F.array(*[F.col("seq") - k for k in range(1, depth + 1)])).alias("seq"))
-    copies = carried.distinct().join(sent.filter(F.col("len") <= most_bytes).select("stream_id", "seq"), ["stream_id", "seq"]).withColumn("red", F.lit(True))
-    after = received.select("stream_id", (F.col("seq") - 1).alias("seq"), P.first_frame_has_fec(F.col("toc"), F.col("second_byte")).alias("fec"))
-    lost = lost_slots(received).join(copies, ["stream_id", "seq"], "left").join(after, ["stream_id", "seq"], "left")
-    kind = F.when(F.col("red"), "redundant").when(F.coalesce("fec", F.lit(False)) & (F.col("ago") == 1), "low rate").otherwise("concealed")
+def recovery(sent: DataFrame, depth: int = 2, payload_type: int = 111) -> DataFrame:
+    """How each lost slot is filled, the first that can: a redundant copy in a packet that came after it, the low-rate copy in the first frame of the
+    next packet, or concealment.
+
+    sent(stream_id, seq, ts, lost, payload), with timestamps of FRAME ticks a packet, is put on the wire with up to `depth` earlier payloads each;
+    what came is taken apart again. Adds kind to lost_slots()."""
+    arrived = sent.filter(~F.col("lost"))
+    wires = add_redundancy(sent, depth, FRAME, payload_type).filter(~F.col("lost")).select("stream_id", "ts", "wire")
+    carried = split_redundancy(wires, payload_type).select("stream_id", "ts", F.explode("blocks.offset").alias("offset"))
+    copies = carried.select("stream_id", F.pmod(F.col("ts") - F.col("offset"), F.lit(1 << 32)).alias("_ts")).distinct().withColumn("red", F.lit(True))
+    after = low_rate_copy(parse(arrived.select("stream_id", (F.col("seq") - 1).alias("seq"), "payload"))).select("stream_id", "seq", "has_copy")
+    lost = lost_slots(arrived.select("stream_id", "seq")).withColumn("_ts", F.pmod("ts48", F.lit(1 << 32)))
+    lost = lost.join(copies, ["stream_id", "_ts"], "left").join(after, ["stream_id", "seq"], "left")
+    kind = F.when(F.col("red"), "redundant").when(F.coalesce("has_copy", F.lit(False)) & (F.col("ago") == 1), "low rate").otherwise("concealed")
     return lost.select("stream_id", "seq", "ago", "ts48", kind.alias("kind"))
 
 
@@ -94,3 +99,16 @@ def regroup(packets: DataFrame, size: int = 3, most: int = P.MOST_FRAMES) -> Dat
     )
     error = F.when(F.col("_a") != F.col("_b"), "different kinds").when(F.col("_f") == 0, "invalid packet").when((F.col("frames") > most) | (F.col("samples") > P.MOST_SAMPLES), "too long")
     return out.select("stream_id", "part", "first_toc", "packets", "frames", "bytes", error.alias("error"))
+
+
+def silence_suppressed(frames: DataFrame, ahead: int = 10, most: int = 20) -> DataFrame:
+    """Add idle, how many frames in a row have no activity up to this one, and suppressed to frames(stream_id, seq, active) of 20 ms.
+
+    After `ahead` idle frames `most` are suppressed; then one is sent again, and so on. Any activity starts anew. A null is no activity."""
+    order = Window.partitionBy("stream_id").orderBy("seq")
+    busy = F.coalesce("active", F.lit(False))
+    rows = frames.withColumn("_row", F.row_number().over(order))
+    last = F.coalesce(F.max(F.when(busy, F.col("_row"))).over(order), F.lit(0))
+    rows = rows.withColumn("idle", F.when(busy, 0).otherwise(F.col("_row") - last).cast("long"))
+    refresh = (F.col("idle") > ahead + most) & ((F.col("idle") - ahead) % (most + 1) == 0)
+    return rows.withColumn("suppressed", (F.col("idle") > ahead) & ~refresh).drop("_row")

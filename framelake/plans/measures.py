@@ -9,8 +9,10 @@ from framelake.functions import layouts as L
 from framelake.functions import packets as P
 from framelake.functions import pcm as S
 from framelake.functions.packets import ERRORS
-from framelake.operators import reports
+from framelake.functions.wire import digits
+from framelake.operators import reports, streams
 from framelake.plans.base import MODE, WITH, query
+from framelake.sources import files
 from framelake.sources.adapters import blocks, headers, packets
 
 TWO = "WITH p AS (SELECT a.vec_id AS block_id, a.embedding::DOUBLE[] AS a, b.embedding::DOUBLE[] AS b FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)"
@@ -195,3 +197,34 @@ def arrival_schedule(spark, sf_dir: str) -> DataFrame:
     rows = packets(spark, sf_dir).select("stream_id", "event_id", tick.alias("tick"), "seq")
     place = F.row_number().over(Window.partitionBy("stream_id").orderBy("tick", "seq"))
     return rows.select("stream_id", "event_id", "tick", place.cast("long").alias("place"))
+
+
+@query(f"""{WITH}, a AS (SELECT stream_id, seq, event_id % 40 = 0 AS active FROM packets), g AS (SELECT *, sum(CASE WHEN active THEN 1 ELSE 0 END) OVER (PARTITION BY stream_id ORDER BY seq) AS era FROM a),
+    r AS (SELECT *, row_number() OVER (PARTITION BY stream_id, era ORDER BY seq) - CASE WHEN era > 0 THEN 1 ELSE 0 END AS idle FROM g)
+    SELECT stream_id, seq, idle, idle > 10 AND idle % 21 <> 10 AS suppressed FROM r""")
+def silence_suppression(spark, sf_dir: str) -> DataFrame:
+    """Frames that need not be sent, if every fortieth event is active."""
+    rows = packets(spark, sf_dir).select("stream_id", "seq", (F.col("event_id") % 40 == 0).alias("active"))
+    return streams.silence_suppressed(rows).select("stream_id", "seq", "idle", "suppressed")
+
+
+@query(f"""{WITH} SELECT stream_id, row_number() OVER (PARTITION BY stream_id ORDER BY seq) - 1 AS seq, event_id * 2654435761 % 4294967296 AS final_range, CASE WHEN NOT lost THEN md5(substr(repeat(md5(event_id::VARCHAR), 4), 1, len)) END AS payload FROM packets""")
+def vector_files(spark, sf_dir: str) -> DataFrame:
+    """Each stream as a file of test vectors, and its records again."""
+    big = lambda n: digits(n, 4)
+    body = F.substring(F.repeat(F.md5(F.col("event_id").cast("string").cast("binary")), 4), F.lit(1), F.col("len").cast("int")).cast("binary")
+    rows = packets(spark, sf_dir).select("stream_id", "seq", "event_id", F.when(F.col("lost"), F.lit(b"")).otherwise(body).alias("body"))
+    record = F.unhex(F.concat(big(F.octet_length("body")), big(F.col("event_id") * 2654435761 % 4294967296), F.hex("body")))
+    listed = rows.select("stream_id", "seq", record.alias("record")).groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct("seq", "record"))).alias("x"))
+    content = F.unhex(F.array_join(F.transform("x.record", lambda r: F.hex(r)), ""))
+    found = files.vectors(listed.select(F.col("stream_id").cast("string").alias("path"), content.alias("content")))
+    return found.select(F.col("path").cast("long").alias("stream_id"), "seq", "final_range", F.md5("payload").alias("payload"))
+
+
+@query("""SELECT vec_id AS block_id, label % 8 + 1 AS channels, 8000 + vec_id AS rate, len(embedding)::INT AS n, list_sum(list_transform(embedding, lambda x: round_even(x::DOUBLE * 32768, 0)::INT))::BIGINT AS total FROM embeddings""")
+def wav_files(spark, sf_dir: str) -> DataFrame:
+    """Each block as a file of 16-bit samples, and read again."""
+    v = F.col("block_id")
+    made = blocks(spark, sf_dir).select(v.cast("string").alias("path"), files.to_wav(S.to_int16(F.col("pcm")), F.col("channels"), 8000 + v).alias("content"))
+    total = F.aggregate("pcm", F.lit(0).cast("long"), lambda s, x: s + x)
+    return files.wav(made).select(F.col("path").cast("long").alias("block_id"), F.col("channels").cast("int").alias("channels"), "rate", F.size("pcm").alias("n"), total.alias("total"))

@@ -11,12 +11,9 @@ from framelake.functions import pcm as S
 from framelake.functions.layouts import LAYOUTS
 from framelake.operators import redundancy, stats, streams
 from framelake.plans import measures, wire  # noqa: F401  (they register their queries)
-from framelake.plans.base import BANDWIDTH, FEC, FRAMES, MODE, ORACLE_SQL, QUERIES, SIZE, STRICT, WITH, query  # noqa: F401
+from framelake.plans.base import BANDWIDTH, FRAMES, LOST, MODE, ORACLE_SQL, QUERIES, SIZE, STRICT, WITH, query  # noqa: F401
 from framelake.sources.adapters import FRAME, blocks, headers, packets
 
-
-LOST = f"""{WITH}, gaps AS (SELECT stream_id, seq, seq - lag(seq) OVER (PARTITION BY stream_id ORDER BY seq) - 1 AS missing FROM packets WHERE NOT lost),
-    slots AS (SELECT stream_id, seq - ago AS seq, ago, (seq - ago) * {FRAME} AS ts48 FROM (SELECT stream_id, seq, unnest(range(1, missing + 1)) AS ago FROM gaps WHERE missing > 0 AND missing < 100))"""
 RUNS = f"""{WITH}, good AS (SELECT *, last_value(CASE WHEN NOT lost THEN seq END IGNORE NULLS) OVER w AS g, last_value(CASE WHEN NOT lost THEN value END IGNORE NULLS) OVER w AS v
     FROM packets WINDOW w AS (PARTITION BY stream_id ORDER BY seq ROWS UNBOUNDED PRECEDING)), runs AS (SELECT *, CASE WHEN lost THEN seq - coalesce(g, -1) ELSE 0 END AS run FROM good)"""
 
@@ -26,12 +23,12 @@ def packets_by_mode(spark, sf_dir: str) -> DataFrame:
 
 
 @query(f"""{WITH} SELECT event_id, toc // 8 AS config, toc % 8 >= 4 AS stereo, toc % 4 AS code, {SIZE} AS frame_samples, {FRAMES} AS frames, {STRICT} AS frames_strict, {FRAMES} * {SIZE} AS samples,
-    {FEC} AS has_fec, len // 255 + 1 AS segments, toc AS built FROM packets""")
+    len // 255 + 1 AS segments, toc AS built FROM packets""")
 def packet_headers(spark, sf_dir: str) -> DataFrame:
     frames = P.frames_lenient(F.col("toc"), F.col("second_byte"))
     return headers(spark, sf_dir).select(
         "event_id", P.config(F.col("toc")).alias("config"), P.stereo(F.col("toc")).alias("stereo"), P.code(F.col("toc")).alias("code"), P.frame_samples(F.col("toc")).alias("frame_samples"), frames.alias("frames"),
-        P.frames_strict(F.col("toc"), F.col("second_byte")).alias("frames_strict"), (frames * P.frame_samples(F.col("toc"))).alias("samples"), P.first_frame_has_fec(F.col("toc"), F.col("second_byte")).alias("has_fec"),
+        P.frames_strict(F.col("toc"), F.col("second_byte")).alias("frames_strict"), (frames * P.frame_samples(F.col("toc"))).alias("samples"),
         P.segments(F.col("len")).alias("segments"), P.build_toc(P.config(F.col("toc")), P.stereo(F.col("toc")), P.code(F.col("toc"))).alias("built"),
     )
 
@@ -47,14 +44,6 @@ def lost_packets(spark, sf_dir: str) -> DataFrame:
     return streams.lost_slots(packets(spark, sf_dir).filter(~F.col("lost")))
 
 
-@query(f"""{LOST}, carried AS (SELECT DISTINCT stream_id, seq - k AS seq FROM packets, (VALUES (1), (2)) t(k) WHERE NOT lost),
-    copies AS (SELECT stream_id, seq FROM carried JOIN packets USING (stream_id, seq) WHERE len <= 60), after AS (SELECT stream_id, seq - 1 AS seq, {FEC} AS fec FROM packets WHERE NOT lost)
-    SELECT s.*, CASE WHEN c.seq IS NOT NULL THEN 'redundant' WHEN coalesce(fec, false) AND ago = 1 THEN 'low rate' ELSE 'concealed' END AS kind
-    FROM slots s LEFT JOIN copies c ON s.stream_id = c.stream_id AND s.seq = c.seq LEFT JOIN after a ON s.stream_id = a.stream_id AND s.seq = a.seq""")
-def recovery_cascade(spark, sf_dir: str) -> DataFrame:
-    return streams.recovery(packets(spark, sf_dir))
-
-
 @query(f"""{WITH} SELECT stream_id, count(*) AS packets, count_if(lost)::BIGINT AS lost, round(100.0 * count_if(lost) / count(*), 6) AS loss_percent,
     round(sum(CASE WHEN NOT lost THEN len ELSE 0 END) * 8 * 48.0 / (count(*) * {FRAME}), 6) AS kbps FROM packets GROUP BY stream_id""")
 def link_counters(spark, sf_dir: str) -> DataFrame:

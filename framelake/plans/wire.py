@@ -7,14 +7,17 @@ from pyspark.sql import functions as F
 
 from framelake.functions import container as C
 from framelake.functions import packets as P
-from framelake.operators import framing, pages
-from framelake.plans.base import SIZE, WITH, query
+from framelake.operators import framing, pages, streams
+from framelake.plans.base import SIZE, SLOTS, WITH, query
 from framelake.sources.adapters import FRAME, blocks, headers, packets
 
 #: Frames of each packet: how many, their bytes, and whether all are as long. The toc is that without the code.
 FRAMED = f"""{WITH}, framed AS (SELECT event_id, stream_id, seq, event_id * 4 % 256 AS toc, 1 + event_id % 4 AS m, event_id % 4 = 0 OR event_id % 3 = 0 AS same,
-    list_transform(range(1 + event_id % 4), lambda i: substr(repeat(md5(event_id || ':' || i), 10), 1, (CASE WHEN event_id % 3 = 0 THEN 5 + event_id % 300 ELSE 1 + (event_id * 7 + i * 13) % 270 END)::INT)) AS frames FROM packets)"""
+    list_transform(range(1 + event_id % 4), lambda i: substr(repeat(md5(event_id || ':' || i), 10), 1, (CASE WHEN event_id % 3 = 0 THEN 5 + event_id % 300 ELSE 1 + (event_id * 7 + i * 13) % 270 END)::INT)) AS frames, lost FROM packets)"""
 TEXT = "array_to_string({}, '')"
+#: The bytes of each packet without padding.
+PLAIN = f"""plain AS (SELECT *, 1 + list_sum(list_transform(frames, lambda x: len(x))) + CASE WHEN m = 1 OR (m = 2 AND same) THEN 0 WHEN m = 2 THEN CASE WHEN len(frames[1]) < 252 THEN 1 ELSE 2 END
+    ELSE 1 + CASE WHEN same THEN 0 ELSE list_sum(list_transform(frames[1:m - 1], lambda x: CASE WHEN len(x) < 252 THEN 1 ELSE 2 END)) END END AS bytes FROM framed)"""
 TOO_LONG = f"m > 2 AND m * {SIZE} > 5760"
 
 
@@ -61,8 +64,11 @@ def frame_explode(spark, sf_dir: str) -> DataFrame:
     return found.select("event_id", "pos", F.octet_length("frame").alias("bytes"), F.col("frame").cast("string").alias("frame"))
 
 
-@query(f"""{FRAMED}, first AS (SELECT *, ascii(frames[1]) AS b, greatest(1, {SIZE} // 960) AS n FROM framed)
-    SELECT event_id, toc < 128 AND NOT ({TOO_LONG}) AND ((b >> (7 - n)::INT) & 1 = 1 OR (toc % 8 >= 4 AND (b >> greatest(0, 6 - 2 * n)::INT) & 1 = 1)) AS has_copy FROM first""")
+COPIES = f"""first AS (SELECT *, ascii(frames[1]) AS b, greatest(1, {SIZE} // 960) AS n FROM framed),
+    low AS (SELECT event_id, stream_id, seq, lost, toc < 128 AND NOT ({TOO_LONG}) AND ((b >> (7 - n)::INT) & 1 = 1 OR (toc % 8 >= 4 AND (b >> greatest(0, 6 - 2 * n)::INT) & 1 = 1)) AS has_copy FROM first)"""
+
+
+@query(f"{FRAMED}, {COPIES} SELECT event_id, has_copy FROM low")
 def low_rate_copies(spark, sf_dir: str) -> DataFrame:
     """Whether a packet carries a low-rate copy of the one before, by the first byte of its first frame; false for a malformed one."""
     rows = _framed(spark, sf_dir).select("event_id", framing.build(F.col("toc"), F.col("parts")).alias("payload"))
@@ -82,9 +88,8 @@ def joined_packets(spark, sf_dir: str) -> DataFrame:
     return again.select("stream_id", "part", "error", F.when(F.col("error").isNull(), F.size("frames")).cast("long").alias("frames"), F.when(F.col("error").isNull(), _text("frames")).alias("body"))
 
 
-@query(f"""{FRAMED}, plain AS (SELECT *, {TOO_LONG} AS bad, 1 + list_sum(list_transform(frames, lambda x: len(x))) + CASE WHEN m = 1 OR (m = 2 AND same) THEN 0 WHEN m = 2 THEN CASE WHEN len(frames[1]) < 252 THEN 1 ELSE 2 END
-    ELSE 1 + CASE WHEN same THEN 0 ELSE list_sum(list_transform(frames[1:m - 1], lambda x: CASE WHEN len(x) < 252 THEN 1 ELSE 2 END)) END END AS bytes FROM framed)
-    SELECT event_id, CASE WHEN NOT bad THEN bytes + event_id % 700 END::BIGINT AS padded, CASE WHEN NOT bad THEN bytes END::BIGINT AS bare, CASE WHEN NOT bad THEN md5({TEXT.format("frames")}) END AS body FROM plain""")
+@query(f"""{FRAMED}, {PLAIN}, judged AS (SELECT *, {TOO_LONG} AS bad FROM plain)
+    SELECT event_id, CASE WHEN NOT bad THEN bytes + event_id % 700 END::BIGINT AS padded, CASE WHEN NOT bad THEN bytes END::BIGINT AS bare, CASE WHEN NOT bad THEN md5({TEXT.format("frames")}) END AS body FROM judged""")
 def padded_packets(spark, sf_dir: str) -> DataFrame:
     """Packets padded by up to 699 bytes, and without the padding again."""
     rows = _framed(spark, sf_dir).select("event_id", F.inline(F.array(F.struct(framing.build(F.col("toc"), F.col("parts")).alias("payload")))))
@@ -111,6 +116,19 @@ def stream_split(spark, sf_dir: str) -> DataFrame:
     )
 
 
+@query(f"""{FRAMED}, {PLAIN}, {COPIES}, {SLOTS}, carried AS (SELECT r.stream_id, p.seq, row_number() OVER (PARTITION BY r.stream_id, r.seq ORDER BY p.seq DESC) AS n FROM plain r JOIN plain p ON r.stream_id = p.stream_id AND p.seq BETWEEN r.seq - 5 AND r.seq - 1
+    WHERE NOT r.lost AND p.bytes <= 1023 AND p.event_id % 2 = 1), copies AS (SELECT DISTINCT stream_id, seq FROM carried WHERE n <= 2), after AS (SELECT stream_id, seq - 1 AS seq, has_copy FROM low WHERE NOT lost)
+    SELECT s.*, CASE WHEN c.seq IS NOT NULL THEN 'redundant' WHEN coalesce(has_copy, false) AND ago = 1 THEN 'low rate' ELSE 'concealed' END AS kind
+    FROM slots s LEFT JOIN copies c ON s.stream_id = c.stream_id AND s.seq = c.seq LEFT JOIN after a ON s.stream_id = a.stream_id AND s.seq = a.seq""")
+def recovery_cascade(spark, sf_dir: str) -> DataFrame:
+    """How each lost packet is made up for, by the copies that the packets after it really carry; every second one is padded and too long for that."""
+    e, own = F.col("event_id"), ("stream_id", "seq", F.col("ts48").alias("ts"), "lost")
+    made = packets(spark, sf_dir).select(*own, e, F.inline(F.array(F.struct((e * 4 % 256).alias("toc"), _frames(e, 1 + e % 4).alias("parts")))))
+    sent = made.select("stream_id", "seq", "ts", "lost", e, "toc", "parts", F.inline(F.array(F.struct(framing.build(F.col("toc"), F.col("parts")).alias("plain")))))
+    wide = framing.build(F.col("toc"), F.col("parts"), target=F.greatest(F.octet_length("plain"), F.lit(1100)))
+    return streams.recovery(sent.select("stream_id", "seq", "ts", "lost", F.when(e % 2 == 0, wide).otherwise(F.col("plain")).alias("payload")))
+
+
 @query(f"""{WITH} SELECT stream_id AS serial, seq + 2 AS page_seq, md5(repeat(md5(event_id::VARCHAR), len::INT // 4 + 1)) AS payload, (sum(CASE WHEN lost THEN 0 ELSE {FRAME} END) OVER (PARTITION BY stream_id ORDER BY seq))::BIGINT AS granule FROM packets""")
 def page_round_trip(spark, sf_dir: str) -> DataFrame:
     """Streams written as pages with checksums, read, checked and taken apart into packets again."""

@@ -109,6 +109,6 @@ def test_optimized_plans_stay_small(spark, sf_dir):
     """A filter on what was parsed must not carry the parser's expressions down through every step."""
     from framelake.plans.registry import QUERIES
 
-    for name in ("redundant_blocks", "packet_parse", "stream_split", "padded_packets", "page_round_trip"):
+    for name in ("redundant_blocks", "recovery_cascade", "packet_parse", "stream_split", "padded_packets", "page_round_trip"):
         plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
         assert len(plan) < 300_000, (name, len(plan))
