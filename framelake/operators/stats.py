@@ -31,16 +31,28 @@ def percentiles(values: DataFrame, group: str, column: str) -> DataFrame:
 
 
 def profile(pairs: DataFrame) -> DataFrame:
-    """One row for aligned packets (len_a, len_b, mode_a, mode_b): mean and 95th percentile of the length difference, rate of different modes."""
+    """One row for aligned packets (len_a, len_b, mode_a, mode_b): mean and 95th percentile of the length difference, rate of different
+    modes, and how far the two histograms of modes are apart (the sum of the differences of their shares)."""
+    modes = ("silk", "hybrid", "celt")
+    more = lambda m: F.sum((F.col("mode_a") == m).cast("long") - (F.col("mode_b") == m).cast("long")).alias(f"_{m}")
     d = F.abs(F.col("len_a") - F.col("len_b"))
-    counts = pairs.groupBy(d.alias("d")).agg(F.count("*").alias("c"), F.count_if(F.col("mode_a") != F.col("mode_b")).alias("m"))
+    counts = pairs.groupBy(d.alias("d")).agg(F.count("*").alias("c"), F.count_if(F.col("mode_a") != F.col("mode_b")).alias("m"), *map(more, modes))
     ranked = counts.withColumn("upto", F.sum("c").over(Window.orderBy("d"))).withColumn("n", F.sum("c").over(Window.partitionBy()))  # some hundred rows
     return ranked.agg(
         F.max("n").alias("n"), F.round(F.sum(F.col("d") * F.col("c")) / F.max("n"), 6).alias("mean_difference"),
         F.min(F.when(F.col("upto") >= F.ceil(F.col("n") * 95 / 100), F.col("d"))).alias("p95_difference"), F.round(F.sum("m") / F.max("n"), 6).alias("mode_mismatch"),
+        F.round(sum((F.abs(F.sum(f"_{m}")) for m in modes[1:]), F.abs(F.sum("_silk"))) / F.max("n"), 6).alias("histogram_distance"),
     )
 
 
+def mismatches(left: DataFrame, right: DataFrame) -> DataFrame:
+    """For two lists of packets(stream_id, seq, payload): how many places of a stream both have, at how many the payloads differ, and the
+    first such place (-1: none)."""
+    pairs = left.select("stream_id", "seq", F.col("payload").alias("_a")).join(right.select("stream_id", "seq", F.col("payload").alias("_b")), ["stream_id", "seq"])
+    bad = ~F.col("_a").eqNullSafe(F.col("_b"))
+    return pairs.groupBy("stream_id").agg(F.count("*").alias("compared"), F.count_if(bad).alias("mismatches"), F.coalesce(F.min(F.when(bad, F.col("seq"))), F.lit(-1)).alias("first_mismatch"))
+
+
 def compare_blocks(pairs: DataFrame) -> DataFrame:
     """For pairs(block_id, a, b) of sample arrays, over their common length: correlation, ratio of root mean squares, rmse, snr in dB.
 

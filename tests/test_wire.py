@@ -9,7 +9,8 @@ from framelake.functions import container as C
 from framelake.functions import layouts as L
 from framelake.functions import packets as P
 from framelake.functions import pcm as S
-from framelake.operators import framing, pages, reports
+from framelake.operators import framing, pages, reports, stats, streams
+from framelake.sources import files
 
 A, B, LONG = "48112233", "48445566", "48778899aa"
 
@@ -112,3 +113,35 @@ def test_optimized_plans_stay_small(spark, sf_dir):
     for name in ("redundant_blocks", "recovery_cascade", "packet_parse", "stream_split", "padded_packets", "page_round_trip"):
         plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
         assert len(plan) < 300_000, (name, len(plan))
+
+
+def test_files(spark, tmp_path):
+    record = b"\0\0\0\3\xff\0\0\1abc" + b"\0\0\0\0\0\0\0\2"
+    rows = spark.createDataFrame([("whole", bytearray(record * 2)), ("cut", bytearray(record[:10])), ("tail", bytearray(record + b"\0\0\0\1")), ("none", None)], "path string, content binary")
+    got = sorted((r.path, r.seq, r.final_range, bytes(r.payload) if r.payload else None) for r in files.vectors(rows).collect())
+    one = [(0xFF000001, b"abc"), (2, None)]
+    assert got == [("tail", i, *x) for i, x in enumerate(one)] + [("whole", i, *x) for i, x in enumerate(one * 2)]
+    (tmp_path / "f.json").write_text('{"version": 3, "cases": [{"name": "x", "frames": 2},\n {"name": "y", "frames": null}]}')
+    assert [(r.version, r.name, r.frames) for r in files.fixtures(spark, str(tmp_path / "f.json")).collect()] == [(3, "x", 2), (3, "y", None)]
+    made = spark.createDataFrame([("a", [1, -2, 32767, -32768]), ("b", [])], "path string, pcm array<int>").select("path", files.to_wav(F.col("pcm"), F.lit(2), F.lit(8000)).alias("content"))
+    data = {r.path: bytes(r.content) for r in made.collect()}
+    assert data["a"][:4] == b"RIFF" and len(data["a"]) == 52
+    data["list"] = data["a"][:36] + b"LIST\3\0\0\0abc\0" + data["a"][36:]  # a chunk of odd length before the samples
+    data |= {"float": data["a"][:20] + b"\3" + data["a"][21:], "junk": b"RIFF", "empty": b""}
+    read = {r.path: r for r in files.wav(spark.createDataFrame([(k, bytearray(v)) for k, v in data.items()], "path string, content binary")).collect()}
+    assert read["a"].pcm == read["list"].pcm == [1, -2, 32767, -32768] and (read["a"].channels, read["a"].rate, read["a"].error) == (2, 8000, None)
+    assert [read[k].error for k in ("float", "junk", "empty")] == ["no 16-bit PCM"] * 3
+
+
+def test_silence(spark):
+    rows = spark.createDataFrame([(1, i, i in (0, 60)) for i in range(75)] + [(2, i, None) for i in range(12)], "stream_id int, seq int, active boolean")
+    got = {(r.stream_id, r.seq): r.suppressed for r in streams.silence_suppressed(rows).collect()}
+    sent = [i for i in range(75) if not got[1, i]]
+    assert sent == [*range(11), 31, 52, *range(60, 71)] and [got[2, i] for i in (9, 10)] == [False, True]
+
+
+def test_mismatches(spark):
+    schema = "stream_id int, seq int, payload string"
+    a = spark.createDataFrame([(1, 0, "x"), (1, 1, "y"), (1, 2, None), (2, 0, "x"), (3, 0, "z")], schema)
+    b = spark.createDataFrame([(1, 0, "x"), (1, 1, "q"), (1, 2, None), (1, 3, "w"), (2, 0, "x")], schema)
+    assert {r.stream_id: tuple(r)[1:] for r in stats.mismatches(a, b).collect()} == {1: (3, 1, 1), 2: (1, 0, -1)}
