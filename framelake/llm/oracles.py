@@ -25,10 +25,10 @@ def op10() -> str:
         moved = kind in WITHOUT_LOOKING_BACK
         p = _quoted(WITHOUT_LOOKING_BACK.get(kind, pattern))
         every = lambda g, p=p: _lengths(f"regexp_extract_all(text, {p}, {g})")
-        lead = every(1) if moved else "list_transform(range(100000), lambda x: 0)"
+        lead = every(1) if moved else f"list_transform({every(0)}, lambda x: 0)"
         found.append(f"""SELECT r, {i} AS rule, '{kind}' AS kind, {least} AS least, {_lengths(f"string_split_regex(text, {p})")} AS gap, {every(2 if moved else 0)} AS whole, {every(2 if moved else group)} AS value, {lead} AS lead FROM d WHERE regexp_matches(text, {p})""")
     base = ", ".join(map(_quoted, BASE))
-    counts = ", ".join(f"count_if(kind = '{k}')::BIGINT AS n_{k}" for k in BASE)
+    counts = ", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in BASE)
     listed = "kind || ':' || a || ':' || b, ',' ORDER BY a, rule"
     return f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents), m AS ({" UNION ALL ".join(found)}), k AS (SELECT *, unnest(range(1, len(whole) + 1)) AS i FROM m),
     s AS (SELECT r, rule, kind, (list_sum(gap[:i]) + list_sum(lead[:i]) + coalesce(list_sum(whole[:i - 1]), 0))::BIGINT AS a, whole[i] AS n FROM k WHERE value[i] >= least), t AS (SELECT *, (a + n)::BIGINT AS b FROM s)
