@@ -1,8 +1,9 @@
-"""DuckDB SQL for the queries that SQL can express: op8 and op10. It states the rules anew, by other means where there are any."""
+"""DuckDB SQL for the queries that SQL can express: op8, op10, op11 and op13. It states the rules anew, by other means where there are any."""
 
 from __future__ import annotations
 
 from framelake.llm import quality_rules as Q
+from framelake.llm import turns as T
 from framelake.llm.secrets import BASE, RULES
 
 SPACE = r"[\x20\x09-\x0D]"
@@ -64,3 +65,32 @@ def op8() -> str:
     v AS (SELECT *, n < {Q.MIN_WORDS} OR 100 * rep > {Q.MAX_REPEATED_PERCENT} * n AS base_failed, CASE WHEN n >= {Q.CHARACTER_GUARD} THEN {distance("chars", "rc")} END AS char_distance, CASE WHEN n >= {Q.WORD_GUARD} THEN {distance("common", "rw")} END AS word_distance FROM j)
     SELECT doc_id, n::BIGINT AS n_words, word_chars::BIGINT AS word_chars, y::BIGINT AS n_symbols, dups::BIGINT AS n_dup_lines, rep::BIGINT AS n_repeat_words, base_failed,
     NOT base_failed AND coalesce(char_distance, 0) <= {Q.CHARACTER_LIMIT} AND coalesce(word_distance, 0) <= {Q.WORD_LIMIT} AS kept, char_distance, word_distance FROM v"""
+
+
+def op11() -> str:
+    """A checksum worked out byte by byte; one walk over whole conversations, state by state, and one along the audit, which writes the text."""
+    bits = "list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"
+    named = "coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')"
+    crc = f"xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split({named}, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(c >> 8, bits[(xor(c, b) & 255) + 1])))"
+    ends = ", ".join(f"({a}, {cost}, '{edits}')" for a, (cost, edits) in T.closings().items())
+    role = "CASE WHEN w.state = 2 THEN 'assistant' ELSE 'user' END"
+    last = "right(rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1)"
+    return f"""WITH RECURSIVE tab AS (SELECT {bits} AS bits), given AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc} % 20 AS lot FROM conversations, tab),
+    hurt AS (SELECT conv_id, turn, CASE WHEN lot = 4 THEN 'user' ELSE role END AS role, CASE lot WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN lot = 3 THEN 2 ELSE 1 END)) AS copy FROM given WHERE lot <> 0),
+    placed AS (SELECT dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS c, conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS i, {last} AS final FROM hurt),
+    seen AS (SELECT *, row_number() OVER (PARTITION BY c, role, text ORDER BY i) > 1 AS again, lag(role) OVER (PARTITION BY c ORDER BY i) AS prior FROM placed),
+    bad AS (SELECT *, CASE WHEN final = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN final NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, CASE WHEN left(role, 1) IN ('s', 'u', 'a') THEN left(role, 1) ELSE 'o' END AS initial FROM seen),
+    kinds AS (SELECT *, CASE WHEN fault IN ('blank', 'duplicate') THEN 'x' WHEN fault = 'truncated' THEN upper(initial) ELSE initial END AS kind FROM bad),
+    told AS (SELECT c, any_value(conv_id) AS conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+        count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE i > 1 AND left(prior, 1) || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal FROM kinds GROUP BY c),
+    moves(state, kind, next, cost, edits) AS (VALUES {T.MOVES}), ends(state, cost, edits) AS (VALUES {ends}),
+    walk AS (SELECT c, 0::BIGINT AS i, 0 AS state, 0 AS cost, '' AS audit FROM told UNION ALL
+        SELECT c, i, next, best.cost, best.audit FROM (SELECT w.c, k.i, m.next, min({{'cost': w.cost + m.cost, 'audit': w.audit || m.edits}}) AS best FROM walk w JOIN kinds k ON k.c = w.c AND k.i = w.i + 1 JOIN moves m ON m.state = w.state AND m.kind = k.kind GROUP BY w.c, k.i, m.next)),
+    done AS (SELECT c, min({{'cost': w.cost + e.cost, 'audit': w.audit || e.edits}}) AS best FROM walk w JOIN told t USING (c) JOIN ends e USING (state) WHERE w.i = t.n GROUP BY c),
+    steps AS (SELECT c, best.audit AS audit, 0 AS at_, 0::BIGINT AS i, 0 AS state, '' AS said FROM done UNION ALL
+        SELECT c, audit, at_, i, CASE left(role, 1) WHEN 's' THEN 1 WHEN 'u' THEN 2 WHEN 'a' THEN 3 ELSE state END, CASE WHEN role IS NULL THEN said WHEN said = '' THEN role || ':' || text ELSE said || chr(10) || role || ':' || text END FROM (
+            SELECT w.c, audit, at_ + 1 AS at_, w.i + CASE WHEN audit[at_ + 1] = 'I' THEN 0 ELSE 1 END AS i, state, said, CASE audit[at_ + 1] WHEN 'D' THEN NULL WHEN 'K' THEN k.role ELSE {role} END AS role, CASE WHEN audit[at_ + 1] = 'I' THEN '' ELSE k.text END AS text
+            FROM steps w LEFT JOIN kinds k ON k.c = w.c AND k.i = w.i + 1 WHERE at_ < len(audit))),
+    texts AS (SELECT c, sha256(said) AS sha FROM steps WHERE at_ = len(audit))
+    SELECT g.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.cost, 0)::BIGINT AS cost,
+        coalesce(best.audit, '') AS audit, coalesce(sha, sha256('')) AS repaired_sha256 FROM (SELECT DISTINCT conv_id FROM conversations) g LEFT JOIN told t ON g.conv_id IS NOT DISTINCT FROM t.conv_id LEFT JOIN done USING (c) LEFT JOIN texts USING (c)"""

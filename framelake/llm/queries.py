@@ -13,6 +13,7 @@ from framelake.llm.quality_rules import op8_quality_rules
 from framelake.llm.repeated_text import op7_suffix_array_dedup
 from framelake.llm.secrets import op10_secret_scans
 from framelake.llm.sharding import op2_sharding
+from framelake.llm.turns import op11_conversation_repair
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
@@ -25,5 +26,6 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_language_id": op9_language_id,
     "op10_secret_scans": op10_secret_scans,
+    "op11_conversation_repair": op11_conversation_repair,
 }
-ORACLE_SQL: dict[str, str] = {"op8_quality_rules": oracles.op8(), "op10_secret_scans": oracles.op10()}
+ORACLE_SQL: dict[str, str] = {"op8_quality_rules": oracles.op8(), "op10_secret_scans": oracles.op10(), "op11_conversation_repair": oracles.op11()}
