@@ -94,3 +94,15 @@ def op11() -> str:
     texts AS (SELECT c, sha256(said) AS sha FROM steps WHERE at_ = len(audit))
     SELECT g.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.cost, 0)::BIGINT AS cost,
         coalesce(best.audit, '') AS audit, coalesce(sha, sha256('')) AS repaired_sha256 FROM (SELECT DISTINCT conv_id FROM conversations) g LEFT JOIN told t ON g.conv_id IS NOT DISTINCT FROM t.conv_id LEFT JOIN done USING (c) LEFT JOIN texts USING (c)"""
+
+
+def op13() -> str:
+    """Every document against every item, term by term."""
+    terms = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+    return f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {terms} AS words FROM documents WHERE text IS NOT NULL), t AS (SELECT count(*) AS docs, sum(len(words))::BIGINT AS total FROM d WHERE len(words) > 0),
+    p AS (SELECT r, doc_id, term, count(*) AS tf, any_value(n) AS n FROM (SELECT r, doc_id, len(words) AS n, unnest(words) AS term FROM d) GROUP BY r, doc_id, term),
+    w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, t GROUP BY term, docs),
+    s AS (SELECT r, doc_id, p.term, w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // total))) AS score FROM p JOIN w USING (term), t),
+    q AS (SELECT item_id, term, count(*) AS repeats FROM (SELECT item_id, unnest({terms}) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark)) GROUP BY item_id, term),
+    x AS (SELECT item_id, r, any_value(doc_id) AS doc_id, sum(score * repeats)::BIGINT AS score FROM q JOIN s USING (term) GROUP BY item_id, r),
+    k AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST, r)::INT AS rank, doc_id, score FROM x WHERE score > 0) SELECT * FROM k WHERE rank <= 10"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from framelake.llm import oracles
 from framelake.llm.automaton import op3_bpe_encoding_and_decoding
 from framelake.llm.language import op9_language_id
+from framelake.llm.lexical import op13_ranked_search
 from framelake.llm.near_duplicates import op6_minhash_near_dedup
 from framelake.llm.packing import op1_best_fit_packing
 from framelake.llm.permutation_index import op5_approximate_nearest_neighbours
@@ -27,5 +28,11 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_secret_scans": op10_secret_scans,
     "op11_conversation_repair": op11_conversation_repair,
+    "op13_ranked_search": op13_ranked_search,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op8_quality_rules": oracles.op8(),
+    "op10_secret_scans": oracles.op10(),
+    "op11_conversation_repair": oracles.op11(),
+    "op13_ranked_search": oracles.op13(),
 }
-ORACLE_SQL: dict[str, str] = {"op8_quality_rules": oracles.op8(), "op10_secret_scans": oracles.op10(), "op11_conversation_repair": oracles.op11()}
