@@ -14,6 +14,7 @@ from framelake.llm.quality_rules import op8_quality_rules
 from framelake.llm.repeated_text import op7_suffix_array_dedup
 from framelake.llm.secrets import op10_secret_scans
 from framelake.llm.sharding import op2_sharding
+from framelake.llm.toxicity import op12_toxicity
 from framelake.llm.turns import op11_conversation_repair
 
 QUERIES = {
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_secret_scans": op10_secret_scans,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_toxicity": op12_toxicity,
     "op13_ranked_search": op13_ranked_search,
 }
 ORACLE_SQL: dict[str, str] = {
