@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framelake.functions import container as C
 from framelake.functions.wire import number, part
+from framelake.operators.scan import running
 
 PAGES = "path string, at long, page binary"
 
@@ -58,9 +59,8 @@ def write_pages(packets: DataFrame, heads: DataFrame) -> DataFrame:
     headers, one for each packet with the samples up to and with it as its granule, and an empty one that ends the stream.
 
     A packet has at most 65,024 bytes, as a page has 255 segments; streams are numbered by their id modulo 2^32."""
-    order = Window.partitionBy("stream_id").orderBy("seq")
-    upto = F.coalesce(F.sum("samples").over(order), F.lit(0))
-    body = packets.select("stream_id", (F.row_number().over(order) + 1).cast("long").alias("page_seq"), F.lit(0).alias("flags"), upto.alias("granule"), "payload")
+    rows = running(packets, "stream_id", "seq", sums={"_upto": F.col("samples"), "_place": F.lit(1).cast("long")})
+    body = rows.select("stream_id", (F.col("_place") + 1).alias("page_seq"), F.lit(0).alias("flags"), F.coalesce("_upto", F.lit(0)).alias("granule"), "payload")
     first = heads.select("stream_id", F.inline(F.array(*[F.struct(F.lit(i).cast("long").alias("page_seq"), F.lit(flags).alias("flags"), F.lit(0).cast("long").alias("granule"), F.col(c).alias("payload")) for i, flags, c in ((0, C.FIRST, "head"), (1, 0, "tags"))])))
     count = packets.groupBy("stream_id").agg(F.count("*").alias("n"), F.sum("samples").alias("granule"))
     last = heads.select("stream_id").join(count, "stream_id", "left").select("stream_id", (F.coalesce("n", F.lit(0)) + 2).alias("page_seq"), F.lit(C.LAST).alias("flags"), F.coalesce("granule", F.lit(0)).alias("granule"), F.lit(b"").alias("payload"))
@@ -79,10 +79,12 @@ def packets_of_pages(pages: DataFrame) -> DataFrame:
     before = F.aggregate(F.slice("segments", F.lit(1), F.col("at")), F.lit(0), lambda s, x: s + x)
     cut = pages.select("serial", "page_seq", "continued", "segments", "payload", segment)
     cut = cut.select("serial", "page_seq", "at", "continued", "size", F.substring("payload", before + 1, F.col("size")).alias("body"))
-    order = Window.partitionBy("serial").orderBy("page_seq", "at")
-    open_ = F.coalesce(F.lag("size").over(order) == 255, F.lit(False))
+    order, number_ = ["page_seq", "at"], F.col("page_seq") * 256 + F.col("at")
+    rows = running(cut, "serial", order, before={"_size": F.col("size")}, at=number_)
+    open_ = F.coalesce(F.col("_size") == 255, F.lit(False))
     fresh = (F.col("at") == 0) & ~F.col("continued")
-    rows = cut.withColumn("orphan", (F.col("at") == 0) & F.col("continued") & ~open_).withColumn("packet", F.sum((fresh | ~open_).cast("long")).over(order))
+    rows = rows.withColumn("orphan", (F.col("at") == 0) & F.col("continued") & ~open_)
+    rows = running(rows, "serial", order, sums={"packet": (fresh | ~open_).cast("long")}, at=number_)
     whole = rows.groupBy("serial", "packet").agg(
         F.max("orphan").alias("orphan"), F.max_by("size", F.struct("page_seq", "at")).alias("end"), F.max("page_seq").alias("last_page"), F.array_sort(F.collect_list(F.struct("page_seq", "at", "body"))).alias("parts"),
     )

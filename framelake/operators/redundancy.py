@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framelake.functions.wire import number
+from framelake.operators.scan import running, with_before
 
 MOST_BLOCKS, MOST_OFFSET, MOST_LENGTH = 5, 0x3FFF, 0x3FF
 
@@ -15,8 +16,8 @@ def add_redundancy(packets: DataFrame, depth: int, frame: int, payload_type: int
 
     Of the last five payloads of the stream the newest that fit are carried, oldest first: at most 1023 bytes, and a whole number of
     frames but at most 16383 ticks back. A null or empty payload stays as it is."""
-    before = Window.partitionBy("stream_id").orderBy("seq").rowsBetween(-MOST_BLOCKS, -1)
-    kept = packets.withColumn("_past", F.collect_list(F.struct("ts", "payload")).over(before))
+    rows = running(packets, "stream_id", "seq", sums={"_place": F.lit(1).cast("long")})
+    kept = with_before(rows, "stream_id", "_place", MOST_BLOCKS, F.struct("ts", "payload"), "_past").drop("_place")
     ago = lambda x: F.pmod(F.col("ts") - x["ts"], F.lit(1 << 32))
     size = lambda x: F.octet_length(x["payload"])
     fits = lambda x: (ago(x) > 0) & (ago(x) <= MOST_OFFSET) & (ago(x) % frame == 0) & (size(x) > 0) & (size(x) <= MOST_LENGTH)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framelake.operators.scan import affine, scan, then
+
 
 def violations(measured: DataFrame, guards: DataFrame, name: str, value: str, limit: str) -> DataFrame:
     """Guards that do not hold: name, the median of the measured values, the limit and why (`missing` or `above`)."""
@@ -34,13 +36,10 @@ def resilience(loss_percent: Column, deep_percent: Column, red: Column, fec: Col
     return F.round(bound(sum(parts[1:], parts[0]), 100)).cast("int")
 
 
-def smoothed(rows: DataFrame, group: str, order: str, value: str, out: str, keep: float = 0.65, reach: int = 64) -> DataFrame:
-    """Add the running mean that keeps this share of itself at each step; where it is 0, it starts anew from the value.
-
-    Values more than `reach` steps back weigh keep^reach, 1e-12, and are left out, so a row needs a bounded window only."""
-    before = Window.partitionBy(group).orderBy(order).rowsBetween(1 - reach, 0)
-    values = F.transform(F.collect_list(value).over(before), lambda x: x.cast("double"))
-    return rows.withColumn(out, F.aggregate(values, F.lit(0.0), lambda s, x: F.when(s == 0, x).otherwise(s * keep + x * (1 - keep))))
+def smoothed(rows: DataFrame, group: str, order: str, value: str, out: str, keep: float = 0.65) -> DataFrame:
+    """Add the running mean that keeps this share of itself at each step; where it is 0, it starts anew from the value. Values are of one sign; order
+    numbers a group's rows densely."""
+    return scan(rows, group, order, affine(keep, F.col(value)), then, out).withColumn(out, F.col(out)["fresh"])
 
 
 def correlation_at(a: Column, b: Column, lag: Column, skip: int = 0) -> Column:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framelake.functions import packets as P
 from framelake.operators.framing import low_rate_copy, parse
 from framelake.operators.redundancy import add_redundancy, split_redundancy
+from framelake.operators.scan import running
 from framelake.sources.adapters import FRAME
 
 JUMP = 100  # a gap of so many packets is a jump, not a loss
@@ -17,8 +18,8 @@ def lost_slots(received: DataFrame) -> DataFrame:
     """Of packets(stream_id, seq) that arrive in order, one row for each that is missing between two: stream_id, seq, ago, ts48.
 
     ago counts back from the packet after the gap, from 1; gaps of 100 and more are jumps."""
-    before = F.lag("seq").over(Window.partitionBy("stream_id").orderBy("seq"))
-    gaps = received.select("stream_id", "seq", (F.col("seq") - before - 1).alias("missing")).filter((F.col("missing") > 0) & (F.col("missing") < JUMP))
+    rows = running(received.select("stream_id", "seq"), "stream_id", "seq", before={"_before": F.col("seq")})
+    gaps = rows.select("stream_id", "seq", (F.col("seq") - F.col("_before") - 1).alias("missing")).filter((F.col("missing") > 0) & (F.col("missing") < JUMP))
     slots = gaps.select("stream_id", F.col("seq").alias("_next"), F.explode(F.sequence(F.lit(1).cast("long"), "missing")).alias("ago"))
     return slots.select("stream_id", (F.col("_next") - F.col("ago")).alias("seq"), "ago", ((F.col("_next") - F.col("ago")) * FRAME).alias("ts48"))
 
@@ -42,26 +43,29 @@ def recovery(sent: DataFrame, depth: int = 2, payload_type: int = 111) -> DataFr
 
 def loss_runs(packets: DataFrame, decay: float = 0.57, silent: float = 0.001) -> DataFrame:
     """Add run, how many packets in a row are lost up to this one, and fade, the level of concealment after it, to packets(stream_id, seq, lost)."""
-    order = Window.partitionBy("stream_id").orderBy("seq")
-    good = F.last(F.when(~F.col("lost"), F.col("seq")), ignorenulls=True).over(order)
-    first = F.min("seq").over(Window.partitionBy("stream_id"))
-    run = F.when(F.col("lost"), F.col("seq") - F.coalesce(good, first - 1)).otherwise(0).cast("long")
+    rows = running(packets, "stream_id", "seq", last={"_good": F.when(~F.col("lost"), F.col("seq"))}, first={"_first": F.col("seq")})
+    return _faded(rows, decay, silent).drop("_good", "_first")
+
+
+def _faded(rows: DataFrame, decay: float = 0.57, silent: float = 0.001) -> DataFrame:
+    run = F.when(F.col("lost"), F.col("seq") - F.coalesce("_good", F.col("_first") - 1)).otherwise(0).cast("long")
     fade = F.pow(F.lit(decay), F.col("run"))
-    return packets.withColumn("run", run).withColumn("fade", F.when(fade < silent, 0.0).otherwise(fade))
+    return rows.withColumn("run", run).withColumn("fade", F.when(fade < silent, 0.0).otherwise(fade))
 
 
 def fill_forward(packets: DataFrame, column: str, decay: float = 0.9, floor: float = 0.2) -> DataFrame:
     """Add filled: the value of a received packet; of a lost one, the last good value times decay^run, at least `floor` of it."""
-    order = Window.partitionBy("stream_id").orderBy("seq")
-    good = F.last(F.when(~F.col("lost"), F.col(column)), ignorenulls=True).over(order)
+    came = ~F.col("lost")
+    rows = running(packets, "stream_id", "seq", last={"_good": F.when(came, F.col("seq")), "_value": F.when(came, F.col(column))}, first={"_first": F.col("seq")})
     level = F.greatest(F.lit(floor), F.pow(F.lit(decay), F.col("run")))
-    return loss_runs(packets).withColumn("filled", F.when(F.col("lost"), F.coalesce(good, F.lit(0.0)) * level).otherwise(F.col(column)))
+    filled = F.when(F.col("lost"), F.coalesce("_value", F.lit(0.0)) * level).otherwise(F.col(column))
+    return _faded(rows).withColumn("filled", filled).drop("_good", "_first", "_value")
 
 
 def granules(packets: DataFrame) -> DataFrame:
     """Add granule, the samples of the stream up to and with this packet, to packets(stream_id, seq, toc, second_byte)."""
     n = F.coalesce(P.frames_lenient(F.col("toc"), F.col("second_byte")) * P.frame_samples(F.col("toc")), F.lit(0))
-    return packets.withColumn("samples", n).withColumn("granule", F.sum("samples").over(Window.partitionBy("stream_id").orderBy("seq")))
+    return running(packets.withColumn("samples", n), "stream_id", "seq", sums={"granule": F.col("samples")})
 
 
 def seek(with_granules: DataFrame, target: int) -> DataFrame:
@@ -105,10 +109,9 @@ def silence_suppressed(frames: DataFrame, ahead: int = 10, most: int = 20) -> Da
     """Add idle, how many frames in a row have no activity up to this one, and suppressed to frames(stream_id, seq, active) of 20 ms.
 
     After `ahead` idle frames `most` are suppressed; then one is sent again, and so on. Any activity starts anew. A null is no activity."""
-    order = Window.partitionBy("stream_id").orderBy("seq")
     busy = F.coalesce("active", F.lit(False))
-    rows = frames.withColumn("_row", F.row_number().over(order))
-    last = F.coalesce(F.max(F.when(busy, F.col("_row"))).over(order), F.lit(0))
-    rows = rows.withColumn("idle", F.when(busy, 0).otherwise(F.col("_row") - last).cast("long"))
+    rows = running(frames, "stream_id", "seq", sums={"_row": F.lit(1).cast("long")})
+    rows = running(rows, "stream_id", "seq", last={"_busy": F.when(busy, F.col("_row"))})
+    rows = rows.withColumn("idle", F.when(busy, 0).otherwise(F.col("_row") - F.coalesce("_busy", F.lit(0))).cast("long"))
     refresh = (F.col("idle") > ahead + most) & ((F.col("idle") - ahead) % (most + 1) == 0)
-    return rows.withColumn("suppressed", (F.col("idle") > ahead) & ~refresh).drop("_row")
+    return rows.withColumn("suppressed", (F.col("idle") > ahead) & ~refresh).drop("_row", "_busy")

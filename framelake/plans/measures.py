@@ -11,6 +11,7 @@ from framelake.functions import pcm as S
 from framelake.functions.packets import ERRORS
 from framelake.functions.wire import digits
 from framelake.operators import reports, streams
+from framelake.operators.scan import running
 from framelake.plans.base import MODE, WITH, query
 from framelake.sources import files
 from framelake.sources.adapters import blocks, headers, packets
@@ -158,7 +159,7 @@ def resilience_scores(spark, sf_dir: str) -> DataFrame:
     return rows.select("stream_id", reports.resilience(100.0 * F.col("lost") / F.col("n"), deep, F.col("red"), F.col("fec"), F.col("concealed") * 20, F.col("errors")).alias("score"))
 
 
-@query(f"""{WITH}, w AS (SELECT stream_id, seq, list(len::DOUBLE) OVER (PARTITION BY stream_id ORDER BY seq ROWS BETWEEN 63 PRECEDING AND CURRENT ROW) AS l FROM packets)
+@query(f"""{WITH}, w AS (SELECT stream_id, seq, list(len::DOUBLE) OVER (PARTITION BY stream_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS l FROM packets)
     SELECT stream_id, seq, round(list_reduce(l, lambda s, x: s * 0.65 + x * 0.35), 6) AS smooth FROM w""")
 def smoothed_lengths(spark, sf_dir: str) -> DataFrame:
     return reports.smoothed(packets(spark, sf_dir), "stream_id", "seq", "len", "smooth").select("stream_id", "seq", F.round("smooth", 6).alias("smooth"))
@@ -191,12 +192,10 @@ def packet_settings(spark, sf_dir: str) -> DataFrame:
     SELECT stream_id, event_id, tick, row_number() OVER (PARTITION BY stream_id ORDER BY tick, seq) AS place FROM t""")
 def arrival_schedule(spark, sf_dir: str) -> DataFrame:
     """Packets by the tick at which they arrive, early or late by up to three, in their order where ticks are equal."""
-    from pyspark.sql import Window
-
     tick = F.greatest(F.lit(0), F.least(F.lit(200), F.col("seq") + F.col("event_id") * 13 % 7 - 3))
     rows = packets(spark, sf_dir).select("stream_id", "event_id", tick.alias("tick"), "seq")
-    place = F.row_number().over(Window.partitionBy("stream_id").orderBy("tick", "seq"))
-    return rows.select("stream_id", "event_id", "tick", place.cast("long").alias("place"))
+    placed = running(rows, "stream_id", ["tick", "seq"], sums={"place": F.lit(1).cast("long")}, at=F.col("tick"))
+    return placed.select("stream_id", "event_id", "tick", "place")
 
 
 @query(f"""{WITH}, a AS (SELECT stream_id, seq, event_id % 40 = 0 AS active FROM packets), g AS (SELECT *, sum(CASE WHEN active THEN 1 ELSE 0 END) OVER (PARTITION BY stream_id ORDER BY seq) AS era FROM a),
