@@ -11,14 +11,9 @@ from framelake.functions.wire import digits, number, part
 PAGE, HEAD, TAGS = "OggS", "OpusHead", "OpusTags"
 HEADER_BYTES = 27
 CONTINUED, FIRST, LAST = 1, 2, 4
-POLYNOMIAL = 0x04C11DB7
-
-
-def _remainder(byte: int) -> int:
-    r = byte << 24
-    for _ in range(8):
-        r = (r << 1) ^ (POLYNOMIAL if r & 0x80000000 else 0)
-    return r & 0xFFFFFFFF
+#: Every byte with its bits in reverse; 0 stands for itself.
+_BYTES = "".join(map(chr, range(1, 256)))
+_MIRRORED = "".join(chr(int(f"{b:08b}"[::-1], 2)) for b in range(1, 256))
 
 
 def _hex(text: str) -> Column:
@@ -26,31 +21,51 @@ def _hex(text: str) -> Column:
 
 
 def crc(data: Column) -> Column:
-    """Checksum of a page whose checksum bytes are zero: a cyclic remainder from 0, bytes from their high bit on."""
-    table = F.array(*[F.lit(_remainder(b)) for b in range(256)])
-    letters = F.split(F.decode(data, "ISO-8859-1"), "")  # one for each byte; its code is the byte
+    """Checksum of a page whose checksum bytes are zero: a cyclic remainder from 0, bytes from their high bit on.
+
+    crc32() takes bytes from their low bit on, starts from ones and ends with a complement. So all bits are mirrored before and after; and a start from
+    ones over four inverted bytes is one from zeros. Data has four bytes at least, as every page has."""
+    mirrored = F.encode(F.translate(F.decode(data, "ISO-8859-1"), _BYTES, _MIRRORED), "ISO-8859-1")
+    head = F.conv(F.hex(F.substring(mirrored, F.lit(1), F.lit(4))), 16, 10).cast("long")
+    turned = F.unhex(F.concat(digits(F.lit(0xFFFFFFFF).bitwiseXOR(head), 4), F.hex(F.substring(mirrored, F.lit(5), F.octet_length(mirrored)))))
+    low_first = F.crc32(turned).bitwiseXOR(F.lit(0xFFFFFFFF))
+    return F.conv(F.reverse(F.lpad(F.bin(low_first), 32, "0")), 2, 10).cast("long")
+
+
+PAGE_SEGMENTS = 255
+PAGE_BYTES = 255 * PAGE_SEGMENTS
+
+
+def page_parts(payload: Column, last: Column) -> Column:
+    """How a packet is laid on pages: for each page its segments, its bytes, and whether it goes on from one before and to one behind. A page takes
+    255 segments. The empty packet of a last page has no segment."""
+    n = F.octet_length(payload)
+    pages = F.floor(F.floor(n / 255) / PAGE_SEGMENTS).cast("int")
 
-    def step(s: Column, x: Column) -> Column:
-        left = F.shiftleft(s.bitwiseAND(0xFFFFFF), 8)
-        return left.bitwiseXOR(F.get(table, F.shiftright(s, 24).bitwiseXOR(F.ascii(x)).cast("int")))
+    def on(k: Column) -> Column:
+        rest = (n - k * PAGE_BYTES).cast("int")
+        goes_on = k < pages
+        segments = F.when(goes_on, F.array_repeat(F.lit(255), PAGE_SEGMENTS)).when((n == 0) & last, F.array().cast("array<int>")).otherwise(lacing(rest))
+        return F.struct(k.alias("k"), segments.alias("segments"), part(payload, k * PAGE_BYTES, F.least(rest, F.lit(PAGE_BYTES))).alias("bytes"), goes_on.alias("goes_on"))
 
-    return F.when(F.octet_length(data) > 0, F.aggregate(letters, F.lit(0).cast("long"), step)).otherwise(F.lit(0).cast("long"))
+    return F.transform(F.sequence(F.lit(0), pages), on)
 
 
-def bare_page(payload: Column, flags: Column, granule: Column, serial: Column, sequence: Column) -> Column:
-    """A page of one packet with a checksum of zero. The last page of a stream may hold nothing, and then has no segment."""
-    segments = F.when((F.octet_length(payload) == 0) & (flags.bitwiseAND(LAST) != 0), F.array().cast("array<int>")).otherwise(lacing(F.octet_length(payload)))
-    return F.unhex(F.concat(_hex(PAGE), F.lit("00"), digits(flags), digits(granule, 8, True), digits(serial, 4, True), digits(sequence, 4, True), F.lit("00000000"), digits(F.size(segments)), F.array_join(F.transform(segments, lambda n: digits(n)), ""), F.hex(payload)))
+def bare_page(segments: Column, payload: Column, flags: Column, granule: Column, serial: Column, sequence: Column) -> Column:
+    """A page with a checksum of zero."""
+    table = F.array_join(F.transform(segments, lambda n: digits(n)), "")
+    head = F.unhex(F.concat(_hex(PAGE), F.lit("00"), digits(flags), digits(granule, 8, True), digits(serial, 4, True), digits(sequence, 4, True), F.lit("00000000"), digits(F.size(segments)), table))
+    return F.concat(head, payload)
 
 
 def sealed(page: Column) -> Column:
     """The page with its checksum."""
-    return F.unhex(F.concat(F.hex(part(page, F.lit(0), F.lit(22))), digits(crc(page), 4, True), F.hex(part(page, F.lit(26), F.octet_length(page)))))
+    return F.concat(part(page, F.lit(0), F.lit(22)), F.unhex(digits(crc(page), 4, True)), part(page, F.lit(26), F.octet_length(page)))
 
 
 def unsealed(page: Column) -> Column:
     """The page with a checksum of zero."""
-    return F.unhex(F.concat(F.hex(part(page, F.lit(0), F.lit(22))), F.lit("00000000"), F.hex(part(page, F.lit(26), F.octet_length(page)))))
+    return F.concat(part(page, F.lit(0), F.lit(22)), F.lit(bytes(4)), part(page, F.lit(26), F.octet_length(page)))
 
 
 def head(channels: Column, pre_skip: Column, rate: Column, gain: Column, family: Column) -> Column:
@@ -98,6 +113,10 @@ def read_tags(data: Column) -> Column:
     # each comment has four bytes at least, so a count that the data can't hold ends the walk at once
     walk = F.aggregate(F.when((count > 0) & (count <= size), F.sequence(F.lit(1).cast("long"), count)).otherwise(F.array().cast("array<long>")), start, step)
     pairs = F.filter(walk["out"], lambda c: F.instr(c, "=") > 0)
-    last = F.aggregate(pairs, F.create_map().cast("map<string,string>"), lambda m, c: F.map_concat(F.map_filter(m, lambda k, v: k != F.substring_index(c, "=", 1)), F.create_map(F.substring_index(c, "=", 1), F.substr(c, F.instr(c, "=") + 1))))
+    key = lambda c: F.substring_index(c, "=", 1)
+    # by key, and of a key by place: the last of each is kept
+    placed = F.array_sort(F.transform(pairs, lambda c, i: F.struct(key(c).alias("k"), i.alias("i"), F.substr(c, F.instr(c, "=") + 1).alias("v"))))
+    kept = F.filter(placed, lambda x, i: ~F.coalesce(F.get(placed, i + 1)["k"] == x["k"], F.lit(False)))
+    last = F.map_from_entries(F.transform(kept, lambda x: F.struct(x["k"], x["v"])))
     good = (size >= 16) & (part(data, F.lit(0), F.lit(8)) == F.lit(TAGS.encode())) & (vendor + 16 <= size) & (count <= size) & walk["at"].isNotNull()
     return F.when(good, F.struct(part(data, F.lit(12), vendor).cast("string").alias("vendor"), last.alias("comments")))

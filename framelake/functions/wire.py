@@ -15,8 +15,9 @@ def number(data: Column, at: Column, n: int = 1, little: bool = False) -> Column
 
 
 def digits(value: Column, n: int = 1, little: bool = False) -> Column:
-    """The n bytes of a number as hexadecimal digits."""
-    big = F.lpad(F.hex(value.cast("long")), 2 * n, "0")
+    """The n bytes of a number as hexadecimal digits; null where it needs more (a negative number needs eight)."""
+    whole = F.hex(value.cast("long"))
+    big = F.when(F.length(whole) <= 2 * n, F.lpad(whole, 2 * n, "0"))
     return F.concat(*[F.substring(big, 2 * i - 1, 2) for i in range(n, 0, -1)]) if little else big
 
 

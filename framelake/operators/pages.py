@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelake.functions import container as C
+from framelake.functions import packets as P
 from framelake.functions.wire import number, part
-from framelake.operators.scan import running
+from framelake.operators.scan import joined, running
 
 PAGES = "path string, at long, page binary"
 
@@ -55,18 +56,25 @@ def read_pages(pages: DataFrame) -> DataFrame:
 
 
 def write_pages(packets: DataFrame, heads: DataFrame) -> DataFrame:
-    """packets(stream_id, seq, samples, payload) and heads(stream_id, head, tags) to stream_id, page_seq and page: a page for each of the two
-    headers, one for each packet with the samples up to and with it as its granule, and an empty one that ends the stream.
-
-    A packet has at most 65,024 bytes, as a page has 255 segments; streams are numbered by their id modulo 2^32."""
-    rows = running(packets, "stream_id", "seq", sums={"_upto": F.col("samples"), "_place": F.lit(1).cast("long")})
-    body = rows.select("stream_id", (F.col("_place") + 1).alias("page_seq"), F.lit(0).alias("flags"), F.coalesce("_upto", F.lit(0)).alias("granule"), "payload")
-    first = heads.select("stream_id", F.inline(F.array(*[F.struct(F.lit(i).cast("long").alias("page_seq"), F.lit(flags).alias("flags"), F.lit(0).cast("long").alias("granule"), F.col(c).alias("payload")) for i, flags, c in ((0, C.FIRST, "head"), (1, 0, "tags"))])))
+    """packets(stream_id, seq, samples, payload) and heads(stream_id, head, tags) to stream_id, page_seq and page: pages for each of the two
+    headers, for each packet with the samples up to and with it as its granule, and an empty one that ends the stream.
+
+    A packet stands on a page of its own, one above 65,024 bytes on several, of which all but the last have no granule (all ones). Streams are
+    numbered by their id modulo 2^32."""
+    long = lambda n: F.lit(n).cast("long")
+    rows = running(packets, "stream_id", "seq", sums={"_upto": F.col("samples"), "_place": long(1)})
+    body = rows.select("stream_id", (F.col("_place") + 1).alias("_place"), F.lit(0).alias("flags"), F.coalesce("_upto", F.lit(0)).alias("granule"), "payload")
+    first = heads.select("stream_id", F.inline(F.array(*[F.struct(long(i).alias("_place"), F.lit(flags).alias("flags"), long(0).alias("granule"), F.col(c).alias("payload")) for i, flags, c in ((0, C.FIRST, "head"), (1, 0, "tags"))])))
     count = packets.groupBy("stream_id").agg(F.count("*").alias("n"), F.sum("samples").alias("granule"))
-    last = heads.select("stream_id").join(count, "stream_id", "left").select("stream_id", (F.coalesce("n", F.lit(0)) + 2).alias("page_seq"), F.lit(C.LAST).alias("flags"), F.coalesce("granule", F.lit(0)).alias("granule"), F.lit(b"").alias("payload"))
+    last = joined(heads.select("stream_id"), count, ["stream_id"]).select("stream_id", (F.coalesce("n", F.lit(0)) + 2).alias("_place"), F.lit(C.LAST).alias("flags"), F.coalesce("granule", F.lit(0)).alias("granule"), F.lit(b"").alias("payload"))
     rows = body.unionByName(first).unionByName(last)
-    page = C.bare_page(F.col("payload"), F.col("flags"), F.col("granule"), F.pmod("stream_id", F.lit(1 << 32)), F.col("page_seq"))
-    rows = rows.select("stream_id", "page_seq", F.inline(F.array(F.struct(page.alias("page")))))
+    rows = running(rows.withColumn("_pages", F.floor(F.floor(F.octet_length("payload") / 255) / C.PAGE_SEGMENTS) + 1), "stream_id", "_place", sums={"_until": F.col("_pages")})
+    rows = rows.select("stream_id", "_place", "_until", "_pages", "flags", "granule", F.inline(C.page_parts(F.col("payload"), F.col("flags") == C.LAST)))
+    flags = F.when(F.col("k") > 0, C.CONTINUED).otherwise(0) + F.when((F.col("flags") == C.FIRST) & (F.col("k") > 0), 0).otherwise(F.col("flags"))
+    granule = F.when(F.col("goes_on") & (F.col("_place") > 1), -1).otherwise(F.col("granule"))
+    page_seq = F.col("_until") - F.col("_pages") + F.col("k")
+    page = C.bare_page(F.col("segments"), F.col("bytes"), flags, granule, F.pmod("stream_id", F.lit(1 << 32)), page_seq)
+    rows = rows.select("stream_id", page_seq.alias("page_seq"), F.inline(F.array(F.struct(page.alias("page")))))
     return rows.select("stream_id", "page_seq", C.sealed(F.col("page")).alias("page"))
 
 
@@ -90,3 +98,31 @@ def packets_of_pages(pages: DataFrame) -> DataFrame:
     )
     body = F.aggregate("parts", F.lit(b""), lambda s, x: F.concat(s, x["body"]))
     return whole.filter(~F.col("orphan") & (F.col("end") < 255)).select("serial", "packet", "last_page", body.alias("payload")).filter(F.octet_length("payload") > 0)
+
+
+def packet_granules(packets: DataFrame) -> DataFrame:
+    """The packets that the container source reads with their own granules: that of the page less the durations of the packets that end after it there, 0
+    at least; that of the page where one of those has no duration. Rows with an error and empty packets are left out afterwards.
+
+    A page has 255 packets at most, so its window is bounded."""
+    toc, second = number(F.col("payload"), F.lit(0)), number(F.col("payload"), F.lit(1))
+    n = P.frames_lenient(toc, second)
+    span = F.when(n.between(1, P.MOST_FRAMES), n * P.frame_samples(toc)).cast("decimal(20,0)")
+    rows = packets.filter("error is null").withColumn("_span", span)
+    behind = Window.partitionBy("path", "serial", "at").orderBy("place").rowsBetween(1, Window.unboundedFollowing)
+    zero = F.lit(0).cast("decimal(20,0)")
+    less = F.when(F.count_if(F.col("_span").isNull()).over(behind) > 0, zero).otherwise(F.coalesce(F.sum("_span").over(behind), zero))
+    exact = F.greatest(zero, F.col("granule") - less).cast("decimal(20,0)")
+    return rows.withColumn("granule", exact).drop("_span", "error").filter(F.octet_length("payload") > 0)
+
+
+def open_streams(packets: DataFrame) -> DataFrame:
+    """Of what the container source reads, by path and serial: head and tags, as read_head() and read_tags() give them, and error: `invalid page` where the first
+    packet isn't on a stream's first page, `invalid header` where one of the two packets isn't its header, or null."""
+    order = Window.partitionBy("path", "serial").orderBy("at", "place")
+    two = packets.filter("error is null").withColumn("_n", F.row_number().over(order)).filter("_n <= 2")
+    nth = lambda n, c: F.max(F.when(F.col("_n") == n, F.col(c)))
+    rows = two.groupBy("path", "serial").agg(nth(1, "payload").alias("_head"), nth(2, "payload").alias("_tags"), nth(1, "flags").alias("_flags"))
+    rows = rows.select("path", "serial", "_flags", C.read_head(F.col("_head")).alias("head"), C.read_tags(F.col("_tags")).alias("tags"))
+    error = F.when(F.col("_flags").bitwiseAND(C.FIRST) == 0, "invalid page").when(F.col("head").isNull() | F.col("tags").isNull(), "invalid header")
+    return rows.select("path", "serial", "head", "tags", error.alias("error"))

@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from framelake.functions import container as C
 from framelake.functions import packets as P
 from framelake.operators import framing, pages, streams
+from framelake.operators.scan import numbered
 from framelake.plans.base import SIZE, SLOTS, WITH, query
+from framelake.sources import container_files as container_files_source
 from framelake.sources.adapters import FRAME, blocks, headers, packets
+from framelake.sources.shared import shared_folder
 
 #: Frames of each packet: how many, their bytes, and whether all are as long. The toc is that without the code.
 FRAMED = f"""{WITH}, framed AS (SELECT event_id, stream_id, seq, event_id * 4 % 256 AS toc, 1 + event_id % 4 AS m, event_id % 4 = 0 OR event_id % 3 = 0 AS same,
@@ -141,6 +144,29 @@ def page_round_trip(spark, sf_dir: str) -> DataFrame:
     return found.join(read.select("serial", "page_seq", "granule"), ["serial", "page_seq"]).select("serial", "page_seq", F.md5("payload").alias("payload"), F.col("granule").cast("long").alias("granule"))
 
 
+BUNDLED = f"""SELECT user_id % 8 AS serial, row_number() OVER (PARTITION BY user_id % 8 ORDER BY event_id) - 1 AS seq, repeat(md5(event_id::VARCHAR), CASE WHEN event_id % 499 = 0 THEN 2200 + event_id % 2000 ELSE 1 + event_id % 4 END::INT) AS body,
+    CASE WHEN event_id % 13 = 0 THEN 0 ELSE {FRAME} END AS samples FROM events"""
+
+
+@query(f"""WITH rows AS ({BUNDLED}) SELECT serial, seq, md5(body) AS payload, len(body) AS bytes, (sum(samples) OVER (PARTITION BY serial ORDER BY seq))::BIGINT AS granule, 2 AS channels, 'framelake' AS vendor FROM rows""")
+def container_files(spark, sf_dir: str) -> DataFrame:
+    """Eight streams written to files, one each, whose packets of up to 134 kB go over several pages; and read in splits of 64 kB."""
+    e = F.col("event_id")
+    times = F.when(e % 499 == 0, 2200 + e % 2000).otherwise(1 + e % 4).cast("int")
+    rows = headers(spark, sf_dir).select((F.col("stream_id") % 8).alias("stream_id"), e, F.when(F.col("lost"), 0).otherwise(FRAME).alias("samples"), F.repeat(F.md5(e.cast("string").cast("binary")), times).cast("binary").alias("payload"))
+    rows = numbered(rows, "stream_id", ["event_id"], e)
+    number = lambda n: F.lit(n).cast("long")
+    heads = rows.select("stream_id").distinct().select("stream_id", C.head(number(2), number(312), number(48_000), number(0), number(0)).alias("head"), C.tags(F.lit("framelake"), F.array().cast("array<string>")).alias("tags"))
+    name, path = container_files_source.register(spark), shared_folder(spark, "container")
+    dealt = pages.write_pages(rows, heads).repartition("stream_id").sortWithinPartitions("stream_id", "page_seq")
+    dealt.write.format(name).mode("append").save(path)
+    read = spark.read.format(name).option("splitBytes", 1 << 16).load(path)
+    found = numbered(pages.packet_granules(read), "serial", ["at", "place"], F.col("at"))
+    opened = pages.open_streams(read).filter("error is null").select(F.col("serial").alias("_serial"), F.col("head.channels").cast("int").alias("channels"), "tags.vendor")
+    rows = found.filter("seq > 1").join(opened, F.col("serial") == F.col("_serial"))
+    return rows.select("serial", (F.col("seq") - 2).alias("seq"), F.md5("payload").alias("payload"), F.octet_length("payload").cast("long").alias("bytes"), F.col("granule").cast("long").alias("granule"), "channels", "vendor")
+
+
 @query("""WITH h AS (SELECT vec_id AS stream_id, label % 8 + 1 AS channels, vec_id % 65536 AS pre_skip, 8000 + vec_id * 48000 AS rate, vec_id * 37 % 60000 - 30000 AS gain, CASE WHEN label % 8 + 1 <= 2 THEN vec_id % 2 ELSE vec_id % 3 END AS family FROM embeddings),
     l(channels, streams, coupled) AS (VALUES (1, 1, 0), (2, 1, 1), (3, 2, 1), (4, 2, 2), (5, 3, 2), (6, 4, 2), (7, 4, 3), (8, 5, 3))
     SELECT stream_id, channels <= 2 OR family <> 0 AS valid, CASE WHEN channels <= 2 OR family <> 0 THEN pre_skip END AS pre_skip, CASE WHEN channels <= 2 OR family <> 0 THEN rate END AS rate, CASE WHEN channels <= 2 OR family <> 0 THEN gain END AS gain,
