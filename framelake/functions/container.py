@@ -116,7 +116,8 @@ def read_tags(data: Column) -> Column:
     key = lambda c: F.substring_index(c, "=", 1)
     # by key, and of a key by place: the last of each is kept
     placed = F.array_sort(F.transform(pairs, lambda c, i: F.struct(key(c).alias("k"), i.alias("i"), F.substr(c, F.instr(c, "=") + 1).alias("v"))))
-    kept = F.filter(placed, lambda x, i: ~F.coalesce(F.get(placed, i + 1)["k"] == x["k"], F.lit(False)))
-    last = F.map_from_entries(F.transform(kept, lambda x: F.struct(x["k"], x["v"])))
+    beside = F.arrays_zip(placed.alias("a"), F.slice(placed, F.lit(2), F.greatest(F.size(placed), F.lit(1))).alias("b"))
+    kept = F.filter(beside, lambda x: F.coalesce(x["a"]["k"] != x["b"]["k"], F.lit(True)))
+    last = F.map_from_entries(F.transform(kept, lambda x: F.struct(x["a"]["k"], x["a"]["v"])))
     good = (size >= 16) & (part(data, F.lit(0), F.lit(8)) == F.lit(TAGS.encode())) & (vendor + 16 <= size) & (count <= size) & walk["at"].isNotNull()
     return F.when(good, F.struct(part(data, F.lit(12), vendor).cast("string").alias("vendor"), last.alias("comments")))
