@@ -241,7 +241,8 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int) -> DataFrame:
     an id has many rows."""
     lot = F.xxhash64("doc_id")
     some = lambda df, by: df.withColumn("_at", F.row_number().over(Window.partitionBy("label").orderBy(by))).filter(F.col("_at") <= per_class).drop("_at")
-    drawn = some(labels.filter("label is not null and doc_id is not null").select("doc_id", F.col("label").cast("int")).distinct(), lot)
+    # written, so that its size is known and Spark sends it to the documents, not these to it, while it is small
+    drawn = cut(some(labels.filter("label is not null and doc_id is not null").select("doc_id", F.col("label").cast("int")).distinct(), lot))
     rows = docs.select("doc_id", "text").join(drawn, "doc_id").withColumn("_lot", F.xxhash64("doc_id", "text"))
     return some(rows, F.col("_lot")).select("label", "text")
 
