@@ -4,8 +4,9 @@ postings() writes, for each row of the documents and each of its terms that some
 row has (n). They are dealt out by term, the long list of a frequent term over several places. search() then takes three steps, each a join or a
 grouping over all items at once:
 
-1. The heads: of each term's list the k highest scores. What a document has in an item's heads is a lower bound of its score; the k-th highest is
-   the item's first mark, since k documents reach it.
+1. The heads: of each term's list the HEAD highest scores. What a document has in an item's heads is a lower bound of its score; of those with the
+   highest such bounds, TRIED for an item, the exact scores are looked up. The k-th highest of these is the item's first mark, since k documents
+   reach it.
 2. The uniform threshold: a document with a score of the mark has in one of the item's m lists at least the mark / m. All entries that high are fetched
    from every list; a list whose head is lower gives none. The k-th highest sum of what was fetched is the second mark; a document
    whose sum, with less than the threshold for every list that it was not fetched from (and no more than that list's head), does not reach it, is out.
@@ -30,6 +31,7 @@ _lower[65:91] += 32
 _inside = np.zeros(256, bool)
 _inside[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 SPREAD = 64  # places that a term's list is dealt to
+HEAD, TRIED = 50, 50  # entries of a list, documents of an item, that the first mark is taken from
 DOCUMENT = ""  # in place of a term: the row of a document itself
 
 
@@ -75,7 +77,8 @@ def postings(docs: DataFrame, queries: DataFrame) -> DataFrame:
     Every row of docs(doc_id, text) is a document of its own, also a repeated one; null texts have no term. Other columns play no part."""
     numbered = docs.select(F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("long"), "text")
     all_ = numbered.mapInArrow(_count, "_row long, doc_id long, term string, tf long, n long")
-    wanted = queries.select("term").distinct().unionByName(docs.sparkSession.createDataFrame([(DOCUMENT,)], "term string"))
+    # written, so that its size is known and Spark sends it to the documents' terms, not these to it, while it is small
+    wanted = cut(queries.select("term").distinct().unionByName(docs.sparkSession.createDataFrame([(DOCUMENT,)], "term string")))
     kept = all_.join(wanted, "term", "left_semi")
     return cut(kept.repartition("term", F.pmod("_row", F.lit(SPREAD))).sortWithinPartitions("term"))
 
@@ -91,11 +94,20 @@ def lists(found: DataFrame) -> DataFrame:
     total = found.filter(F.col("term") == DOCUMENT).agg(F.count("*").alias("N"), F.coalesce(F.sum("n"), F.lit(0)).alias("L")).first()
     weight = F.floor(1000 * F.ln(F.lit(2.0 * total["N"] + 2) / (2.0 * F.col("df") + 1))).cast("long")
     terms = found.filter(F.col("term") != DOCUMENT).groupBy("term").agg(F.count("*").alias("df")).select("term", weight.alias("w"))
+    terms = cut(terms)
     m = F.expr(f"25 + (75 * n * {total['N']}L) div {max(1, total['L'])}L")
     score = F.expr("w * ((1000000000 * tf) div (1000 * tf + 8 * m))")
     return found.filter(F.col("term") != DOCUMENT).join(terms, "term").withColumn("m", m).select("term", "_row", "doc_id", score.alias("score")).filter("score > 0")
 
 
+def _looked_up(pairs: DataFrame, asks: DataFrame, scored: DataFrame) -> DataFrame:
+    """The exact scores of pairs(item_id, _row): item_id, _row, score, doc_id."""
+    rows = pairs.select("_row").distinct()
+    there = scored.join(rows, "_row", "left_semi")
+    wanted = pairs.join(asks.select("item_id", "term", "repeats"), "item_id")
+    return wanted.join(there, ["term", "_row"]).groupBy("item_id", "_row").agg(F.sum(F.col("score") * F.col("repeats")).alias("score"), F.first("doc_id").alias("doc_id"))
+
+
 def search(found: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """The k highest-scoring documents of each item of queries(item_id, term, repeats) over postings(): item_id, rank (from 1), doc_id, score.
 
@@ -103,23 +115,27 @@ def search(found: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     scored = lists(found)
     queries = queries.withColumn("item_id", F.struct("item_id"))  # so that a null item is one like others
     best = Window.partitionBy("term").orderBy(F.desc("score"), "doc_id", "_row")
-    heads = cut(scored.withColumn("_at", F.row_number().over(best)).filter(F.col("_at") <= k).drop("_at"))
+    heads = cut(scored.withColumn("_at", F.row_number().over(best)).filter(F.col("_at") <= max(k, HEAD)).select("term", "_row", "score"))
     tops = heads.groupBy("term").agg(F.max("score").alias("top"))
     asks = cut(queries.join(tops, "term"))  # terms that no document has are out
     low = heads.join(asks, "term").groupBy("item_id", "_row").agg(F.sum(F.col("score") * F.col("repeats")).alias("sum"))
-    marks = asks.groupBy("item_id").agg(F.count("*").alias("lists")).join(_highest(low, "item_id", "sum", k), "item_id", "left")
+    high = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("sum"), "_row"))
+    tried = cut(low.withColumn("_at", high).filter(F.col("_at") <= max(k, TRIED)).select("item_id", "_row"))
+    marks = asks.groupBy("item_id").agg(F.count("*").alias("lists")).join(_highest(_looked_up(tried, asks, scored), "item_id", "score", k), "item_id", "left")
     # a score of the mark needs mark / lists in one list; without k documents in the heads every entry counts
     level = F.greatest(F.lit(1), F.ceil(F.expr("coalesce(mark, 0) / lists"))).cast("long")
     wanted = cut(asks.join(marks.select("item_id", level.alias("level")), "item_id").withColumn("most", F.least(F.col("level") - 1, F.col("top") * F.col("repeats"))))
     needs = F.expr("(level + repeats - 1) div repeats")
-    reached = wanted.withColumn("needs", needs).filter(F.col("top") >= F.col("needs")).select("item_id", "term", "repeats", "most", "needs")
-    high = scored.join(reached.groupBy("term").agg(F.min("needs").alias("least")), "term").filter(F.col("score") >= F.col("least"))
-    entries = high.alias("h").join(reached.alias("x"), (F.col("h.term") == F.col("x.term")) & (F.col("h.score") >= F.col("x.needs")))
+    reached = cut(wanted.withColumn("needs", needs).filter(F.col("top") >= F.col("needs")).select("item_id", "term", "repeats", "most", "needs"))
+    least = cut(reached.groupBy("term").agg(F.min("needs").alias("least")))
+    high = scored.join(least, "term").filter(F.col("score") >= F.col("least")).select("term", "_row", "score")
+    # by documents first: what each gives to all items is then summed where it stands
+    entries = high.repartition("_row").alias("h").join(reached.alias("x"), (F.col("h.term") == F.col("x.term")) & (F.col("h.score") >= F.col("x.needs")))
     sums = cut(entries.groupBy("item_id", "_row").agg(F.sum(F.col("score") * F.col("repeats")).alias("sum"), F.sum("most").alias("spared")))
-    bound = wanted.groupBy("item_id").agg(F.sum("most").alias("all")).join(_highest(sums, "item_id", "sum", k), "item_id")
-    left = sums.join(bound, "item_id").filter(F.col("sum") + F.col("all") - F.col("spared") >= F.coalesce("mark", F.lit(0)))
-    looked = left.select("item_id", "_row").join(asks.select("item_id", "term", "repeats"), "item_id")
-    exact = looked.join(scored, ["term", "_row"]).groupBy("item_id", "_row").agg(F.sum(F.col("score") * F.col("repeats")).alias("score"), F.first("doc_id").alias("doc_id"))
+    bound = wanted.groupBy("item_id").agg(F.sum("most").alias("all")).join(_highest(sums, "item_id", "sum", k), "item_id").join(marks.select("item_id", F.col("mark").alias("first")), "item_id")
+    mark = F.greatest(F.coalesce("mark", F.lit(0)), F.coalesce("first", F.lit(0)))
+    left = cut(sums.join(bound, "item_id").filter(F.col("sum") + F.col("all") - F.col("spared") >= mark).select("item_id", "_row"))
+    exact = _looked_up(left, asks, scored)
     rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id", "_row"))
     return exact.withColumn("rank", rank).filter(F.col("rank") <= k).select("item_id.item_id", "rank", "doc_id", "score")
 
