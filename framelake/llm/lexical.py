@@ -8,8 +8,9 @@ grouping over all items at once:
    highest such bounds, TRIED for an item, the exact scores are looked up. The k-th highest of these is the item's first mark, since k documents
    reach it.
 2. The uniform threshold: a document with a score of the mark has in one of the item's m lists at least the mark / m. All entries that high are fetched
-   from every list; a list whose head is lower gives none. The k-th highest sum of what was fetched is the second mark; a document
-   whose sum, with less than the threshold for every list that it was not fetched from (and no more than that list's head), does not reach it, is out.
+   from every list; a list whose head is lower gives none. The sum of what was fetched of a document is a lower bound again, which gives the second
+   mark as above; a document whose sum, with less than the threshold for every list that it was not fetched from (and no more than that list's head),
+   does not reach the mark, is out.
 3. The exact scores of all that are left are looked up in the lists, by term and document, and the k highest stay.
 
 No candidate is dropped but by these bounds, so the result is exact. Integers are of 64 bits, doubles only in a term's weight."""
@@ -31,7 +32,7 @@ _lower[65:91] += 32
 _inside = np.zeros(256, bool)
 _inside[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 SPREAD = 64  # places that a term's list is dealt to
-HEAD, TRIED = 50, 50  # entries of a list, documents of an item, that the first mark is taken from
+HEAD, TRIED = 20, 50  # entries of a list, documents of an item, that the first mark is taken from
 DOCUMENT = ""  # in place of a term: the row of a document itself
 
 
@@ -108,6 +109,13 @@ def _looked_up(pairs: DataFrame, asks: DataFrame, scored: DataFrame) -> DataFram
     return wanted.join(there, ["term", "_row"]).groupBy("item_id", "_row").agg(F.sum(F.col("score") * F.col("repeats")).alias("score"), F.first("doc_id").alias("doc_id"))
 
 
+def _tried(sums: DataFrame, asks: DataFrame, scored: DataFrame, k: int) -> DataFrame:
+    """For sums(item_id, _row, sum), lower bounds of scores: item_id and mark, the k-th highest of the exact scores of those with the highest bounds."""
+    high = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("sum"), "_row"))
+    some = cut(sums.select("item_id", "_row", high.alias("_at")).filter(F.col("_at") <= max(k, TRIED)).select("item_id", "_row"))
+    return _highest(_looked_up(some, asks, scored), "item_id", "score", k)
+
+
 def search(found: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """The k highest-scoring documents of each item of queries(item_id, term, repeats) over postings(): item_id, rank (from 1), doc_id, score.
 
@@ -119,9 +127,7 @@ def search(found: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     tops = heads.groupBy("term").agg(F.max("score").alias("top"))
     asks = cut(queries.join(tops, "term"))  # terms that no document has are out
     low = heads.join(asks, "term").groupBy("item_id", "_row").agg(F.sum(F.col("score") * F.col("repeats")).alias("sum"))
-    high = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("sum"), "_row"))
-    tried = cut(low.withColumn("_at", high).filter(F.col("_at") <= max(k, TRIED)).select("item_id", "_row"))
-    marks = asks.groupBy("item_id").agg(F.count("*").alias("lists")).join(_highest(_looked_up(tried, asks, scored), "item_id", "score", k), "item_id", "left")
+    marks = asks.groupBy("item_id").agg(F.count("*").alias("lists")).join(_tried(low, asks, scored, k), "item_id", "left")
     # a score of the mark needs mark / lists in one list; without k documents in the heads every entry counts
     level = F.greatest(F.lit(1), F.ceil(F.expr("coalesce(mark, 0) / lists"))).cast("long")
     wanted = cut(asks.join(marks.select("item_id", level.alias("level")), "item_id").withColumn("most", F.least(F.col("level") - 1, F.col("top") * F.col("repeats"))))
@@ -131,11 +137,13 @@ def search(found: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     high = scored.join(least, "term").filter(F.col("score") >= F.col("least")).select("term", "_row", "score")
     # by documents first: what each gives to all items is then summed where it stands
     entries = high.repartition("_row").alias("h").join(reached.alias("x"), (F.col("h.term") == F.col("x.term")) & (F.col("h.score") >= F.col("x.needs")))
-    sums = cut(entries.groupBy("item_id", "_row").agg(F.sum(F.col("score") * F.col("repeats")).alias("sum"), F.sum("most").alias("spared")))
-    bound = wanted.groupBy("item_id").agg(F.sum("most").alias("all")).join(_highest(sums, "item_id", "sum", k), "item_id").join(marks.select("item_id", F.col("mark").alias("first")), "item_id")
-    mark = F.greatest(F.coalesce("mark", F.lit(0)), F.coalesce("first", F.lit(0)))
-    left = cut(sums.join(bound, "item_id").filter(F.col("sum") + F.col("all") - F.col("spared") >= mark).select("item_id", "_row"))
-    exact = _looked_up(left, asks, scored)
+    sums = entries.groupBy("item_id", "_row").agg(F.sum(F.col("score") * F.col("repeats")).alias("sum"), F.sum("most").alias("spared"))
+    limits = cut(wanted.groupBy("item_id").agg(F.sum("most").alias("all")).join(marks.select("item_id", "mark"), "item_id"))
+    bound = F.col("sum") + F.col("all") - F.col("spared")
+    sums = cut(sums.join(limits, "item_id").select("item_id", "_row", "sum", bound.alias("bound"), "mark").filter(F.col("bound") >= F.coalesce("mark", F.lit(0))).drop("mark"))
+    last = cut(_tried(sums, asks, scored, k))
+    left = sums.join(last, "item_id", "left").filter(F.col("bound") >= F.coalesce("mark", F.lit(0))).select("item_id", "_row")
+    exact = _looked_up(cut(left), asks, scored)
     rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id", "_row"))
     return exact.withColumn("rank", rank).filter(F.col("rank") <= k).select("item_id.item_id", "rank", "doc_id", "score")
 
