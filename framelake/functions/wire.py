@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,10 +18,17 @@ def number(data: Column, at: Column, n: int = 1, little: bool = False) -> Column
 
 def digits(value: Column, n: int = 1, little: bool = False) -> Column:
     """The n bytes of a number as hexadecimal digits; null where it needs more (a negative number needs eight)."""
-    whole = F.hex(value.cast("long"))
-    big = F.when(F.length(whole) <= 2 * n, F.lpad(whole, 2 * n, "0"))
-    return F.concat(*[F.substring(big, 2 * i - 1, 2) for i in range(n, 0, -1)]) if little else big
+    def laid(whole: Column) -> Column:
+        big = F.when(F.length(whole) <= 2 * n, F.lpad(whole, 2 * n, "0"))
+        return let(big, lambda b: F.concat(*[F.substring(b, 2 * i - 1, 2) for i in range(n, 0, -1)])) if little else big
+
+    return let(F.hex(value.cast("long")), laid)
 
 
 def part(data: Column, at: Column, length: Column) -> Column:
     return F.substring(data, (at + 1).cast("int"), length.cast("int"))
+
+
+def let(value: Column, made: Callable[[Column], Column]) -> Column:
+    """What is made of a value that is worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), made), F.lit(0))

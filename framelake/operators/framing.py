@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framelake.functions import packets as P
-from framelake.functions.wire import digits, number, part
+from framelake.functions.wire import digits, let, number, part
 
 MOST_BYTES = 1275  # of a frame
 
@@ -95,33 +95,52 @@ def length_code(n: Column) -> Column:
     return F.when(n < 252, digits(n)).otherwise(F.concat(digits(low), digits((n - low) / 4)))
 
 
-def build(toc: Column, parts: Column, delimited: bool = False, target: Column | None = None) -> Column:
+def build(toc: Column, parts: Column, delimited: bool = False, target: Column | None = None, tail: Column | None = None) -> Column:
     """The packet of these frames with the shortest frame code; padded to `target` bytes where that is more. Null for no frame, for more
-    than 48, or where the target is too small."""
-    m, sizes = F.size(parts), F.transform(parts, lambda x: F.octet_length(x))
-    same = F.forall(sizes, lambda n: n == F.get(sizes, F.lit(0)))
-    head = lambda code: digits(toc.bitwiseAND(252) + code)
-    coded = lambda some: F.array_join(F.transform(some, length_code), "")
-    own = length_code(F.element_at(sizes, -1)) if delimited else F.lit("")
-    ahead = F.when(same, F.lit("")).otherwise(coded(F.slice(sizes, F.lit(1), m - 1)))
-    body = F.array_join(F.transform(parts, lambda x: F.hex(x)), "")
-    many = lambda padded: digits(m + F.when(same, 0).otherwise(128) + 64 * padded)
-    plain = F.when(m == 1, F.concat(head(0), own, body)).when((m == 2) & same, F.concat(head(1), own, body)).when(m == 2, F.concat(head(2), coded(F.slice(sizes, F.lit(1), F.lit(1))), own, body))
-    plain = plain.when((m > 2) & (m <= P.MOST_FRAMES), F.concat(head(3), many(0), ahead, own, body))
-    if target is None:
-        return F.unhex(plain)
-    pad = target - F.octet_length(F.unhex(F.concat(head(3), many(0), ahead, own, body)))
-    full = F.floor((pad - 1) / 255)
-    pads = F.concat(F.repeat(F.lit("FF"), full.cast("int")), digits(pad - 255 * full - 1))
-    wide = F.concat(head(3), F.when(pad > 0, F.concat(many(1), pads)).otherwise(many(0)), ahead, own, body, F.repeat(F.lit("00"), (pad - full - 1).cast("int")))
-    return F.unhex(F.when(F.length(plain) == 2 * target, plain).when((F.length(plain) < 2 * target) & (pad >= 0), wide))
+    than 48, or where the target is too small. The padding is zeros, or ends with `tail`, where that holds more than zeros, behind bytes of value 1."""
+    sizes = F.transform(parts, lambda x: F.octet_length(x))
+    body = F.aggregate(parts, F.lit(b""), lambda s, x: F.concat(s, x))
+    given = F.struct(sizes.alias("sizes"), F.size(parts).alias("m"), (F.array_min(sizes) == F.array_max(sizes)).alias("same"), body.alias("body"), F.lit(0 if target is None else target).cast("long").alias("target"))
+
+    def coded(x: Column) -> Column:
+        code = F.when(x["m"] == 1, 0).when((x["m"] == 2) & x["same"], 1).when(x["m"] == 2, 2).otherwise(3)
+        ahead = F.when(x["same"], F.lit("")).otherwise(F.array_join(F.transform(F.slice(x["sizes"], F.lit(1), x["m"] - 1), length_code), ""))
+        own = length_code(F.element_at(x["sizes"], -1)) if delimited else F.lit("")
+        return F.struct(code.alias("code"), F.concat(ahead, own).alias("lengths"), F.octet_length(x["body"]).alias("n"))
+
+    def whole(x: Column, c: Column) -> Column:
+        first = lambda code: digits(toc.bitwiseAND(252) + code)
+        count = lambda padded: digits(x["m"] + F.when(x["same"], 0).otherwise(128) + padded)
+        plain = F.concat(F.unhex(F.concat(first(c["code"]), F.when(c["code"] == 3, count(0)).otherwise(""), c["lengths"])), x["body"])
+        if target is None:
+            return plain
+        least = 2 + F.length(c["lengths"]) / 2 + c["n"]
+        more = (x["target"] - least).cast("int")
+        full = F.floor((more - 1) / 255).cast("int")  # bytes of 255, each 254 of padding
+        pads = F.when(more > 0, F.concat(F.repeat(F.lit("FF"), full), digits(more - 255 * full - 1))).otherwise("")
+        room = F.greatest(F.lit(0), more - full - 1)
+        filler = F.unhex(F.repeat(F.lit("00"), room))
+        if tail is not None:
+            kept = F.regexp_like(F.hex(tail), F.lit("[1-9A-F]"))
+            filler = F.when(F.coalesce(kept, F.lit(False)), F.concat(F.unhex(F.repeat(F.lit("01"), (room - F.octet_length(tail)).cast("int"))), tail)).otherwise(filler)
+        wide = F.concat(F.unhex(F.concat(first(F.lit(3)), count(F.when(more > 0, 64).otherwise(0)), pads, c["lengths"])), x["body"], filler)
+        size = least - F.when(c["code"] == 3, 0).otherwise(1)
+        return F.when(size == x["target"], plain).when((size < x["target"]) & (more >= 0), wide)
+
+    made = let(given, lambda x: let(coded(x), lambda c: whole(x, c)))
+    return F.when(F.size(parts).between(1, P.MOST_FRAMES), made)
+
+
+def padding_of(parsed: DataFrame, data: str = "payload") -> Column:
+    """The bytes of padding of what parse() gives, in which extensions stand."""
+    return part(F.col(data), F.col("used") - F.col("padding"), F.col("padding"))
 
 
 def pad(packets: DataFrame, target: Column, data: str = "payload") -> DataFrame:
-    """Add padded, the packet grown to `target` bytes, and error, of parse() or `too long` where it is longer already."""
+    """Add padded, the packet grown to `target` bytes, and error, of parse() or `too long` where it is longer already. Extensions in its padding are kept."""
     columns = packets.columns
     out = with_frames(packets.withColumn("_target", target), data)
-    grown = F.when(F.octet_length(data) == F.col("_target"), F.col(data)).otherwise(build(F.col("toc"), F.col("frames"), target=F.col("_target")))
+    grown = F.when(F.octet_length(data) == F.col("_target"), F.col(data)).otherwise(build(F.col("toc"), F.col("frames"), target=F.col("_target"), tail=padding_of(out, data)))
     error = F.coalesce("error", F.when(F.octet_length(data) > F.col("_target"), "too long"))
     return out.select(*columns, F.when(error.isNull(), grown).alias("padded"), error.alias("error"))
 
@@ -159,14 +178,37 @@ def split_streams(packets: DataFrame, streams: int, data: str = "payload") -> Da
 
     All streams must last equally long, else error is `different durations`."""
     columns = packets.columns
-    rows = packets.select(*columns, F.col(data).alias("_rest"), F.array().cast("array<binary>").alias("_out"), F.array().cast("array<long>").alias("_spans"), F.lit(None).cast("string").alias("_error"))
-    names = [*columns, "_rest", "_out", "_spans", "_error"]
+    rows = packets.select(*columns, F.col(data).alias("_rest"), F.array().cast("array<binary>").alias("_out"), F.array().cast("array<long>").alias("_spans"), F.lit(None).cast("string").alias("_error"), F.lit(0).cast("long").alias("_last"))
+    names = [*columns, "_rest", "_out", "_spans", "_error", "_last"]
     for k in range(streams):
         parsed = with_frames(rows, "_rest", delimited=k < streams - 1)
         bad = F.coalesce("_error", "error")
         alone = F.when(bad.isNull(), build(F.col("toc"), F.col("frames")) if k < streams - 1 else F.col("_rest"))
         span = F.size("sizes") * P.frame_samples(F.col("toc"))
         rest = part(F.col("_rest"), F.col("used"), F.octet_length("_rest") - F.col("used"))
-        rows = _settled(parsed, columns, rest.alias("_rest"), F.concat("_out", F.array(alone)).alias("_out"), F.concat("_spans", F.array(span)).alias("_spans"), bad.alias("_error")).select(*names)
+        last = F.octet_length(data) - F.octet_length("_rest")  # where the last stream's packet begins
+        rows = _settled(parsed, columns, rest.alias("_rest"), F.concat("_out", F.array(alone)).alias("_out"), F.concat("_spans", F.array(span)).alias("_spans"), bad.alias("_error"), last.cast("long").alias("_last")).select(*names)
     error = F.coalesce("_error", F.when(F.array_min("_spans") != F.array_max("_spans"), "different durations"))
-    return rows.select(*columns, F.when(error.isNull(), F.col("_out")).alias("packets"), error.alias("error"))
+    return rows.select(*columns, F.when(error.isNull(), F.col("_out")).alias("packets"), F.col("_last").alias("last"), error.alias("error"))
+
+
+def pad_streams(packets: DataFrame, streams: int, target: Column, data: str = "payload") -> DataFrame:
+    """Add padded, the packet of this many streams grown to `target` bytes by its last stream, and error."""
+    columns = packets.columns
+    split = split_streams(packets.withColumn("_whole", target), streams, data).withColumnsRenamed({"error": "_bad", "packets": "_packets", "last": "_begins"})
+    rows = split.withColumn("_end", F.when(F.col("_bad").isNull(), F.element_at("_packets", -1)))
+    rows = pad(rows, F.greatest(F.lit(0), F.col("_whole") - F.col("_begins")).cast("int"), "_end")
+    error = F.coalesce("_bad", "error")
+    return rows.select(*columns, F.when(error.isNull(), F.concat(part(F.col(data), F.lit(0), F.col("_begins")), F.col("padded"))).alias("padded"), error.alias("error"))
+
+
+def unpad_streams(packets: DataFrame, streams: int, data: str = "payload") -> DataFrame:
+    """Add bare, the packet of this many streams without the padding of any, and error."""
+    columns = packets.columns
+    rows = split_streams(packets, streams, data).withColumnsRenamed({"error": "_bad", "packets": "_packets"}).drop("last")
+    kept = [*columns, "_bad", "_packets"]
+    for k in range(streams):
+        parsed = with_frames(rows.withColumn("_one", F.get("_packets", F.lit(k))), "_one")
+        own = F.when(F.col("error").isNull(), build(F.col("toc"), F.col("frames"), delimited=k < streams - 1))
+        rows = _settled(parsed, kept, *[F.col(f"_bare{i}") for i in range(k)], own.alias(f"_bare{k}"))
+    return rows.select(*columns, F.when(F.col("_bad").isNull(), F.concat(*[F.col(f"_bare{k}") for k in range(streams)])).alias("bare"), F.col("_bad").alias("error"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from framelake.functions import container as C
 from framelake.functions import packets as P
+from framelake.functions.extensions import by_frame, extension_bytes, extensions_of, found, in_frame_order
 from framelake.operators import framing, pages, streams
 from framelake.operators.scan import numbered
 from framelake.plans.base import SIZE, SLOTS, WITH, query
@@ -103,6 +104,40 @@ def padded_packets(spark, sf_dir: str) -> DataFrame:
     return again.select("event_id", "padded", F.octet_length("bare").cast("long").alias("bare"), F.when(good, _text("frames")).alias("body"))
 
 
+#: Extensions of each packet: in each frame up to two with ids and lengths that frames share, so that they are repeated, and in every fifth packet one more.
+EXTENDED = """e AS (SELECT event_id, 1 + event_id % 4 AS m, event_id % 3 AS k FROM events), x AS (SELECT event_id, m, f, j, 3 + (event_id * 5 + j * 40) % 125 AS id FROM e, LATERAL (SELECT unnest(range(m)) AS f), LATERAL (SELECT unnest(range(k)) AS j)
+    UNION ALL SELECT event_id, m, m - 1, 9, 100 FROM e WHERE event_id % 5 = 0), d AS (SELECT *, substr(repeat(md5(event_id || '/' || f || '/' || j), 10), 1, (CASE WHEN id < 32 THEN (event_id + j) % 2 ELSE (event_id * 31 + j * 7 + f * 13) % 300 END)::INT) AS data FROM x)"""
+
+
+@query(f"""WITH {EXTENDED} SELECT event_id, count(*) AS n, count(*) FILTER (WHERE f = m - 1) AS in_last, md5(string_agg(f || ':' || id || ':' || data, ',' ORDER BY f, j)) AS listed, min(f) FILTER (WHERE id = 100)::INT AS first_100 FROM d GROUP BY event_id""")
+def extension_round_trip(spark, sf_dir: str) -> DataFrame:
+    """Extensions put into the padding of packets, which are padded further, and listed again: how many, how many in the last frame, all in frame order, and the frame of the
+    first with the id 100."""
+    e = F.col("event_id")
+    m, upto = 1 + e % 4, lambda n: F.when(n > 0, F.sequence(F.lit(0), (n - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
+
+    def one(f: Column, j: Column, id_: Column) -> Column:
+        n = F.when(id_ < 32, (e + j) % 2).otherwise((e * 31 + j * 7 + f * 13) % 300).cast("int")
+        name = F.md5(F.concat_ws("/", e.cast("string"), f.cast("string"), j.cast("string")).cast("binary"))
+        return F.struct(id_.cast("int").alias("id"), f.cast("int").alias("frame"), F.substring(F.repeat(name, F.lit(10)), F.lit(1), n).cast("binary").alias("data"))
+
+    shared = F.flatten(F.transform(upto(m), lambda f: F.transform(upto(e % 3), lambda j: one(f, j, 3 + (e * 5 + j * 40) % 125))))
+    more = F.when(e % 5 == 0, F.array(one(m - 1, F.lit(9), F.lit(100)))).otherwise(F.slice(shared, F.lit(1), F.lit(0)))
+    rows = headers(spark, sf_dir).select(e, m.cast("int").alias("m"), F.concat(shared, more).alias("x")).filter(F.size("x") > 0)
+    rows = rows.withColumn("padding", extension_bytes("x", "m"))
+    frames = F.transform(upto(F.col("m")), lambda i: F.md5(i.cast("string").cast("binary")).cast("binary"))
+    plain = rows.select(e, "m", "padding", frames.alias("parts"), (128 + e * 8 % 128).alias("toc"))
+    least = F.octet_length("padding") + 32 * F.col("m") + 2
+    made = plain.select(e, "m", F.inline(F.array(F.struct(framing.build(F.col("toc"), F.col("parts"), target=(least + F.floor(F.octet_length("padding") / 254) + 3).cast("int"), tail=F.col("padding")).alias("payload")))))
+    grown = framing.pad(made, F.octet_length("payload") + F.col("event_id") % 300).select(e, "m", F.col("padded").alias("payload"))
+    parsed = framing.parse(grown).filter("error is null")
+    listed = extensions_of(parsed.select(e, "m", framing.padding_of(parsed).alias("padding")), F.col("padding"), F.col("m")).filter("id is not null").drop("padding")
+    text = F.transform("extensions", lambda x: F.concat_ws(":", x["frame"].cast("string"), x["id"].cast("string"), x["data"].cast("string")))
+    counts = by_frame(listed, ["event_id", "m"]).groupBy("event_id").agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(F.col("frame") == F.col("m") - 1, F.col("n"))), F.lit(0)).alias("in_last"))
+    ordered = in_frame_order(listed, ["event_id"]).select("event_id", F.md5(F.array_join(text, ",").cast("binary")).alias("listed"))
+    return counts.join(ordered, "event_id").join(found(listed, ["event_id"], 100).select("event_id", F.col("frame").alias("first_100")), "event_id", "left")
+
+
 @query(f"""{FRAMED}, rows AS (SELECT event_id, toc, unnest([0, 1, 2]) AS stream, event_id % 5 = 1 AS uneven, md5(event_id || '/0') AS a, md5(event_id || '/1') AS b, md5(event_id || '/2') AS c FROM framed)
     SELECT event_id, CASE WHEN NOT uneven THEN stream END AS stream, CASE WHEN NOT uneven THEN CASE stream WHEN 0 THEN a || a WHEN 1 THEN b || b ELSE c || c END END AS body, CASE WHEN uneven THEN 'different durations' END AS error
     FROM rows WHERE NOT uneven OR stream = 0""")
