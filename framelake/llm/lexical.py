@@ -7,8 +7,9 @@ grouping over all items at once:
 1. The heads: of each term's list the HEAD highest scores. What a document has in an item's heads is a lower bound of its score; of those with the
    highest such bounds, TRIED for an item, the exact scores are looked up. The k-th highest of these is the item's first mark, since k documents
    reach it.
-2. The uniform threshold: a document with a score of the mark has in one of the item's m lists at least the mark / m. All entries that high are fetched
-   from every list; a list whose head is lower gives none. The sum of what was fetched of a document is a lower bound again, which gives the second
+2. The uniform threshold: a document with a score of the mark has in one of the item's m lists at least the mark / m. All entries of half of that are fetched
+   from every list (at the whole of it, what was not fetched could make up for nearly the mark itself, and few documents would be out); a list
+   whose head is lower gives none. The sum of what was fetched of a document is a lower bound again, which gives the second
    mark as above; a document whose sum, with less than the threshold for every list that it was not fetched from (and no more than that list's head),
    does not reach the mark, is out.
 3. The exact scores of all that are left are looked up in the lists, by term and document, and the k highest stay.
@@ -128,8 +129,8 @@ def search(found: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     asks = cut(queries.join(tops, "term"))  # terms that no document has are out
     low = heads.join(asks, "term").groupBy("item_id", "_row").agg(F.sum(F.col("score") * F.col("repeats")).alias("sum"))
     marks = asks.groupBy("item_id").agg(F.count("*").alias("lists")).join(_tried(low, asks, scored, k), "item_id", "left")
-    # a score of the mark needs mark / lists in one list; without k documents in the heads every entry counts
-    level = F.greatest(F.lit(1), F.ceil(F.expr("coalesce(mark, 0) / lists"))).cast("long")
+    # without k documents in the heads every entry counts
+    level = F.greatest(F.lit(1), F.expr("coalesce(mark, 0) div (2 * lists)")).cast("long")
     wanted = cut(asks.join(marks.select("item_id", level.alias("level")), "item_id").withColumn("most", F.least(F.col("level") - 1, F.col("top") * F.col("repeats"))))
     needs = F.expr("(level + repeats - 1) div repeats")
     reached = cut(wanted.withColumn("needs", needs).filter(F.col("top") >= F.col("needs")).select("item_id", "term", "repeats", "most", "needs"))
