@@ -10,7 +10,7 @@ from framelake.functions import packets as P
 from framelake.functions import pcm as S
 from framelake.functions.layouts import LAYOUTS
 from framelake.operators import redundancy, stats, streams
-from framelake.plans import measures, wire  # noqa: F401  (they register their queries)
+from framelake.plans import flows, measures, wire  # noqa: F401  (they register their queries)
 from framelake.plans.base import BANDWIDTH, FRAMES, LOST, MODE, ORACLE_SQL, QUERIES, SIZE, STRICT, WITH, query  # noqa: F401
 from framelake.sources.adapters import FRAME, blocks, headers, packets
 

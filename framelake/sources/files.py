@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from framelake.functions import packets as P
 from framelake.functions.pcm import from_bytes
 from framelake.functions.wire import number, part
 
@@ -35,6 +36,13 @@ def vectors(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(cut, VECTORS)
 
 
+def vector_summary(records: DataFrame) -> DataFrame:
+    """Of vectors() by path: packets, bytes, first_toc, and duration, as if every packet were one frame of the first one's size. Where the first is lost or empty, the last two are null."""
+    first = number(F.min_by(F.coalesce("payload", F.lit(b"")), "seq"), F.lit(0))
+    rows = records.groupBy("path").agg(F.count("*").alias("packets"), F.coalesce(F.sum(F.octet_length("payload")), F.lit(0)).alias("bytes"), first.alias("first_toc"))
+    return rows.withColumn("duration", F.col("packets") * P.frame_samples(F.col("first_toc")))
+
+
 def fixtures(spark: SparkSession, path: str) -> DataFrame:
     """Cases of JSON files {version, cases: [...]}: a row for each, with the file's version and the case's fields."""
     rows = spark.read.option("multiLine", True).json(path)
