@@ -82,6 +82,19 @@ def demix(coded: Column, matrix: Column, rows: Column, columns: Column) -> Colum
     return F.transform(F.sequence(F.lit(0), (rows - 1).cast("int")), lambda r: F.aggregate(across, F.lit(0.0), lambda s, c: s + cell(r, c)))
 
 
+def demixed(coded: Column, matrix: Column, rows: Column, columns: Column) -> Column:
+    """All frames of interleaved output channels from interleaved coded ones, by such a matrix; a frame that isn't whole is left out."""
+    n = F.floor(F.size(coded) / columns).cast("int")
+    frame = lambda i: demix(F.slice(coded, i * columns + 1, columns), matrix, rows, columns)
+    return F.when(n > 0, F.flatten(F.transform(F.sequence(F.lit(0), n - 1), frame))).otherwise(F.array().cast("array<double>"))
+
+
+def demixed_int16(coded: Column, matrix: Column, rows: Column, columns: Column) -> Column:
+    """The same of 16-bit integers: sums of products rounded at 15 bits, halves up, and clamped."""
+    whole = demixed(F.transform(coded, lambda x: x.cast("double")), matrix, rows, columns)
+    return F.transform(whole, lambda x: F.greatest(F.lit(-32768), F.least(F.lit(32767), F.floor(x + 0.5))).cast("int"))
+
+
 def stream_rates(bitrate: Column, streams: Column, coupled: Column, low: Column, frames: int = 50) -> Column:
     """Bits a second of each stream of a surround packet, of `frames` packets a second: low is the stream with the low-frequency channel,
     or -1. A coupled stream weighs twice a single one and the low-frequency one an eighth; all get 500 at least. Whole numbers, cut towards 0."""

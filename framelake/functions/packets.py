@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from framelake.functions.wire import number
+
 MOST_FRAMES, MOST_SAMPLES = 48, 5760  # 120 ms at 48 kHz
 
 
@@ -54,6 +56,18 @@ def frames_strict(toc: Column, second_byte: Column) -> Column:
     return F.when((n >= 1) & (n <= MOST_FRAMES) & (n * frame_samples(toc) <= MOST_SAMPLES), n)
 
 
+def packet_samples(toc: Column, second_byte: Column, rate: int = 48_000) -> Column:
+    """Samples of a packet at a rate; null where it can't have that many frames or lasts more than 120 ms."""
+    n = frames_lenient(toc, second_byte) * frame_samples(toc, rate)
+    return F.when(n.between(1, rate * 120 // 1000), n)
+
+
+def mode_label(data: Column) -> Column:
+    """The mode of a packet's bytes; `empty` for none."""
+    toc = number(data, F.lit(0))
+    return F.when(toc.isNull(), "empty").otherwise(mode(toc))
+
+
 def first_frame_has_fec(toc: Column, first_byte: Column) -> Column:
     """Whether the first frame of a silk or hybrid packet carries a low-rate copy of the frame before: the bit after the voice bits,
     one for each 20 ms; the second channel's bits follow the first's."""

@@ -22,9 +22,46 @@ def from_int16(pcm: Column) -> Column:
     return F.transform(pcm, lambda x: (x / 32768).cast("float"))
 
 
-def gain(pcm: Column, decibels: float) -> Column:
-    factor = 10 ** (decibels / 20)
-    return pcm if not decibels else F.transform(pcm, lambda x: x * F.lit(factor))
+def gain(pcm: Column, q8: Column) -> Column:
+    """Louder by a header's gain, a 256th of a decibel each, as a power of two in single precision; a gain of 0 or null changes nothing."""
+    factor = F.pow(F.lit(2.0), F.lit(6.48814081e-4) * q8).cast("float")
+    return F.when(F.coalesce(q8, F.lit(0)) == 0, pcm).otherwise(F.transform(pcm, lambda x: (x * factor).cast("float")))
+
+
+def float_bits(x: Column) -> Column:
+    """The 32 bits of a single-precision number as a whole number: sign, exponent and fraction, worked out, as no function gives them."""
+    a = F.abs(x.cast("double"))
+    guess = F.floor(F.log2(a))
+    exponent = F.greatest(F.lit(-126), F.when(F.pow(F.lit(2.0), guess) > a, guess - 1).when(F.pow(F.lit(2.0), guess + 1) <= a, guess + 1).otherwise(guess))
+    fraction = (a / F.pow(F.lit(2.0), exponent - 23)).cast("long")
+    # the leading one of a normal number adds one to the exponent's field
+    size = F.when(a == 0, 0).when(F.isnan(a), 0x7FC00000).when(a == float("inf"), 0x7F800000).otherwise((exponent + 126) * (1 << 23) + fraction)
+    negative = (x < 0) | ((x == 0) & (F.concat(x.cast("string")).startswith("-")))
+    return (size + F.when(negative, F.lit(1 << 31)).otherwise(F.lit(0))).cast("long")
+
+
+def float_bytes(pcm: Column) -> Column:
+    """Single-precision samples as little-endian bytes."""
+    return F.unhex(F.array_join(F.transform(pcm, lambda x: digits(float_bits(x), 4, little=True)), ""))
+
+
+def from_float_bytes(data: Column) -> Column:
+    """Single-precision samples from little-endian bytes; what is left at the end is left out."""
+    n = F.floor(F.octet_length(data) / 4).cast("int")
+
+    def at(i: Column) -> Column:
+        bits = number(data, 4 * i, 4, little=True)
+        exponent, fraction = F.floor(bits / (1 << 23)) % 256, bits % (1 << 23)
+        a = F.when(exponent == 0, fraction * 2.0**-149).otherwise((fraction + (1 << 23)) * F.pow(F.lit(2.0), exponent - 150))
+        a = F.when(exponent < 255, a).when(fraction == 0, float("inf")).otherwise(float("nan"))
+        return F.when(bits >= 1 << 31, -a).otherwise(a).cast("float")
+
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), at)).otherwise(F.array().cast("array<float>"))
+
+
+def interleave(channels: list[Column]) -> Column:
+    """Interleaved samples of channels of equal length."""
+    return F.flatten(F.transform(F.arrays_zip(*[c.alias(f"c{i}") for i, c in enumerate(channels)]), lambda x: F.array(*[x[f"c{i}"] for i in range(len(channels))])))
 
 
 def energy(pcm: Column) -> Column:

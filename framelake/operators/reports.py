@@ -29,10 +29,18 @@ def failed_bars(q: Column, correlation: Column, ratio: Column, least_q: float, l
     ))
 
 
+#: Weights of lost and deeply recovered percent, of copies of both kinds and of concealed milliseconds (divided), and what each may add at most.
+LOSS_WEIGHT, DEEP_WEIGHT, COPY_WEIGHT, CONCEALED_PER_POINT = 1.2, 0.30, 0.5, 120
+MOST_LOSS, MOST_DEEP, MOST_COPY, MOST_CONCEALED, NO_ERROR = 40, 30, 15, 15, 10.0
+
+
 def resilience(loss_percent: Column, deep_percent: Column, red: Column, fec: Column, concealed_ms: Column, errors: Column) -> Column:
     """A score of 0 to 100 for how well losses are made up for, each part of it bounded."""
     bound = lambda x, most: F.least(F.lit(float(most)), x)
-    parts = (bound(loss_percent * 1.2, 40), bound(deep_percent * 0.30, 30), bound(red * 0.5, 15), bound(fec * 0.5, 15), bound(concealed_ms / 120, 15), F.when(errors == 0, 10.0).otherwise(0.0))
+    parts = (
+        bound(loss_percent * LOSS_WEIGHT, MOST_LOSS), bound(deep_percent * DEEP_WEIGHT, MOST_DEEP), bound(red * COPY_WEIGHT, MOST_COPY), bound(fec * COPY_WEIGHT, MOST_COPY),
+        bound(concealed_ms / CONCEALED_PER_POINT, MOST_CONCEALED), F.when(errors == 0, NO_ERROR).otherwise(0.0),
+    )
     return F.round(bound(sum(parts[1:], parts[0]), 100)).cast("int")
 
 

@@ -105,10 +105,11 @@ def regroup(packets: DataFrame, size: int = 3, most: int = P.MOST_FRAMES) -> Dat
     return out.select("stream_id", "part", "first_toc", "packets", "frames", "bytes", error.alias("error"))
 
 
-def silence_suppressed(frames: DataFrame, ahead: int = 10, most: int = 20) -> DataFrame:
-    """Add idle, how many frames in a row have no activity up to this one, and suppressed to frames(stream_id, seq, active) of 20 ms.
+def silence_suppressed(frames: DataFrame, milliseconds: float = 20) -> DataFrame:
+    """Add idle, how many frames in a row have no activity up to this one, and suppressed to frames(stream_id, seq, active) of this length.
 
-    After `ahead` idle frames `most` are suppressed; then one is sent again, and so on. Any activity starts anew. A null is no activity."""
+    After 200 ms of idle frames 400 ms are suppressed; then one is sent again, and so on. Any activity starts anew. A null is no activity."""
+    ahead, most = round(200 / milliseconds), round(400 / milliseconds)
     busy = F.coalesce("active", F.lit(False))
     rows = running(frames, "stream_id", "seq", sums={"_row": F.lit(1).cast("long")})
     rows = running(rows, "stream_id", "seq", last={"_busy": F.when(busy, F.col("_row"))})

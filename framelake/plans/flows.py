@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from framelake.functions import layouts as L
 from framelake.functions import packets as P
 from framelake.functions import pcm as S
 from framelake.functions.wire import digits
@@ -112,3 +113,37 @@ def block_bytes_24(spark, sf_dir: str) -> DataFrame:
     data = F.unhex(F.array_join(F.transform(whole, lambda x: digits(F.pmod(x, F.lit(1 << 24)), 3, little=True)), ""))
     total = F.aggregate(S.from_int24(whole), F.lit(0.0), lambda s, x: s + x.cast("double"))
     return blocks(spark, sf_dir).select("block_id", F.sha2(data, 256).alias("sha"), total.isNotNull().alias("read"), F.round(total, 6).alias("total"))
+
+
+@query("""SELECT vec_id AS block_id, sha256(unhex(array_to_string(list_transform(embedding, lambda y: BITS), ''))) AS sha, round(list_sum(list_transform(embedding, lambda y: y::DOUBLE)), 6) AS total FROM embeddings""".replace("BITS", " || ".join(f"substr(hex(y::FLOAT::BIT::BLOB), {i}, 2)" for i in (7, 5, 3, 1))))
+def block_float_bytes(spark, sf_dir: str) -> DataFrame:
+    """Blocks as single-precision bytes: their hash, and the sum of what is read from them again."""
+    rows = blocks(spark, sf_dir).select("block_id", F.inline(F.array(F.struct(S.float_bytes(F.col("pcm")).alias("data")))))
+    total = F.aggregate(S.from_float_bytes(F.col("data")), F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return rows.select("block_id", F.sha2("data", 256).alias("sha"), F.round(total, 6).alias("total"))
+
+
+@query("""WITH p AS (SELECT vec_id, embedding::DOUBLE[] AS x, label % 4 + 2 AS n FROM embeddings), o AS (SELECT *, unnest(range(n)) AS r FROM p)
+    SELECT vec_id AS block_id, r::INT AS channel, len(x) // n AS frames, round(list_sum(list_transform(range(len(x) // n), lambda i: (i + 1) * list_sum(list_transform(range(n), lambda c: ((c * 7 + r * 3) % 11 - 5) * 4096 / 32768.0 * x[i * n + c + 1])))), 6) AS weighted FROM o""")
+def projection_frames(spark, sf_dir: str) -> DataFrame:
+    """All frames of each block through a square matrix: by channel, the frames' values times their number, added up."""
+    n = (F.col("channels") - 1) % 4 + 2
+    rows = blocks(spark, sf_dir).select("block_id", "pcm", n.cast("int").alias("n"))
+    matrix = F.transform(F.sequence(F.lit(0), F.col("n") * F.col("n") - 1), lambda i: ((F.floor(i / F.col("n")) * 7 + i % F.col("n") * 3) % 11 - 5) * 4096)
+    out = rows.select("block_id", "n", F.inline(F.array(F.struct(L.demixed(F.col("pcm"), matrix, F.col("n"), F.col("n")).alias("y")))))
+    each = out.select("block_id", "n", F.posexplode("y").alias("at", "value"))
+    weight = F.floor(F.col("at") / F.col("n")) + 1
+    return each.groupBy("block_id", (F.col("at") % F.col("n")).alias("channel")).agg(F.count("*").alias("frames"), F.round(F.sum(F.col("value") * weight), 6).alias("weighted"))
+
+
+@query("""WITH l(channels, coupled, mapping) AS (VALUES (1, 0, [0]), (2, 1, [0, 1]), (3, 1, [0, 2, 1]), (4, 2, [0, 1, 2, 3]), (5, 2, [0, 4, 1, 2, 3]), (6, 2, [0, 4, 1, 2, 3, 5]), (7, 3, [0, 4, 1, 2, 3, 5, 6]), (8, 3, [0, 6, 1, 2, 3, 4, 5, 7])),
+    p AS (SELECT vec_id, embedding::DOUBLE[] AS x, channels, coupled, mapping, unnest(range(channels * 4)) AS k FROM embeddings JOIN l ON label % 8 + 1 = channels), r AS (SELECT vec_id, k, mapping[k % channels + 1] AS coded, k // channels AS frame, coupled, x FROM p)
+    SELECT vec_id AS block_id, round(sum((k + 1) * CASE WHEN coded < 2 * coupled THEN x[(coded // 2 + frame * 2 + coded % 2) % len(x) + 1] ELSE x[(coded - coupled + frame) % len(x) + 1] END), 6) AS weighted FROM r GROUP BY vec_id""")
+def mapped_channels(spark, sf_dir: str) -> DataFrame:
+    """Four frames of each layout's output channels from its streams, which hold samples of the block from their own number on."""
+    rows = blocks(spark, sf_dir).select("block_id", "pcm", L.layout(F.col("channels")).alias("x"))
+    at = lambda s, i: F.get("pcm", ((s + i) % F.size("pcm")).cast("int")).cast("double")
+    made = F.transform(F.sequence(F.lit(0), F.col("x.streams") - 1), lambda s: F.transform(F.sequence(F.lit(0), F.when(s < F.col("x.coupled"), 7).otherwise(3)), lambda i: at(s, i)))
+    out = rows.select("block_id", L.map_channels(made, F.col("x.mapping"), F.col("x.coupled"), F.lit(4)).alias("y"))
+    weighted = F.aggregate(F.transform("y", lambda v, i: v * (i + 1)), F.lit(0.0), lambda s, v: s + v)
+    return out.select("block_id", F.round(weighted, 6).alias("weighted"))

@@ -44,15 +44,19 @@ def vector_summary(records: DataFrame) -> DataFrame:
 
 
 def fixtures(spark: SparkSession, path: str) -> DataFrame:
-    """Cases of JSON files {version, cases: [...]}: a row for each, with the file's version and the case's fields."""
-    rows = spark.read.option("multiLine", True).json(path)
-    return rows.select("version", F.inline("cases"))
+    """Cases of JSON files {version, cases: [...]}: a row for each, with the file's version and the case's fields. Fields whose names end in _b64 are decoded; packets, where there are
+    any, are an array of struct(data, final_range)."""
+    rows = spark.read.option("multiLine", True).json(path).select("version", F.inline("cases"))
+    coded = {f.name: F.unbase64(f.name) for f in rows.schema if f.name.endswith("_b64")}
+    if "packets" in rows.columns:
+        rows = rows.withColumn("packets", F.transform("packets", lambda p: F.struct(F.unbase64(p["data_b64"]).alias("data"), p["final_range"].alias("final_range"))))
+    return rows.withColumns(coded).withColumnsRenamed({name: name.removesuffix("_b64") for name in coded})
 
 
 def wav(files: DataFrame) -> DataFrame:
     """16-bit PCM in RIFF files to path, channels, rate and pcm (interleaved integers); error where a file isn't such a one.
 
-    Chunks before the samples are passed over, up to 16 of them."""
+    Chunks before the samples are passed over: sixteen at first, and where that isn't enough, as many as the file can have."""
     c = F.col("content")
     at = lambda i, n: number(c, i, n, little=True)
     tag = lambda i: part(c, i, F.lit(4)).cast("string")
@@ -64,7 +68,11 @@ def wav(files: DataFrame) -> DataFrame:
         here = lambda name, old: F.when((old < 0) & (tag(i) == name), i + 8).otherwise(old)
         return F.struct(F.coalesce(i + 8 + size + size % 2, i).cast("long").alias("at"), here("fmt ", s["format"]).alias("format"), here("data", s["data"]).alias("data"))
 
-    walked = files.select("path", "content", F.inline(F.array(F.struct(F.aggregate(F.sequence(F.lit(1), F.lit(16)), start, step).alias("x")))))
+    settled = lambda rows, walk: rows.select("path", "content", F.inline(F.array(F.struct(walk.alias("x")))))
+    walked = settled(files, F.aggregate(F.sequence(F.lit(1), F.lit(16)), start, step))
+    more = (F.col("x.data") < 0) & (F.col("x.at") + 8 <= F.octet_length(c))
+    steps = F.when(more, F.sequence(F.lit(1), (F.octet_length(c) / 8).cast("int"))).otherwise(F.array().cast("array<int>"))
+    walked = settled(walked, F.aggregate(steps, F.col("x"), step))
     form, data = F.col("x.format"), F.col("x.data")
     good = (tag(F.lit(0)) == "RIFF") & (tag(F.lit(8)) == "WAVE") & (form > 0) & (data > 0) & (at(form, 2) == 1) & (at(form + 14, 2) == 16) & (at(form + 2, 2) > 0)
     error = F.when(~F.coalesce(good, F.lit(False)), "no 16-bit PCM")
