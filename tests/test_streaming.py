@@ -38,3 +38,25 @@ def test_mixing_over_triggers(spark, tmp_path):
     out = {r.arrival: (r.kind, r.start, r.pcm) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert {k: v[0] for k, v in out.items()} == {2: "taken", 3: "unknown", 4: "early", 5: "taken", 6: "mixed", 7: "late", 8: "taken", 9: "late", 13: "mixed", 15: "taken", 16: "mixed", 18: "mixed"}
     assert out[6][1:] == (0, [0.0, 0.0, 2.0, 2.0]) and out[13][1:] == (4, [4.0, 3.0, 0.0, 0.0]) and out[16][1:] == (8, [3.0] * 4) and out[18][1:] == (12, [0.0] * 4)
+
+
+def test_playout_by_timer(spark, tmp_path):
+    """Without ticks: windows come by themselves some time after the first segment, in order, until no segment waits; what came too late is told."""
+    schema = "mixer_id long, arrival long, kind string, track string, start long, value double, pcm array<double>"
+    rows = [(1, 0, "add", "a", None, 2.0, None), (1, 1, "segment", "a", 0, None, [1.0] * 4), (1, 2, "segment", "a", 6, None, [1.0] * 2), (1, 3, "segment", "a", 20, None, [1.0]), (2, 0, "add", "b", None, None, None)]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+    mixed = mix_arrivals(stream, 4, 8, delay=300, idle=3_600_000)
+    query = mixed.writeStream.outputMode("append").format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(processingTime="200 milliseconds").start()
+    try:
+        for _ in range(60):
+            query.awaitTermination(1)
+            out = spark.read.schema(mixed.schema).option("recursiveFileLookup", True).parquet(f"{tmp_path}/out").collect() if query.lastProgress else []
+            if sum(r.kind == "mixed" for r in out) >= 2:
+                break
+        query.awaitTermination(3)
+        out = spark.read.schema(mixed.schema).parquet(f"{tmp_path}/out").collect()
+    finally:
+        query.stop()
+    assert [(r.start, list(r.pcm)) for r in sorted((r for r in out if r.kind == "mixed"), key=lambda r: r.start)] == [(0, [2.0] * 4), (4, [0.0, 0.0, 2.0, 2.0])]
+    assert sorted((r.arrival, r.kind) for r in out if r.kind != "mixed") == [(1, "taken"), (2, "taken"), (3, "early")]
