@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from framelake.functions.layouts import SILENT, lacing, layout
-from framelake.functions.wire import digits, number, part
+from framelake.functions.wire import digits, let, number, part
 
 PAGE, HEAD, TAGS = "OggS", "OpusHead", "OpusTags"
 HEADER_BYTES = 27
@@ -25,10 +25,12 @@ def crc(data: Column) -> Column:
 
     crc32() takes bytes from their low bit on, starts from ones and ends with a complement. So all bits are mirrored before and after; and a start from
     ones over four inverted bytes is one from zeros. Data has four bytes at least, as every page has."""
+    def turned(mirrored: Column) -> Column:
+        head = F.conv(F.hex(F.substring(mirrored, F.lit(1), F.lit(4))), 16, 10).cast("long")
+        return F.concat(F.unhex(digits(F.lit(0xFFFFFFFF).bitwiseXOR(head), 4)), F.substring(mirrored, F.lit(5), F.octet_length(mirrored)))
+
     mirrored = F.encode(F.translate(F.decode(data, "ISO-8859-1"), _BYTES, _MIRRORED), "ISO-8859-1")
-    head = F.conv(F.hex(F.substring(mirrored, F.lit(1), F.lit(4))), 16, 10).cast("long")
-    turned = F.unhex(F.concat(digits(F.lit(0xFFFFFFFF).bitwiseXOR(head), 4), F.hex(F.substring(mirrored, F.lit(5), F.octet_length(mirrored)))))
-    low_first = F.crc32(turned).bitwiseXOR(F.lit(0xFFFFFFFF))
+    low_first = F.crc32(let(mirrored, turned)).bitwiseXOR(F.lit(0xFFFFFFFF))
     return F.conv(F.reverse(F.lpad(F.bin(low_first), 32, "0")), 2, 10).cast("long")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framelake.operators.scan import running
+from framelake.sources.shared import written
 
 
 def placed(chunks: DataFrame, group: str) -> DataFrame:
@@ -141,9 +142,6 @@ def soft_clip(chunks: DataFrame, group: str, channels: int = 1, rounds: int = 64
 
     All chunks are first clipped as if nothing were open before them; a chunk before which something is open is clipped again with it, and so on while what a chunk leaves
     open changes: as many rounds as a knee has chunks, which is two where signals cross zero in every chunk. seq numbers a group's chunks densely. Null chunks are empty."""
-    from framelake.sources.shared import shared_folder
-
-    spark = chunks.sparkSession
     given = [f"`{f.name}` {f.dataType.simpleString()}" for f in chunks.schema]
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,14 +156,9 @@ def soft_clip(chunks: DataFrame, group: str, channels: int = 1, rounds: int = 64
                 left.append([d[1] for d in done])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(clipped, pa.list_(pa.float32())), pa.array(left, pa.list_(pa.float32()))], names=[*batch.schema.names, "clipped", "_open"])
 
-    def written(df: DataFrame) -> DataFrame:
-        path = shared_folder(spark, "soft-clip")
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
     schema = ", ".join([*given, "_in array<float>", CLIPPED])
     zero = F.array_repeat(F.lit(0.0).cast("float"), channels)
-    rows = written(chunks.withColumn("_in", zero).mapInArrow(kernel, schema))
+    rows = written(chunks.withColumn("_in", zero).mapInArrow(kernel, schema), "soft-clip")
     for _ in range(rounds):
         prior = rows.select(F.col(group).alias("_g"), (F.col("seq") + 1).alias("_s"), F.col("_open").alias("_before"))
         linked = rows.join(prior, F.col(group).eqNullSafe(F.col("_g")) & (F.col("seq") == F.col("_s")), "left").withColumn("_before", F.coalesce("_before", zero)).drop("_g", "_s")
@@ -173,5 +166,5 @@ def soft_clip(chunks: DataFrame, group: str, channels: int = 1, rounds: int = 64
         if linked.filter(stale).isEmpty():
             return rows.drop("_in", "_open")
         again = linked.filter(stale).select(*chunks.columns, F.col("_before").alias("_in")).mapInArrow(kernel, schema)
-        rows = written(linked.filter(~stale).drop("_before").unionByName(again))
+        rows = written(linked.filter(~stale).drop("_before").unionByName(again), "soft-clip")
     raise ValueError(f"a knee is open over more than {rounds} chunks")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from framelake.functions import container as C
 from framelake.functions import packets as P
-from framelake.functions.wire import number, part
+from framelake.functions.wire import let, number, part
 from framelake.operators.scan import joined, running
 
 PAGES = "path string, at long, page binary"
@@ -49,7 +49,7 @@ def read_pages(pages: DataFrame) -> DataFrame:
     body = F.aggregate("segments", F.lit(0), lambda s, x: s + x)
     whole = (size >= C.HEADER_BYTES) & (part(p, F.lit(0), F.lit(4)) == F.lit(C.PAGE.encode())) & (size >= C.HEADER_BYTES + F.size("segments") + body)
     exact = part(p, F.lit(0), C.HEADER_BYTES + F.size("segments") + body)
-    error = F.when(~F.coalesce(whole, F.lit(False)), "invalid page").when(C.crc(C.unsealed(exact)) != F.col("_crc"), "wrong checksum")
+    error = F.when(~F.coalesce(whole, F.lit(False)), "invalid page").when(let(exact, lambda x: C.crc(C.unsealed(x))) != F.col("_crc"), "wrong checksum")
     payload = part(p, C.HEADER_BYTES + F.size("segments"), body)
     made = F.struct(F.col("flags").bitwiseAND(C.CONTINUED).cast("boolean").alias("continued"), payload.alias("payload"), error.alias("error"))
     return rows.select(*pages.columns, "flags", "granule", "serial", "page_seq", "segments", F.inline(F.array(made)))

@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framelake.sources.shared import written
+
 ROWS = 1 << 16  # of a slice, about
 WIDTH = 256  # rows that one fold takes
 
@@ -29,7 +31,8 @@ def running(
     """Add to each row, over its group's rows up to it: sums, the last value that isn't null, the first such; and the last one before it.
 
     at is a number that ascends with the order (the order itself, if not given): rows with the same at // most are a slice, so numbers without
-    wide gaps make slices of `most` rows. Of rows with equal order any may come first."""
+    wide gaps make slices of `most` rows. Of rows with equal order any may come first. rows are read twice, for the slices and for the carry table:
+    write them first, where working them out is dear."""
     order = [order] if isinstance(order, str) else order
     place = F.struct(*order)
     wanted = [(kind, name, x) for kind, some in (("sum", sums), ("last", last), ("before", before), ("first", first)) for name, x in (some or {}).items()]
@@ -87,7 +90,7 @@ def with_before(rows: DataFrame, group: str, place: str, n: int, column: Column,
 def scan(rows: DataFrame, group: str, place: str, value: Column, combine: Callable[[Column, Column], Column], out: str, width: int = WIDTH, levels: int = 3) -> DataFrame:
     """Add what an associative combine(earlier, later) makes of all values of the group up to each row; place numbers a group's rows densely.
 
-    Each stretch of `width` rows is folded by itself; the totals of stretches are rows that are scanned in the same way, `levels` - 1 times more
+    Each stretch of `width` rows is folded by itself; the totals of stretches are written, and are rows that are scanned in the same way, `levels` - 1 times more
     (16 million rows of a group with three), and the last time in one fold. combine must not be given to values that hang on the group's start."""
     rows = rows.withColumn("_v", value)
     stretch = F.floor(F.col(place) / width) if levels > 1 else F.lit(0).cast("long")
@@ -97,7 +100,7 @@ def scan(rows: DataFrame, group: str, place: str, value: Column, combine: Callab
     folded = listed.withColumn("_f", F.aggregate("_l", none, longer))
     folded = folded.select(group, "_s", F.col("_l._row").alias("_rows"), "_f")
     if levels > 1:
-        totals = folded.select(group, "_s", F.element_at("_f", F.lit(-1)).alias("_t"))
+        totals = written(folded.select(group, "_s", F.element_at("_f", F.lit(-1)).alias("_t")), "scan")
         scanned = scan(totals, group, "_s", F.col("_t"), combine, "_all", width, levels - 1)
         # what all earlier stretches make is the total up to the one before this
         carry = scanned.select(group, (F.col("_s") + 1).alias("_s"), F.col("_all").alias("_carry"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelake.operators.scan import numbered
+from framelake.sources.shared import written
 
 FRAME = 960  # samples of 20 ms at 48 kHz
 
@@ -16,10 +17,12 @@ PACKETS_SQL = f"""SELECT event_id, user_id AS stream_id, row_number() OVER (PART
 
 
 def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One packet for each event, in streams by user: event_id, stream_id, seq, event_type, value, toc, second_byte, len, lost, ts48."""
+    """One packet for each event, in streams by user: event_id, stream_id, seq, event_type, value, toc, second_byte, len, lost, ts48. The events with their
+    numbers are written, as what follows reads them several times."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "event_type", "value", F.unix_micros(F.col("ts").cast("timestamp")).alias("_at"))
     e = F.col("event_id")
-    return numbered(events, "user_id", ["_at", "event_id"], F.col("_at")).select(
+    placed = written(numbered(events, "user_id", ["_at", "event_id"], F.col("_at")).drop("_at"), "packets")
+    return placed.select(
         e, F.col("user_id").alias("stream_id"), "seq", "event_type", "value", (e % 256).alias("toc"), (e * 7 % 64).alias("second_byte"),
         (1 + e * 37 % 120).alias("len"), (e % 13 == 0).alias("lost"),
     ).withColumn("ts48", F.col("seq") * FRAME)
