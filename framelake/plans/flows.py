@@ -86,7 +86,7 @@ def deep_coverage(spark, sf_dir: str) -> DataFrame:
     return intervals.overlaps(lost, reach, "stream_id", 8 * FRAME).groupBy("stream_id", "seq").agg(F.count("*").alias("copies"), F.min(F.col("d") - F.col("a")).alias("nearest"))
 
 
-@query(f"""{WITH}, x AS (SELECT event_id, event_id * 37 % 50000 AS back, {SIZE} AS frame, event_id % 30 AS latents, event_id % 960 AS available FROM packets), y AS (SELECT *, greatest(frame // 480, 1) + 2 AS needed, (back + available) // 480 AS base, 4 * latents - 1 AS last FROM x), z AS (SELECT *, list_transform(range(needed), lambda i: base - i) AS at_ FROM y)
+@query(f"""{WITH}, x AS (SELECT event_id, event_id * 37 % 50000 AS back, {SIZE} AS frame, event_id % 30 AS latents, event_id % 960 AS available FROM packets), y AS (SELECT *, (greatest(frame // 480, 1) + 2)::BIGINT AS needed, (back + available) // 480 AS base, 4 * latents - 1 AS last FROM x), z AS (SELECT *, list_transform(range(needed), lambda i: base - i) AS at_ FROM y)
     SELECT event_id, needed, base, len(list_filter(at_, lambda o: o >= 0 AND o <= last)) AS recoverable, len(list_filter(at_, lambda o: o > last AND o >= 0)) AS missing FROM z""")
 def feature_windows(spark, sf_dir: str) -> DataFrame:
     """Which features of a deep copy each packet would need, if it were lost, and how many the copy has."""
