@@ -3,8 +3,8 @@
 Only the histogram of piece lengths (at most `capacity` rows, whatever the corpus) reaches the driver.
 There a configuration linear program - patterns of lengths that fill a sequence, each length covered as
 often as it occurs - is solved by multiplicative weights: a knapsack over the current prices finds the
-dearest patterns, and the lengths that they cover get cheaper, until the plan is within 2% of the bound that
-the prices prove. The fractional solution is rounded, and best fit, run on classes of equal bins, places what is left. Executors then give the r-th piece of
+dearest patterns, and the lengths that they cover get cheaper. The fractional solution is rounded, and what that leaves
+over goes into a further program; best fit, run on classes of equal bins, places the last hundredth. Executors then give the r-th piece of
 a length its sequence and offset by binary search in the table of patterns."""
 
 from __future__ import annotations
@@ -140,48 +140,59 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int]
     return [x for group in classes.values() for x in group]
 
 
-def rounded(patterns: list[tuple[dict[int, int], float]], histogram: dict[int, int], capacity: int, share: float = 1.0) -> tuple[list[tuple[dict[int, int], int]], int]:
-    """Whole sequences from this share of the fractional ones, the most frequent patterns first, as far as pieces are left;
-    best fit places the others. Also how many sequences are the program's."""
+def rounded(patterns: list[tuple[dict[int, int], float]], histogram: dict[int, int], least: int = 0) -> tuple[list[tuple[dict[int, int], int]], dict[int, int]]:
+    """Whole sequences from the fractional ones, the most frequent patterns first, as far as pieces are left, and the pieces that they leave.
+    A pattern that rounds to nothing is taken `least` times."""
     left, out = dict(histogram), []
     for pattern, x in sorted(patterns, key=lambda p: (-p[1], sorted(p[0].items()))):
-        whole = min(round(x * share), *(left[k] // t for k, t in pattern.items()))
+        whole = min(max(least, round(x)), *(left[k] // t for k, t in pattern.items()))
         if whole:
             out.append((pattern, whole))
             for k, t in pattern.items():
                 left[k] -= whole * t
-    return out + best_fit({k: v for k, v in left.items() if v}, capacity), sum(n for _, n in out)
+    return out, {k: v for k, v in left.items() if v}
 
 
-#: Shares of the program's solution that are tried, the largest first.
-SHARES = (1.0, 0.98, 0.95, 0.9, 0.8, 0.6, 0.4, 0.2, 0.1, 0.05, 0.02, 0.01, 0.0)
+#: (rounds, rate) of a program, each from the prices of the one before; how many programs follow each other at most; and the share of sequences
+#: that may stay with best fit before the last of them.
+SCHEDULE, PROGRAMS, REMNANT = ((50, 0.02), (60, 0.2), (60, 0.07), (100, 0.02), (100, 0.007)), 12, 0.01
 
 
-def solve(histogram: dict[int, int], capacity: int = CAPACITY, within: float = 0.02) -> tuple[list[tuple[dict[int, int], int]], int, float]:
+def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[dict[int, int], int]], int, float]:
     """Whole sequences for every piece of the histogram [({length: times}, sequences)], how many of them are the
-    program's, and a lower bound of any packing.
+    programs', and a lower bound of any packing.
 
-    The program runs until the whole plan, or the fractional cover of every length, is within this share of the bound: below
-    it only rounding is left, which costs less than a sequence for each pattern. Best fit alone is what the plan is measured against:
-    where rounding has left it with more sequences, a smaller share of the program's solution is taken, and best fit places the rest."""
+    A program's fractional solution is rounded, the pieces that this leaves are the demand of a program of their own, and so on; best fit places the
+    last few. After each entry of the schedule the solution is rounded in two ways, with rare patterns and without; of these the one is kept that best fit
+    would complete with the fewest sequences, and of equal ones that which leaves it the least. The plan ends where the sequences were fewest, so it
+    never has more than best fit alone. A program has 370 rounds, and there are PROGRAMS of them: the work has a bound, whatever the histogram."""
     histogram = {int(k): int(v) for k, v in histogram.items() if v}
     if not histogram:
         return [], 0, 0.0
     count = lambda x: sum(n for _, n in x)
-    alone = count(best_fit(histogram, capacity))
-    least = -(-sum(k * v for k, v in histogram.items()) // capacity)
-    state, rounds, rate, found = Prices(histogram), 100, 0.2, None
-    while True:
-        patterns = configuration_lp(histogram, capacity, rounds, rate, state)
-        for share in SHARES:
-            made, own = rounded(patterns, histogram, capacity, share)
-            if found is None or count(made) < count(found[0]):
-                found = made, own
-            if count(made) <= alone:
-                break
-        if min(count(found[0]), state.size) <= (1 + within) * max(least, np.ceil(state.bound - 1e-6)):
-            return *found, max(state.bound, least)
-        rounds, rate = 2 * rounds, rate / 2
+    bound, least = 0.0, -(-sum(k * v for k, v in histogram.items()) // capacity)
+    logs, out, left = dict[int, float](), [], histogram
+    rest = best_fit(left, capacity)
+    kept = out, rest
+    for program in range(PROGRAMS):
+        state, tried = Prices(left), []
+        state.log = np.array([logs.get(k, x) for k, x in zip(state.lengths.tolist(), state.log)])
+        for rounds, rate in SCHEDULE:
+            patterns = configuration_lp(left, capacity, rounds, rate, state)
+            for whole, remain in (rounded(patterns, left), rounded(patterns, left, 1)):
+                fit = best_fit(remain, capacity)
+                tried.append((count(whole) + count(fit), count(fit), len(tried), whole, remain, fit))
+        logs.update(zip(state.lengths.tolist(), state.log.tolist()))
+        bound = bound or state.bound
+        _, _, _, whole, left, rest = min(tried)
+        if not whole:
+            break
+        out = out + whole
+        if count(out) + count(rest) <= count(kept[0]) + count(kept[1]):
+            kept = out, rest
+        if count(rest) <= REMNANT * count(out):
+            break
+    return kept[0] + kept[1], count(kept[0]), max(bound, least)
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
