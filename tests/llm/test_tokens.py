@@ -126,6 +126,21 @@ def test_program_runs_until_it_is_near_its_bound():
     assert solve({}, 2048) == ([], 0, 0.0) and sum(n for _, n in solve({2048: 3}, 2048)[0]) == 3
 
 
+@pytest.mark.parametrize("lengths, most", [(range(1, 2049), 2999), (range(600, 1100), 1000), (range(1, 2049, 37), 1)])
+def test_programs_place_nine_tenths(lengths, most):
+    """All lengths that there are, large ones, and a few single pieces: best fit has no fewer sequences, and places next to none."""
+    r = random.Random(1)
+    histogram = {k: r.randint(1, most) for k in lengths}
+    got, programs, bound = solve(histogram, 2048)
+    used, placed = sum(n for _, n in got), defaultdict(int)
+    for pattern, n in got:
+        assert sum(k * t for k, t in pattern.items()) <= 2048
+        for k, t in pattern.items():
+            placed[k] += n * t
+    assert dict(placed) == histogram and bound <= used
+    assert used <= sum(n for _, n in best_fit(histogram, 2048)) and programs >= 0.9 * used
+
+
 def test_best_fit_takes_the_tightest_bin():
     r = np.random.default_rng(1)
     sizes = sorted(r.integers(1, 60, 400).tolist(), reverse=True)
