@@ -155,7 +155,7 @@ def rounded(patterns: list[tuple[dict[int, int], float]], histogram: dict[int, i
 
 #: (rounds, rate) of a program, each from the prices of the one before; how many programs follow each other at most; and the share of sequences
 #: that may stay with best fit before the last of them.
-SCHEDULE, PROGRAMS, REMNANT = ((50, 0.02), (100, 0.2), (200, 0.1), (200, 0.03), (200, 0.01)), 12, 0.01
+SCHEDULE, PROGRAMS, REMNANT = ((50, 0.02), (60, 0.2), (60, 0.07), (100, 0.02), (100, 0.007)), 12, 0.01
 
 
 def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[dict[int, int], int]], int, float]:
@@ -166,7 +166,7 @@ def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tup
     last few. After each entry of the schedule the solution is rounded in two ways, with rare patterns and without; of these the one is kept that best fit
     would complete with the fewest sequences, and of equal ones that which leaves it the least. The plan ends where the sequences were fewest, so it
     never has more than best fit alone. A schedule ends early where the whole plan has
-    no more sequences than the bound. A program has 750 rounds at most, and there are at most PROGRAMS of them, whatever the histogram."""
+    no more sequences than the bound. A program has 370 rounds at most, and there are at most PROGRAMS of them, whatever the histogram."""
     histogram = {int(k): int(v) for k, v in histogram.items() if v}
     if not histogram:
         return [], 0, 0.0

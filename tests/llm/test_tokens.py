@@ -1,8 +1,10 @@
+import random
 from collections import defaultdict
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pytest
 import public_tokenizers
 from tokenizers import Tokenizer
 
