@@ -203,11 +203,12 @@ def container_files(spark, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH h AS (SELECT vec_id AS stream_id, label % 8 + 1 AS channels, vec_id % 65536 AS pre_skip, 8000 + vec_id * 48000 AS rate, vec_id * 37 % 60000 - 30000 AS gain, CASE WHEN label % 8 + 1 <= 2 THEN vec_id % 2 ELSE vec_id % 3 END AS family FROM embeddings),
-    l(channels, streams, coupled) AS (VALUES (1, 1, 0), (2, 1, 1), (3, 2, 1), (4, 2, 2), (5, 3, 2), (6, 4, 2), (7, 4, 3), (8, 5, 3))
-    SELECT stream_id, channels <= 2 OR family <> 0 AS valid, CASE WHEN channels <= 2 OR family <> 0 THEN pre_skip END AS pre_skip, CASE WHEN channels <= 2 OR family <> 0 THEN rate END AS rate, CASE WHEN channels <= 2 OR family <> 0 THEN gain END AS gain,
-    CASE WHEN channels <= 2 OR family <> 0 THEN streams END AS streams, CASE WHEN channels <= 2 OR family <> 0 THEN coupled END AS coupled, 'v' || stream_id AS vendor, 'last=' || stream_id AS title FROM h JOIN l USING (channels)""")
+    l(channels, streams, coupled) AS (VALUES (1, 1, 0), (2, 1, 1), (3, 2, 1), (4, 2, 2), (5, 3, 2), (6, 4, 2), (7, 4, 3), (8, 5, 3)),
+    judged AS (SELECT *, (channels <= 2 OR family <> 0) AND rate BETWEEN 0 AND 4294967295 AS valid FROM h JOIN l USING (channels))
+    SELECT stream_id, valid, CASE WHEN valid THEN pre_skip END AS pre_skip, CASE WHEN valid THEN rate END AS rate, CASE WHEN valid THEN gain END AS gain,
+    CASE WHEN valid THEN streams END AS streams, CASE WHEN valid THEN coupled END AS coupled, 'v' || stream_id AS vendor, 'last=' || stream_id AS title FROM judged""")
 def stream_headers(spark, sf_dir: str) -> DataFrame:
-    """Both headers of a stream, written and read again; more than two channels can't be of family 0."""
+    """Both headers of a stream, written and read again; more than two channels can't be of family 0, and a rate above 32 bits has no header."""
     v, channels = F.col("block_id"), F.col("channels").cast("long")
     family = F.when(channels <= 2, v % 2).otherwise(v % 3)
     comments = F.array(F.lit("TITLE=first"), F.lit("nothing"), F.concat(F.lit("TITLE=last="), v.cast("string")))
