@@ -3,13 +3,62 @@ self-delimited packets, several streams in one packet."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_type
 
+from framelake.functions import frames as B
 from framelake.functions import packets as P
-from framelake.functions.wire import digits, let, number, part
+from framelake.functions.wire import number, part
+
+BINARIES = pa.list_(pa.binary())
+PARSED = pa.struct([("toc", pa.int64()), ("sizes", pa.list_(pa.int32())), ("first", pa.int32()), ("padding", pa.int64()), ("used", pa.int32()), ("error", pa.string())])
+FRAMED = pa.struct([*PARSED, ("frames", BINARIES)])
+
+
+def _arrow(type_: pa.DataType, one: Callable) -> Callable:
+    """A function of one row's values as one of columns, called in Arrow batches."""
+
+    def batch(*columns: pa.Array) -> pa.Array:
+        rows = list(map(one, *[c.to_pylist() for c in columns]))
+        if not pa.types.is_struct(type_):
+            return pa.array(rows, type_)
+        return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(type_)], fields=list(type_))
+
+    return F.arrow_udf(batch, from_arrow_type(type_))
+
+
+def _parser(delimited: bool) -> Callable:
+    return _arrow(PARSED, lambda d: B.parsed(d, delimited))
+
+
+def _framer(delimited: bool) -> Callable:
+    def one(d: bytes | None) -> tuple:
+        p = B.parsed(d, delimited)
+        return *p, B.cut(d, p)
+
+    return _arrow(FRAMED, one)
+
+
+def _builder(delimited: bool, grows: bool) -> Callable:
+    if not grows:
+        return _arrow(pa.binary(), lambda toc, parts: B.built(toc, parts, delimited))
+    return _arrow(pa.binary(), lambda toc, parts, target, tail: None if target is None else B.built(toc, parts, delimited, target, tail))
+
+
+def _padder() -> Callable:
+    return _arrow(pa.struct([("padded", pa.binary()), ("error", pa.string())]), B.padded)
 
-MOST_BYTES = 1275  # of a frame
+
+def _barer() -> Callable:
+    return _arrow(pa.struct([("bare", pa.binary()), ("error", pa.string())]), B.bare)
+
+
+def _splitter(streams: int) -> Callable:
+    return _arrow(pa.struct([("packets", BINARIES), ("last", pa.int64()), ("error", pa.string())]), lambda d: B.split(d, streams))
 
 
 def parse(packets: DataFrame, data: str = "payload", delimited: bool = False) -> DataFrame:
@@ -17,48 +66,12 @@ def parse(packets: DataFrame, data: str = "payload", delimited: bool = False) ->
 
     A delimited packet says its own length, so more may follow it; any other ends with its data. Where error isn't null, sizes, first
     and used are: `too short` where bytes are missing, `invalid frame count` for none or more than 48, else `invalid packet`. A null is too short."""
-    columns = packets.columns
-    d, n = F.col(data), F.coalesce(F.octet_length(data), F.lit(0))
-    out = packets.select(*columns, number(d, F.lit(0)).alias("toc"), number(d, F.lit(1)).alias("_second"), n.alias("_n"))
-    code, many = P.code(F.col("toc")), F.col("_second").bitwiseAND(63)
-    varies = (code == 2) | ((code == 3) & (F.col("_second") >= 128))
-    padded = (code == 3) & (F.col("_second").bitwiseAND(64) != 0)
-    full = F.when(padded, F.length(F.regexp_extract(F.hex(part(d, F.lit(2), n)), "^((?:FF)*)", 1)) / 2).otherwise(0).cast("int")  # bytes of 255, each 254 of padding
-    out = out.withColumns({"_count": F.when(code == 0, 1).when(code < 3, 2).otherwise(many), "_varies": varies, "_padded": padded, "_full": full})
-    last = F.when(F.col("_padded"), number(d, F.col("_full") + 2)).otherwise(0)
-    at = F.when(code < 3, 1).otherwise(2 + F.col("_full") + F.col("_padded").cast("int"))
-    coded = F.when(F.col("_varies"), F.col("_count") - 1 + int(delimited)).otherwise(int(delimited)).cast("int")  # frames whose lengths are written
-    out = _settled(out.withColumns({"padding": 254 * F.col("_full") + last, "_at": at.cast("int"), "_coded": coded}), columns, "toc", "_n", "_second", "_count", "padding", "_at", "_coded")
-
-    def step(s: Column, _: Column) -> Column:
-        a, b = number(d, s["at"]), number(d, s["at"] + 1)
-        size = F.when(a < 252, a).otherwise(a + 4 * b)
-        return F.struct((s["at"] + F.when(a < 252, 1).when(b.isNotNull(), 2)).cast("int").alias("at"), F.concat(s["sizes"], F.array(size.cast("int"))).alias("sizes"))
-
-    start = F.struct(F.col("_at").alias("at"), F.array().cast("array<int>").alias("sizes"))
-    steps = F.when((F.col("_coded") > 0) & (F.col("_coded") <= P.MOST_FRAMES), F.sequence(F.lit(1), F.col("_coded"))).otherwise(F.array().cast("array<int>"))
-    out = _settled(out.withColumn("_l", F.aggregate(steps, start, step)), columns, "toc", "_n", "_second", "_count", "padding", "_l")
-    known, sizes = F.aggregate("_l.sizes", F.lit(0), lambda s, x: s + x), F.col("_l.sizes")
-    others = (F.col("_count") - F.size(sizes)).cast("int")
-    left = F.col("_n") - F.col("_l.at") - F.col("padding") - known
-    each = F.element_at(sizes, -1) if delimited else F.floor(left / others)
-    out = out.withColumns({"_others": others, "_left": left, "_each": F.when(F.col("_others") > 0, each).cast("int")})
-    filled = F.when(F.col("_others") > 0, F.concat(sizes, F.array_repeat(F.col("_each"), F.col("_others")))).otherwise(sizes)
-    out = _settled(out.withColumn("_sizes", filled), columns, "toc", "_n", "_second", "_count", "padding", "_l", "_left", "_others", "_each", "_sizes")
-    used = F.col("_l.at") + F.col("padding") + F.aggregate("_sizes", F.lit(0), lambda s, x: s + x)
-    used = used if delimited else F.col("_n")
-    short = "invalid packet" if delimited else "too short"
-    code = P.code(F.col("toc"))
-    late = (used > F.col("_n")) if delimited else (F.col("_left") < 0) | (F.col("_left") % F.col("_others") != 0) | (F.col("_each") > MOST_BYTES)
-    error = (
-        F.when(F.col("_n") < 1, "too short").when((code == 3) & F.col("_second").isNull(), short)
-        .when((F.col("_count") < 1) | (F.col("_count") > P.MOST_FRAMES), "invalid packet" if delimited else "invalid frame count")
-        .when((code == 3) & (F.col("_count") * P.frame_samples(F.col("toc")) > P.MOST_SAMPLES), "invalid packet")
-        .when(F.col("padding").isNull() | F.col("_l.at").isNull(), short).when(late, "invalid packet")
-    )
-    good = F.col("error").isNull()
-    out = _settled(out.withColumn("error", error), columns, "toc", "padding", "error", F.when(good, F.col("_sizes")).alias("sizes"), F.when(good, F.col("_l.at")).alias("first"), F.when(good, used).cast("int").alias("used"))
-    return out.select(*columns, "toc", "sizes", "first", "padding", "used", "error")
+    return _beside(packets, _parser(delimited)(data))
+
+
+def _beside(df: DataFrame, made: Column) -> DataFrame:
+    """Add the fields of a struct. A barrier: it is made once, and no filter on it is moved ahead of it."""
+    return df.select(*df.columns, F.inline(F.array(made)))
 
 
 def _settled(df: DataFrame, columns: list[str], *made) -> DataFrame:
@@ -66,16 +79,9 @@ def _settled(df: DataFrame, columns: list[str], *made) -> DataFrame:
     return df.select(*columns, F.inline(F.array(F.struct(*made))))
 
 
-def frames(data: Column, sizes: Column, first: Column) -> Column:
-    """The frames of a parsed packet."""
-    start = F.struct(first.cast("int").alias("at"), F.array().cast("array<binary>").alias("out"))
-    step = lambda s, n: F.struct((s["at"] + n).cast("int").alias("at"), F.concat(s["out"], F.array(part(data, s["at"], n))).alias("out"))
-    return F.aggregate(sizes, start, step, lambda s: s["out"])
-
-
 def with_frames(packets: DataFrame, data: str = "payload", delimited: bool = False) -> DataFrame:
     """parse(), with frames (their bytes)."""
-    return parse(packets, data, delimited).withColumn("frames", frames(F.col(data), F.col("sizes"), F.col("first")))
+    return _beside(packets, _framer(delimited)(data))
 
 
 def first_frame(data: Column, sizes: Column, first: Column) -> Column:
@@ -89,46 +95,13 @@ def low_rate_copy(parsed: DataFrame, data: str = "payload") -> DataFrame:
     return parsed.withColumn("has_copy", F.coalesce(P.first_frame_has_fec(F.col("toc"), byte) & F.col("error").isNull(), F.lit(False)))
 
 
-def length_code(n: Column) -> Column:
-    """A frame's length as hexadecimal digits: one byte below 252, else two."""
-    low = 252 + n % 4
-    return F.when(n < 252, digits(n)).otherwise(F.concat(digits(low), digits((n - low) / 4)))
-
-
 def build(toc: Column, parts: Column, delimited: bool = False, target: Column | None = None, tail: Column | None = None) -> Column:
     """The packet of these frames with the shortest frame code; padded to `target` bytes where that is more. Null for no frame, for more
     than 48, or where the target is too small. The padding is zeros, or ends with `tail`, where that holds more than zeros, behind bytes of value 1."""
-    sizes = F.transform(parts, lambda x: F.octet_length(x))
-    body = F.aggregate(parts, F.lit(b""), lambda s, x: F.concat(s, x))
-    given = F.struct(sizes.alias("sizes"), F.size(parts).alias("m"), (F.array_min(sizes) == F.array_max(sizes)).alias("same"), body.alias("body"), F.lit(0 if target is None else target).cast("long").alias("target"))
-
-    def coded(x: Column) -> Column:
-        code = F.when(x["m"] == 1, 0).when((x["m"] == 2) & x["same"], 1).when(x["m"] == 2, 2).otherwise(3)
-        ahead = F.when(x["same"], F.lit("")).otherwise(F.array_join(F.transform(F.slice(x["sizes"], F.lit(1), x["m"] - 1), length_code), ""))
-        own = length_code(F.element_at(x["sizes"], -1)) if delimited else F.lit("")
-        return F.struct(code.alias("code"), F.concat(ahead, own).alias("lengths"), F.octet_length(x["body"]).alias("n"))
-
-    def whole(x: Column, c: Column) -> Column:
-        first = lambda code: digits(toc.bitwiseAND(252) + code)
-        count = lambda padded: digits(x["m"] + F.when(x["same"], 0).otherwise(128) + padded)
-        plain = F.concat(F.unhex(F.concat(first(c["code"]), F.when(c["code"] == 3, count(0)).otherwise(""), c["lengths"])), x["body"])
-        if target is None:
-            return plain
-        least = 2 + F.length(c["lengths"]) / 2 + c["n"]
-        more = (x["target"] - least).cast("int")
-        full = F.floor((more - 1) / 255).cast("int")  # bytes of 255, each 254 of padding
-        pads = F.when(more > 0, F.concat(F.repeat(F.lit("FF"), full), digits(more - 255 * full - 1))).otherwise("")
-        room = F.greatest(F.lit(0), more - full - 1)
-        filler = F.unhex(F.repeat(F.lit("00"), room))
-        if tail is not None:
-            kept = F.regexp_like(F.hex(tail), F.lit("[1-9A-F]"))
-            filler = F.when(F.coalesce(kept, F.lit(False)), F.concat(F.unhex(F.repeat(F.lit("01"), (room - F.octet_length(tail)).cast("int"))), tail)).otherwise(filler)
-        wide = F.concat(F.unhex(F.concat(first(F.lit(3)), count(F.when(more > 0, 64).otherwise(0)), pads, c["lengths"])), x["body"], filler)
-        size = least - F.when(c["code"] == 3, 0).otherwise(1)
-        return F.when(size == x["target"], plain).when((size < x["target"]) & (more >= 0), wide)
-
-    made = let(given, lambda x: let(coded(x), lambda c: whole(x, c)))
-    return F.when(F.size(parts).between(1, P.MOST_FRAMES), made)
+    toc = toc.cast("long")
+    if target is None:
+        return _builder(delimited, False)(toc, parts)
+    return _builder(delimited, True)(toc, parts, target.cast("long"), F.lit(None).cast("binary") if tail is None else tail)
 
 
 def padding_of(parsed: DataFrame, data: str = "payload") -> Column:
@@ -138,16 +111,12 @@ def padding_of(parsed: DataFrame, data: str = "payload") -> Column:
 
 def pad(packets: DataFrame, target: Column, data: str = "payload") -> DataFrame:
     """Add padded, the packet grown to `target` bytes, and error, of parse() or `too long` where it is longer already. Extensions in its padding are kept."""
-    columns = packets.columns
-    out = with_frames(packets.withColumn("_target", target), data)
-    grown = F.when(F.octet_length(data) == F.col("_target"), F.col(data)).otherwise(build(F.col("toc"), F.col("frames"), target=F.col("_target"), tail=padding_of(out, data)))
-    error = F.coalesce("error", F.when(F.octet_length(data) > F.col("_target"), "too long"))
-    return out.select(*columns, F.when(error.isNull(), grown).alias("padded"), error.alias("error"))
+    return _beside(packets, _padder()(F.col(data), target.cast("long")))
 
 
 def unpad(packets: DataFrame, data: str = "payload") -> DataFrame:
     """Add bare, the packet without padding, and error of parse()."""
-    return with_frames(packets, data).select(*packets.columns, F.when(F.col("error").isNull(), build(F.col("toc"), F.col("frames"))).alias("bare"), "error")
+    return _beside(packets, _barer()(data))
 
 
 def regroup(packets: DataFrame, keys: list[str], order: str, data: str = "payload") -> DataFrame:
@@ -177,19 +146,7 @@ def split_streams(packets: DataFrame, streams: int, data: str = "payload") -> Da
     """Add packets (one for each stream, as it would stand alone) and error to packets(data) that carry this many streams.
 
     All streams must last equally long, else error is `different durations`."""
-    columns = packets.columns
-    rows = packets.select(*columns, F.col(data).alias("_rest"), F.array().cast("array<binary>").alias("_out"), F.array().cast("array<long>").alias("_spans"), F.lit(None).cast("string").alias("_error"), F.lit(0).cast("long").alias("_last"))
-    names = [*columns, "_rest", "_out", "_spans", "_error", "_last"]
-    for k in range(streams):
-        parsed = with_frames(rows, "_rest", delimited=k < streams - 1)
-        bad = F.coalesce("_error", "error")
-        alone = F.when(bad.isNull(), build(F.col("toc"), F.col("frames")) if k < streams - 1 else F.col("_rest"))
-        span = F.size("sizes") * P.frame_samples(F.col("toc"))
-        rest = part(F.col("_rest"), F.col("used"), F.octet_length("_rest") - F.col("used"))
-        last = F.octet_length(data) - F.octet_length("_rest")  # where the last stream's packet begins
-        rows = _settled(parsed, columns, rest.alias("_rest"), F.concat("_out", F.array(alone)).alias("_out"), F.concat("_spans", F.array(span)).alias("_spans"), bad.alias("_error"), last.cast("long").alias("_last")).select(*names)
-    error = F.coalesce("_error", F.when(F.array_min("_spans") != F.array_max("_spans"), "different durations"))
-    return rows.select(*columns, F.when(error.isNull(), F.col("_out")).alias("packets"), F.col("_last").alias("last"), error.alias("error"))
+    return _beside(packets, _splitter(streams)(data))
 
 
 def pad_streams(packets: DataFrame, streams: int, target: Column, data: str = "payload") -> DataFrame:
