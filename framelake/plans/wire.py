@@ -13,7 +13,7 @@ from framelake.operators.scan import numbered
 from framelake.plans.base import SIZE, SLOTS, WITH, query
 from framelake.sources import container_files as container_files_source
 from framelake.sources.adapters import FRAME, blocks, headers, packets
-from framelake.sources.shared import shared_folder
+from framelake.sources.shared import shared_folder, written
 
 #: Frames of each packet: how many, their bytes, and whether all are as long. The toc is that without the code.
 FRAMED = f"""{WITH}, framed AS (SELECT event_id, stream_id, seq, event_id * 4 % 256 AS toc, 1 + event_id % 4 AS m, event_id % 4 = 0 OR event_id % 3 = 0 AS same,
@@ -123,7 +123,7 @@ def extension_round_trip(spark, sf_dir: str) -> DataFrame:
 
     shared = F.flatten(F.transform(upto(m), lambda f: F.transform(upto(e % 3), lambda j: one(f, j, 3 + (e * 5 + j * 40) % 125))))
     more = F.when(e % 5 == 0, F.array(one(m - 1, F.lit(9), F.lit(100)))).otherwise(F.slice(shared, F.lit(1), F.lit(0)))
-    rows = headers(spark, sf_dir).select(e, m.cast("int").alias("m"), F.concat(shared, more).alias("x")).filter(F.size("x") > 0)
+    rows = headers(spark, sf_dir).select(e, m.cast("int").alias("m"), F.inline(F.array(F.struct(F.concat(shared, more).alias("x"))))).filter(F.size("x") > 0)
     rows = rows.withColumn("padding", extension_bytes("x", "m"))
     frames = F.transform(upto(F.col("m")), lambda i: F.md5(i.cast("string").cast("binary")).cast("binary"))
     plain = rows.select(e, "m", "padding", frames.alias("parts"), (128 + e * 8 % 128).alias("toc"))
@@ -132,6 +132,7 @@ def extension_round_trip(spark, sf_dir: str) -> DataFrame:
     grown = framing.pad(made, F.octet_length("payload") + F.col("event_id") % 300).select(e, "m", F.col("padded").alias("payload"))
     parsed = framing.parse(grown).filter("error is null")
     listed = extensions_of(parsed.select(e, "m", framing.padding_of(parsed).alias("padding")), F.col("padding"), F.col("m")).filter("id is not null").drop("padding")
+    listed = written(listed, "extensions")  # read three times
     text = F.transform("extensions", lambda x: F.concat_ws(":", x["frame"].cast("string"), x["id"].cast("string"), x["data"].cast("string")))
     counts = by_frame(listed, ["event_id", "m"]).groupBy("event_id").agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(F.col("frame") == F.col("m") - 1, F.col("n"))), F.lit(0)).alias("in_last"))
     ordered = in_frame_order(listed, ["event_id"]).select("event_id", F.md5(F.array_join(text, ",").cast("binary")).alias("listed"))
@@ -212,6 +213,6 @@ def stream_headers(spark, sf_dir: str) -> DataFrame:
     v, channels = F.col("block_id"), F.col("channels").cast("long")
     family = F.when(channels <= 2, v % 2).otherwise(v % 3)
     comments = F.array(F.lit("TITLE=first"), F.lit("nothing"), F.concat(F.lit("TITLE=last="), v.cast("string")))
-    written = blocks(spark, sf_dir).select(v.alias("stream_id"), C.head(channels, v % 65536, 8000 + v * 48000, v * 37 % 60000 - 30000, family).alias("head"), C.tags(F.concat(F.lit("v"), v.cast("string")), comments).alias("tags"))
-    read = written.select("stream_id", F.inline(F.array(F.struct(C.read_head(F.col("head")).alias("h"), C.read_tags(F.col("tags")).alias("t")))))
+    wrote = blocks(spark, sf_dir).select(v.alias("stream_id"), C.head(channels, v % 65536, 8000 + v * 48000, v * 37 % 60000 - 30000, family).alias("head"), C.tags(F.concat(F.lit("v"), v.cast("string")), comments).alias("tags"))
+    read = wrote.select("stream_id", F.inline(F.array(F.struct(C.read_head(F.col("head")).alias("h"), C.read_tags(F.col("tags")).alias("t")))))
     return read.select("stream_id", F.col("h").isNotNull().alias("valid"), "h.pre_skip", "h.rate", "h.gain", F.col("h.streams").cast("int").alias("streams"), F.col("h.coupled").cast("int").alias("coupled"), "t.vendor", F.col("t.comments")["TITLE"].alias("title"))
