@@ -12,6 +12,7 @@ from framelake.functions import container as C
 from framelake.functions import packets as P
 from framelake.functions.wire import let, number, part
 from framelake.operators.scan import joined, running
+from framelake.sources.shared import written
 
 PAGES = "path string, at long, page binary"
 
@@ -67,7 +68,7 @@ def write_pages(packets: DataFrame, heads: DataFrame) -> DataFrame:
     first = heads.select("stream_id", F.inline(F.array(*[F.struct(long(i).alias("_place"), F.lit(flags).alias("flags"), long(0).alias("granule"), F.col(c).alias("payload")) for i, flags, c in ((0, C.FIRST, "head"), (1, 0, "tags"))])))
     count = packets.groupBy("stream_id").agg(F.count("*").alias("n"), F.sum("samples").alias("granule"))
     last = joined(heads.select("stream_id"), count, ["stream_id"]).select("stream_id", (F.coalesce("n", F.lit(0)) + 2).alias("_place"), F.lit(C.LAST).alias("flags"), F.coalesce("granule", F.lit(0)).alias("granule"), F.lit(b"").alias("payload"))
-    rows = body.unionByName(first).unionByName(last)
+    rows = written(body.unionByName(first).unionByName(last), "page-parts")
     rows = running(rows.withColumn("_pages", F.floor(F.floor(F.octet_length("payload") / 255) / C.PAGE_SEGMENTS) + 1), "stream_id", "_place", sums={"_until": F.col("_pages")})
     rows = rows.select("stream_id", "_place", "_until", "_pages", "flags", "granule", F.inline(C.page_parts(F.col("payload"), F.col("flags") == C.LAST)))
     flags = F.when(F.col("k") > 0, C.CONTINUED).otherwise(0) + F.when((F.col("flags") == C.FIRST) & (F.col("k") > 0), 0).otherwise(F.col("flags"))
@@ -91,8 +92,8 @@ def packets_of_pages(pages: DataFrame) -> DataFrame:
     rows = running(cut, "serial", order, before={"_size": F.col("size")}, at=number_)
     open_ = F.coalesce(F.col("_size") == 255, F.lit(False))
     fresh = (F.col("at") == 0) & ~F.col("continued")
-    rows = rows.withColumn("orphan", (F.col("at") == 0) & F.col("continued") & ~open_)
-    rows = running(rows, "serial", order, sums={"packet": (fresh | ~open_).cast("long")}, at=number_)
+    rows = written(rows.withColumn("orphan", (F.col("at") == 0) & F.col("continued") & ~open_).withColumn("_fresh", (fresh | ~open_).cast("long")).drop("_size"), "segments")
+    rows = running(rows, "serial", order, sums={"packet": F.col("_fresh")}, at=number_)
     whole = rows.groupBy("serial", "packet").agg(
         F.max("orphan").alias("orphan"), F.max_by("size", F.struct("page_seq", "at")).alias("end"), F.max("page_seq").alias("last_page"), F.array_sort(F.collect_list(F.struct("page_seq", "at", "body"))).alias("parts"),
     )

@@ -175,7 +175,7 @@ def page_round_trip(spark, sf_dir: str) -> DataFrame:
     rows = packets(spark, sf_dir).select("stream_id", "seq", F.when(F.col("lost"), 0).otherwise(FRAME).alias("samples"), body.alias("payload"))
     number = lambda n: F.lit(n).cast("long")
     heads = rows.select("stream_id").distinct().select("stream_id", C.head(number(2), number(312), number(48_000), number(0), number(0)).alias("head"), C.tags(F.lit("framelake"), F.array().cast("array<string>")).alias("tags"))
-    read = pages.read_pages(pages.write_pages(rows, heads).select("page")).filter("error is null")
+    read = written(pages.read_pages(pages.write_pages(rows, heads).select("page")).filter("error is null").drop("page"), "pages")  # read three times
     found = pages.packets_of_pages(read).filter("last_page > 1").withColumnRenamed("last_page", "page_seq")
     return found.join(read.select("serial", "page_seq", "granule"), ["serial", "page_seq"]).select("serial", "page_seq", F.md5("payload").alias("payload"), F.col("granule").cast("long").alias("granule"))
 

@@ -28,3 +28,20 @@ def test_rates_above_32_bits(spark, tmp_path):
     assert ours == theirs and len(ours) == 16
     rows = QUERIES["stream_headers"](spark, str(tmp_path)).filter("valid").select("stream_id", "rate").distinct().collect()
     assert {r.stream_id for r in rows} == set(ids[:4]) and max(r.rate for r in rows) == 4_294_952_000
+
+
+def test_tables_read_twice_are_written(spark, sf_dir):
+    """What several steps read is worked out once: the plans that are left read tables, and neither write nor read pages or extensions."""
+    for name in ("page_round_trip", "extension_round_trip"):
+        plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+        assert "crc32" not in plan and "ArrowEvalPython" not in plan, name
+
+
+def test_malformed_delimited_packets(spark):
+    """A count byte of no frame, or of 49, where the length of one is asked for."""
+    from pyspark.sql import functions as F
+
+    from framelake.operators import framing
+
+    rows = spark.createDataFrame([(bytearray(b"\xfb\x80"),), (bytearray(b"\xfb\xb1\x01"),)], "payload binary")
+    assert [r.error for r in framing.parse(rows, delimited=True).select(F.col("error")).collect()] == ["invalid packet"] * 2
