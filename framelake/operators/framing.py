@@ -97,7 +97,7 @@ def low_rate_copy(parsed: DataFrame, data: str = "payload") -> DataFrame:
 
 def build(toc: Column, parts: Column, delimited: bool = False, target: Column | None = None, tail: Column | None = None) -> Column:
     """The packet of these frames with the shortest frame code; padded to `target` bytes where that is more. Null for no frame, for more
-    than 48, or where the target is too small. The padding is zeros, or ends with `tail`, where that holds more than zeros, behind bytes of value 1."""
+    than 48, where the target is too small, or where a frame whose length is written has more than 1,275 bytes. The padding is zeros, or ends with `tail`, where that holds more than zeros, behind bytes of value 1."""
     toc = toc.cast("long")
     if target is None:
         return _builder(delimited, False)(toc, parts)

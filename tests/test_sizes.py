@@ -45,3 +45,10 @@ def test_malformed_delimited_packets(spark):
 
     rows = spark.createDataFrame([(bytearray(b"\xfb\x80"),), (bytearray(b"\xfb\xb1\x01"),)], "payload binary")
     assert [r.error for r in framing.parse(rows, delimited=True).select(F.col("error")).collect()] == ["invalid packet"] * 2
+
+
+def test_lengths_that_cannot_be_written():
+    """A frame above 1,275 bytes has no length code: no packet, not one without that length."""
+    from framelake.functions.frames import built
+
+    assert built(0x48, [bytes(1276), b"a"]) is None and built(0x48, [bytes(1275), b"a"])[:3] == b"\x4a\xff\xff" and built(0x48, [bytes(1276)], delimited=True) is None
